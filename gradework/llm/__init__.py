@@ -7,6 +7,7 @@ import importlib
 #: Modules that hold an operator; each has QUERIES and, where SQL can express the result, ORACLES.
 _MODULES = (
     "token_output",
+    "winnowing",
     "language_id",
 )
 
