@@ -8,6 +8,8 @@ import importlib
 _MODULES = (
     "token_output",
     "winnowing",
+    "decontamination",
+    "packing",
     "language_id",
 )
 
