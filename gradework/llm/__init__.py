@@ -9,6 +9,8 @@ _MODULES = (
     "token_output",
     "winnowing",
     "decontamination",
+    "secret_scan",
+    "line_dedup",
     "packing",
     "language_id",
 )
