@@ -9,6 +9,7 @@ _MODULES = (
     "token_output",
     "winnowing",
     "decontamination",
+    "jaccard_join",
     "secret_scan",
     "line_dedup",
     "packing",
