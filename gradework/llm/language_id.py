@@ -78,7 +78,7 @@ def learn_dictionaries(labelled: DataFrame, dictionary_bytes: int = DICTIONARY_B
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", level: int = LEVEL) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected.
+    """``docs`` with _language, a struct of lang_pred, score and rejected.
 
     lang_pred is ``und`` (score 0, rejected) where the text is null or has no letter, or where no
     language was learned.  score is the winner's share of two-to-the-bits-saved over all languages, with
@@ -113,13 +113,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
     predict = F.pandas_udf(run, "lang_pred string, score double, rejected boolean")
-    return (
-        docs.withColumn("_language", predict(F.col(text)))
-        .withColumn("lang_pred", F.col("_language.lang_pred"))
-        .withColumn("score", F.col("_language.score"))
-        .withColumn("rejected", F.col("_language.rejected"))
-        .drop("_language")
-    )
+    return docs.withColumn("_language", predict(F.col(text)))
 
 
 def train(docs: DataFrame) -> dict[str, bytes]:
@@ -132,7 +126,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document."""
     docs = documents(spark, sf_dir)
     predicted = identify(docs.select("doc_id", "text"), train(docs))
-    return predicted.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return predicted.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "_language.*")
 
 
 QUERIES = {"op10_language_id": op10_language_id}
