@@ -12,11 +12,13 @@ import re
 from collections.abc import Iterable
 
 #: Entries in each of the two dictionaries of a worker.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 350_000
 
 #: Inside a piece: after a letter or digit before a stop, comma or line break; after a line break before a letter or digit.
 _INNER = re.compile(r"(?<=[^\W_])(?=[.,\n])|(?<=\n)(?=[^\W_])")
 _TWO_SPACES = re.compile(r"\s\s")
+#: Letters that the tokenizers' pre-tokenizers never part and, lower-cased, leave as they are.
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _BEFORE_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
 
 
@@ -35,6 +37,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space, self.width = drops_space, width
+        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: 256 + k for k, b in enumerate(others)}
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
@@ -46,33 +52,49 @@ class Encoder:
             return [first, *[" " + x for x in rest]]
         return _BEFORE_SPACE.split(text)
 
-    def _encode(self, pieces: list[str]) -> None:
-        """Add the ids of pieces that are not known."""
-        encoded = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        for piece, e in zip(pieces, encoded):
-            self.young[piece] = b"".join([i.to_bytes(self.width, "little") for i in e.ids])
+    def _encode(self, atoms: Iterable[str]) -> None:
+        """Add the ids of atoms that are not known.  A plain word goes to the tokenizer's model alone, as its other steps leave it whole."""
+        young, width, tokenize, alphabet = self.young, self.width, self.tokenizer.model.tokenize, self.alphabet
+        other = []
+        for atom in atoms:
+            if _PLAIN.fullmatch(atom):
+                word = atom.lower() if self.drops_space else atom
+                young[atom] = b"".join([t.id.to_bytes(width, "little") for t in tokenize(word.encode().decode("latin-1").translate(alphabet))])
+            else:
+                other.append(atom)
+        for atom, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+            young[atom] = b"".join([i.to_bytes(width, "little") for i in e.ids])
 
     def _learn(self, unknown: Iterable[str]) -> None:
-        split, atoms = {}, set()
+        young, old = self.young, self.old
+        split: list[tuple[str, list[str]]] = []
+        fresh = set()
         for piece in unknown:
-            known = self.old.get(piece)
+            known = old.get(piece)
             if known is not None:
-                self.young[piece] = known
+                young[piece] = known
                 continue
-            parts = [piece] if _TWO_SPACES.search(piece) else _INNER.split(piece)
-            split[piece] = parts
-            atoms.update(parts)
-        fresh = []
-        for atom in atoms:
-            if atom not in self.young:
-                known = self.old.get(atom)
-                if known is None:
-                    fresh.append(atom)
-                else:
-                    self.young[atom] = known
+            word = piece[1:] if piece[0] == " " else piece
+            if word.isalpha():
+                fresh.add(piece)
+                continue
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                parts = [piece[:-1], word[-1]]
+            elif _TWO_SPACES.search(piece):
+                fresh.add(piece)
+                continue
+            else:
+                parts = _INNER.split(piece)
+            split.append((piece, parts))
+            for atom in parts:
+                if atom not in young:
+                    known = old.get(atom)
+                    if known is None:
+                        fresh.add(atom)
+                    else:
+                        young[atom] = known
         self._encode(fresh)
-        young = self.young
-        for piece, parts in split.items():
+        for piece, parts in split:
             if len(parts) > 1:
                 young[piece] = b"".join([young[x] for x in parts])
 
