@@ -9,6 +9,7 @@ _MODULES = (
     "token_output",
     "winnowing",
     "decontamination",
+    "lm_interpolation",
     "jaccard_join",
     "secret_scan",
     "line_dedup",

@@ -55,15 +55,17 @@ def bounds(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def sharded(rows: DataFrame, name: str) -> DataFrame:
+def sharded(rows: DataFrame, name: str, apart: str | None = None) -> DataFrame:
     """``rows`` with row and shard, in a table bucketed by shard.
 
-    A shard is ``SHARD_ROWS`` neighbouring rows of an input partition, so writing moves nothing.
+    A shard is ``SHARD_ROWS`` neighbouring rows of an input partition, so writing moves nothing.  Rows for
+    which the boolean column ``apart`` holds have shards of their own, with odd numbers.
     """
     spark = rows.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     at = F.monotonically_increasing_id()
-    numbered = rows.withColumn("row", at).withColumn("shard", F.floor(F.col("row") / SHARD_ROWS))
+    odd = F.col(apart).cast("long") if apart else F.lit(0)
+    numbered = rows.withColumn("row", at).withColumn("shard", F.floor(F.col("row") / SHARD_ROWS) * 2 + odd)
     writer = numbered.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name))
     writer.bucketBy(buckets_for(spark), "shard").saveAsTable(table)
     return spark.table(table)
@@ -94,7 +96,7 @@ def message_table(rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array(list(c), kind) for (name, kind), c in zip(_FIELDS, columns)})
 
 
-def add_up(sent: DataFrame, keep_keys: bool = False) -> DataFrame:
+def add_up(sent: DataFrame) -> DataFrame:
     """The answers to the shards' messages: the counts of each key over all shards.
 
     An answer has the counts alone, in the order in which the shard sent the keys.  A last message to
