@@ -9,6 +9,7 @@ _MODULES = (
     "token_output",
     "winnowing",
     "decontamination",
+    "crf_quality",
     "lm_interpolation",
     "jaccard_join",
     "secret_scan",
