@@ -1,6 +1,11 @@
-"""Registry of the engine's own queries."""
+"""Registry of the engine's own queries and their DuckDB oracles."""
 
 from __future__ import annotations
 
+from . import evaluation, gating, imaging, modelling
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (evaluation, gating, imaging, modelling):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
