@@ -183,3 +183,31 @@ def test_final_state_stays(spark):
     rows = [(1, 1, "draft"), (1, 2, "completed"), (1, 3, "draft"), (2, 1, "draft")]
     got = {tuple(r) for r in resume.latest_state(spark.createDataFrame(rows, "k int, o int, s string"), "k", "o", "s", "completed").collect()}
     assert got == {(1, "completed"), (2, "draft")}
+
+
+def test_disc_fovea_and_candidates(spark):
+    from gradework.operators import anatomy
+
+    y, x = np.indices((64, 64))
+    scene = np.full((64, 64), 100.0)
+    scene[(y - 32) ** 2 + (x - 14) ** 2 <= 9] = 220  # the disc
+    scene[(y - 32) ** 2 + (x - 33) ** 2 <= 20] = 40  # the macula
+    scene[10:12, 40:42] = 20
+    px = image(spark, scene)
+    disc = anatomy.optic_disc(anatomy.disc_candidates(px, "k", 32.0), "k")
+    row = disc.first()
+    assert abs(row["cy"] - 32) <= 2 and abs(row["cx"] - 14) <= 2 and row["confirmed"]
+    spot = anatomy.fovea(px, disc, "k", 8.0, (32.0, 32.0), 2).first()
+    assert spot["found"] and abs(spot["y"] - 32) < 4 and abs(spot["x"] - 33) < 5
+    spots = anatomy.lesion_candidates(px, "k", 15, 99.0, 3, 30).collect()
+    assert any(abs(r["cy"] - 10.5) < 1 and abs(r["cx"] - 40.5) < 1 and r["area"] == 4 for r in spots)
+
+
+def test_enhancement_rules(spark):
+    from gradework.operators import anatomy
+
+    rows = [(1, s, c, sat, n, sev) for s, c, sat, n, sev in ((0, 10.0, 0.0, 5.0, 0.2), (1, 9.0, 0.0, 5.0, 0.2), (2, 12.0, 0.1, 5.0, 0.0), (3, 12.0, 0.01, 7.0, 0.0), (4, 11.0, 0.0, 5.0, 0.0))]
+    rows += [(2, s, 10.0 - s, 0.0, 5.0, 0.95) for s in range(5)]
+    df = spark.createDataFrame(rows, "k int, step int, contrast double, saturation double, noise double, severe double")
+    got = {r["k"]: (r["status"], r["flat_field"], r["clip"]) for r in anatomy.enhancement_choice(df, "k").collect()}
+    assert got == {1: ("pass", True, 1.5), 2: ("fail", False, None)}
