@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Gives a column of one of two members by its name.
+Pick = Callable[[str], Column]
+#: Keeps those (a, b) pairs that are links.
+Verify = Callable[[DataFrame], DataFrame]
+
 #: Rounds in which one member of each group is compared with the others, before what is left is compared pair by pair.
 HUB_ROUNDS = 3
+#: Groups of so many members at most are compared pair by pair at once.
+SMALL_GROUP = 12
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,46 +34,60 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = low.withColumn("m", F.min("v").over(by_node))
         edges = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct().checkpoint()
         state = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
-        if state == last:
+        if state == last or not state[0]:
             break
         last = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def grouped_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(node, component) and the links found, for (group, node) rows; nodes without a link are absent.
+def grouped_components(members: DataFrame, prepare: Callable[[DataFrame], Verify], carry: tuple[str, ...] = (), feasible: Callable[[Pick, Pick], Column] | None = None, small: int = SMALL_GROUP) -> DataFrame:
+    """(node, component) for (group, node, carry...) rows; nodes without a link are absent.
 
-    Two members of a group are linked if ``verify`` keeps the pair.  In each of the first rounds one
-    member of a group (its hub) is compared with those members that are not yet in its component; a hub
-    then leaves the group, as nothing of it is open.  Groups whose members all lie in one component are
-    done, so a group of n near copies costs about n comparisons.  After ``HUB_ROUNDS`` every pair that is
-    still open is compared: no link between components is lost.
+    Two members of a group are linked if they are feasible by what they carry and are kept by the function
+    that ``prepare`` makes of the nodes which may be asked for.  Rows must be distinct.  Groups of ``small`` members at most
+    are compared pair by pair.  In larger ones, in each of the first rounds, one member (the hub) is
+    compared with those that are not yet in its component; it then leaves the group, as nothing of it is
+    open.  Groups whose members all lie in one component are done, so a group of n near copies costs about
+    n comparisons.  After ``HUB_ROUNDS`` every feasible pair that is still open is compared: no link
+    between components is lost.
     """
     spark = members.sparkSession
     of_group = Window.partitionBy("group")
-    empty = spark.createDataFrame([], "a long, b long")
-    links, labels = empty, None
-    left = members.distinct().withColumn("n", F.count("*").over(of_group)).filter("n > 1").drop("n").checkpoint()
+    feasible = feasible or (lambda one, other: F.lit(True))
+    shared = members.select("group", "node", *carry).withColumn("size", F.count("*").over(of_group)).filter("size > 1").checkpoint()
+
+    def pairs_of(rows: DataFrame, apart: Column) -> DataFrame:
+        other = rows.withColumnsRenamed({x: f"{x}_2" for x in rows.columns if x != "group"})
+        meets = (F.col("node") < F.col("node_2")) & apart & feasible(F.col, lambda name: F.col(f"{name}_2"))
+        return rows.join(other, (rows["group"] == other["group"]) & meets).select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+
+    few = pairs_of(shared.filter(F.col("size") <= small).drop("size"), F.lit(True)).checkpoint()
+    left = shared.filter(F.col("size") > small).drop("size")
+    asked = few.select(F.explode(F.array("a", "b")).alias("node")).unionByName(left.select("node")).distinct().checkpoint()
+    verify = prepare(asked)
+    links = verify(few).select("a", "b").checkpoint()
+    labels = connected_components(links)
+    if left.isEmpty():
+        return labels
     for turn in range(HUB_ROUNDS + 1):
-        if labels is None:
-            known = left.withColumn("c", F.col("node"))
-        else:
-            known = left.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        known = left.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         open_ = known.withColumn("lo", F.min("c").over(of_group)).withColumn("hi", F.max("c").over(of_group)).filter("lo < hi").drop("lo", "hi")
         if turn < HUB_ROUNDS:
             # The hub is the member of the largest component, by the order of hashes among equals.
             open_ = open_.withColumn("k", F.count("*").over(Window.partitionBy("group", "c")))
-            open_ = open_.withColumn("hub", F.max(F.struct("k", F.xxhash64("node", F.lit(turn)).alias("x"), "node", "c")).over(of_group)).checkpoint()
-            pairs = open_.filter("c <> hub.c").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-            left = open_.filter("node <> hub.node").select("group", "node").checkpoint()
+            open_ = open_.withColumn("hub", F.max(F.struct("k", F.xxhash64("node", F.lit(turn)).alias("x"), "node", "c", *carry)).over(of_group)).drop("k").checkpoint()
+            pairs = open_.filter("c <> hub.c").filter(feasible(F.col, lambda name: F.col(f"hub.{name}")))
+            pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+            left = open_.filter("node <> hub.node").select("group", "node", *carry)
         else:
-            open_ = open_.select("group", "node", "c").checkpoint()
-            other = open_.select("group", F.col("node").alias("node2"), F.col("c").alias("c2"))
-            pairs = open_.join(other, "group").filter("node < node2 and c <> c2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-        if open_.isEmpty():
-            break
+            pairs = pairs_of(open_, F.col("c") != F.col("c_2"))
         found = verify(pairs).select("a", "b").checkpoint()
         if not found.isEmpty():
-            links = links.unionByName(found).checkpoint()
-            labels = connected_components(links).checkpoint()
-    return labels if labels is not None else spark.createDataFrame([], "node long, component long"), links
+            # Components are joined by links between their labels.
+            old = labels.withColumnRenamed("component", "c")
+            named = found.join(old.withColumnsRenamed({"node": "a", "c": "ca"}), "a", "left").join(old.withColumnsRenamed({"node": "b", "c": "cb"}), "b", "left")
+            named = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            joined = connected_components(named).withColumnsRenamed({"node": "c", "component": "to"})
+            moved = old.join(joined, "c", "left").select("node", F.coalesce("to", "c").alias("component"))
+            labels = moved.unionByName(joined.select(F.col("c").alias("node"), F.col("to").alias("component"))).distinct().checkpoint()
+    return labels

@@ -84,7 +84,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, n long, s1 long, s2 long")
 
 
-_ENTRIES = "node long, n long, keys array<long>, shingles array<long>"
+_ENTRIES = "node long, n long, keys array<long>, reach array<long>, shingles array<long>"
 
 
 def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -127,7 +127,7 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
 
     def entries(rows: pa.Table, told: pa.Table) -> pa.Table:
         nodes, sets = own_sets(rows, told)
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         if sets:
             keys = np.unique(np.concatenate([x >> shift for x in sets]))
             parts = sorted((r, c) for r, k, c in zip(told["range"].to_pylist(), told["kind"].to_pylist(), told["counts"].to_pylist()) if k == 1)
@@ -136,25 +136,27 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
                 df = counts[np.searchsorted(keys, own >> shift)]
                 made = list(_keys(own, df, light, percent))
                 if made:
-                    for column, value in zip(out, (node, len(own), np.unique(np.array(made, dtype=np.uint64)).view(np.int64), own.view(np.int64))):
+                    keys_of = np.array([k for k, _ in made], dtype=np.uint64).view(np.int64)
+                    for column, value in zip(out, (node, len(own), keys_of, [r for _, r in made], own.view(np.int64))):
                         column.append(value)
         lists = pa.list_(pa.int64())
-        return pa.table({"node": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "keys": pa.array(out[2], lists), "shingles": pa.array(out[3], lists)})
+        kinds = (pa.int64(), pa.int64(), lists, lists, lists)
+        return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("node", "n", "keys", "reach", "shingles"), out, kinds)})
 
     listed = stage(texts.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(entries, _ENTRIES), "entries")
-    members = listed.select(F.explode("keys").alias("group"), "node")
-    sizes = listed.select("node", "n")
+    members = listed.select("node", "n", F.inline(F.arrays_zip("keys", "reach"))).withColumnRenamed("keys", "group")
     sets = listed.select("node", "n", "shingles")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        both = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).drop("na", "nb")
-        both = both.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
         both = both.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.select("a", "b", "na", "nb", common.alias("common")).filter(F.col("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("common")))
 
-    labels, _ = grouped_components(members, verify)
+    def feasible(one, other):
+        return (one("n") <= other("reach")) & (other("n") <= one("reach")) & (F.least(one("n"), other("n")) * 100 >= F.greatest(one("n"), other("n")) * percent)
+
+    labels = grouped_components(members, lambda nodes: verify, ("n", "reach"), feasible)
     known = classes.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
     lowest = known.groupBy("c").agg(F.min("low").alias("component_id"))
     of_class = known.join(lowest, "c").select("n", "s1", "s2", "component_id")
@@ -162,8 +164,12 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     return rows.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _keys(own: np.ndarray, df: np.ndarray, light: int, percent: int) -> Iterator[int]:
-    """The groups in which a set meets others."""
+def _keys(own: np.ndarray, df: np.ndarray, light: int, percent: int) -> Iterator[tuple[int, int]]:
+    """The groups in which a set meets others, each with the size of the largest set that can link it from there.
+
+    If two sets have their first common shingle, by rarity, at places i and j, they share at most n - i and
+    m - j; a set met at place i must thus be small enough for n - i to be an overlap that links.
+    """
     n = len(own)
     if n <= light:
         shared = own[df > 1]
@@ -174,10 +180,12 @@ def _keys(own: np.ndarray, df: np.ndarray, light: int, percent: int) -> Iterator
                 code = np.full(len(subsets), (min(n, m) << 20) + max(n, m), dtype=np.uint64)
                 for k in range(o):
                     code = mix(code * np.uint64(0x9E3779B97F4A7C15) + subsets[:, k])
-                yield from code.tolist()
+                yield from ((c, light) for c in code.tolist())
     if n > light or 100 * n >= percent * (light + 1):
         rarest = np.lexsort((own, df))[: n - -(-percent * n // 100) + 1]
-        yield from own[rarest[df[rarest] > 1]].tolist()
+        for i, k in enumerate(rarest.tolist()):
+            if df[k] > 1:
+                yield int(own[k]), (n - i) * (100 + percent) // percent - n
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
