@@ -40,12 +40,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def grouped_components(members: DataFrame, prepare: Callable[[DataFrame], Verify], carry: tuple[str, ...] = (), feasible: Callable[[Pick, Pick], Column] | None = None, small: int = SMALL_GROUP) -> DataFrame:
+def grouped_components(members: DataFrame, prepare: Callable[[DataFrame], Verify], carry: tuple[str, ...] = (), feasible: Callable[[Pick, Pick], Column] | None = None, small: int = SMALL_GROUP, central: str | None = None) -> DataFrame:
     """(node, component) for (group, node, carry...) rows; nodes without a link are absent.
 
     Two members of a group are linked if they are feasible by what they carry and are kept by the function
     that ``prepare`` makes of the nodes which may be asked for.  Rows must be distinct.  Groups of ``small`` members at most
-    are compared pair by pair.  In larger ones, in each of the first rounds, one member (the hub) is
+    are compared pair by pair (``central`` names a carried column that is largest for members likely to have
+    many links).  In larger ones, in each of the first rounds, one member (the hub) is
     compared with those that are not yet in its component; it then leaves the group, as nothing of it is
     open.  Groups whose members all lie in one component are done, so a group of n near copies costs about
     n comparisons.  After ``HUB_ROUNDS`` every feasible pair that is still open is compared: no link
@@ -73,9 +74,9 @@ def grouped_components(members: DataFrame, prepare: Callable[[DataFrame], Verify
         known = left.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         open_ = known.withColumn("lo", F.min("c").over(of_group)).withColumn("hi", F.max("c").over(of_group)).filter("lo < hi").drop("lo", "hi")
         if turn < HUB_ROUNDS:
-            # The hub is the member of the largest component, by the order of hashes among equals.
+            # The hub is the member of the largest component; among equals the most central one, then by hash.
             open_ = open_.withColumn("k", F.count("*").over(Window.partitionBy("group", "c")))
-            open_ = open_.withColumn("hub", F.max(F.struct("k", F.xxhash64("node", F.lit(turn)).alias("x"), "node", "c", *carry)).over(of_group)).drop("k").checkpoint()
+            open_ = open_.withColumn("hub", F.max(F.struct("k", F.col(central or "k").alias("p"), F.xxhash64("node", F.lit(turn)).alias("x"), "node", "c", *carry)).over(of_group)).drop("k").checkpoint()
             pairs = open_.filter("c <> hub.c").filter(feasible(F.col, lambda name: F.col(f"hub.{name}")))
             pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
             left = open_.filter("node <> hub.node").select("group", "node", *carry)

@@ -156,7 +156,7 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     def feasible(one, other):
         return (one("n") <= other("reach")) & (other("n") <= one("reach")) & (F.least(one("n"), other("n")) * 100 >= F.greatest(one("n"), other("n")) * percent)
 
-    labels = grouped_components(members, lambda nodes: verify, ("n", "reach"), feasible)
+    labels = grouped_components(members, lambda nodes: verify, ("n", "reach"), feasible, central="reach")
     known = classes.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
     lowest = known.groupBy("c").agg(F.min("low").alias("component_id"))
     of_class = known.join(lowest, "c").select("n", "s1", "s2", "component_id")
