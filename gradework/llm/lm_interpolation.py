@@ -5,7 +5,7 @@ context was seen, in buckets of powers of two.  A part of the training documents
 counts give estimates of its tokens, and expectation-maximisation finds each bucket's weights from them.
 The final estimates use the counts of all training documents.
 
-All counts are over the whole corpus.  Words are 64-bit hashes; runs of two and three are counted by 48
+All counts are over the whole corpus.  Words are 64-bit hashes; runs of two and three are counted by 42
 bits.  Expectation-maximisation works on counts of cells, tokens of one bucket whose three estimates
 agree to a tenth of a decade, so the driver sees a bounded table at any input size.
 
@@ -26,7 +26,7 @@ from .counting import MESSAGE, add_up, count_list, message_table, messages, shar
 _END = np.uint64(0x1D8AF066F1D1E5C3)
 _BEGIN = np.uint64(0x7C3E6B2A9D4F8B11)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_RUN_BITS = 48
+_RUN_BITS = 42
 _LEVELS = 24  # context buckets of a trigram context; as many follow for a bigram context
 _STEPS = 10  # cells a decade
 ITERATIONS = 60
