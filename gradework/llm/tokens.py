@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
 
 #: Entries in each of the two dictionaries of a worker.
 CACHE_ENTRIES = 350_000
@@ -18,12 +17,27 @@ CACHE_ENTRIES = 350_000
 _INNER = re.compile(r"(?<=[^\W_])(?=[.,\n])|(?<=\n)(?=[^\W_])")
 _TWO_SPACES = re.compile(r"\s\s")
 #: Letters that the tokenizers' pre-tokenizers never part and, lower-cased, leave as they are.
-_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _BEFORE_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
 
 
+class _Ids(dict):
+    """piece -> ids.  A piece that is not known is looked up among the older ones or encoded, and kept."""
+
+    def __init__(self, encoder: "Encoder", older: dict):
+        super().__init__({"": encoder.encode_piece("")})
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, piece: str) -> bytes:
+        known = self.older.get(piece)
+        if known is None:
+            known = self.encoder.encode_piece(piece, self)
+        self[piece] = known
+        return known
+
+
 class Encoder:
-    """ids(text) as little-endian unsigned integers of ``width`` bytes.
+    """encode(texts): ids as little-endian unsigned integers of ``width`` bytes.
 
     drops_space: the tokenizer drops white space and never joins what it parts (word_bpe); otherwise a
     blank belongs to the word that follows it (byte_bpe).
@@ -36,80 +50,71 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenize = self.tokenizer.model.tokenize
         self.drops_space, self.width = drops_space, width
+        self.blank = "" if drops_space else " "
         # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: 256 + k for k, b in enumerate(others)}
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.known = _Ids(self, {})
+
+    def _whole(self, text: str) -> bytes:
+        width = self.width
+        return b"".join([i.to_bytes(width, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
-    def _pieces(self, text: str) -> list[str]:
+    def _word(self, word: str) -> bytes:
+        """A plain word goes to the tokenizer's model alone, as its other steps leave it whole."""
+        width = self.width
         if self.drops_space:
-            return text.replace("\n", " ").replace("\t", " ").split(" ")
+            word = word.lower()
+        return b"".join([t.id.to_bytes(width, "little") for t in self.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
+
+    def encode_piece(self, piece: str, known: dict | None = None) -> bytes:
+        """Ids of a piece with its blank, from those of its parts where it has some."""
+        if _PLAIN.fullmatch(piece):
+            return self._word(self.blank + piece)
+        if known is None or not piece:
+            return self._whole(self.blank + piece)
+        if piece[-1] in ".," and piece[:-1].isalpha():
+            return known[piece[:-1]] + self._part(piece[-1], known)
+        if _TWO_SPACES.search(self.blank + piece):
+            return self._whole(self.blank + piece)
+        first, *rest = _INNER.split(piece)
+        if not rest or not first:
+            return self._whole(self.blank + piece)
+        return known[first] + b"".join([self._part(x, known) for x in rest])
+
+    def _part(self, part: str, known: dict) -> bytes:
+        """Ids of what has no blank before it, kept under a key that no piece has."""
+        key = (part,)
+        ids = known.get(key)
+        if ids is None:
+            ids = known[key] = self._word(part) if _PLAIN.fullmatch(part) else self._whole(part)
+        return ids
+
+    def _pieces(self, text: str) -> tuple[str, list[str]]:
+        """What comes before the first blank between words, and what follows each, without that blank."""
+        if self.drops_space:
+            return "", text.replace("\n", " ").replace("\t", " ").split(" ")
         if "  " not in text and "\n " not in text and "\t" not in text and "\r" not in text:
             first, *rest = text.split(" ")
-            return [first, *[" " + x for x in rest]]
-        return _BEFORE_SPACE.split(text)
-
-    def _encode(self, atoms: Iterable[str]) -> None:
-        """Add the ids of atoms that are not known.  A plain word goes to the tokenizer's model alone, as its other steps leave it whole."""
-        young, width, tokenize, alphabet = self.young, self.width, self.tokenizer.model.tokenize, self.alphabet
-        other = []
-        for atom in atoms:
-            if _PLAIN.fullmatch(atom):
-                word = atom.lower() if self.drops_space else atom
-                young[atom] = b"".join([t.id.to_bytes(width, "little") for t in tokenize(word.encode().decode("latin-1").translate(alphabet))])
-            else:
-                other.append(atom)
-        for atom, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            young[atom] = b"".join([i.to_bytes(width, "little") for i in e.ids])
-
-    def _learn(self, unknown: Iterable[str]) -> None:
-        young, old = self.young, self.old
-        split: list[tuple[str, list[str]]] = []
-        fresh = set()
-        for piece in unknown:
-            known = old.get(piece)
-            if known is not None:
-                young[piece] = known
-                continue
-            word = piece[1:] if piece[0] == " " else piece
-            if word.isalpha():
-                fresh.add(piece)
-                continue
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                parts = [piece[:-1], word[-1]]
-            elif _TWO_SPACES.search(piece):
-                fresh.add(piece)
-                continue
-            else:
-                parts = _INNER.split(piece)
-            split.append((piece, parts))
-            for atom in parts:
-                if atom not in young:
-                    known = old.get(atom)
-                    if known is None:
-                        fresh.add(atom)
-                    else:
-                        young[atom] = known
-        self._encode(fresh)
-        for piece, parts in split:
-            if len(parts) > 1:
-                young[piece] = b"".join([young[x] for x in parts])
+        else:
+            first, *rest = _BEFORE_SPACE.split(text)
+            rest = [x[1:] for x in rest]
+        return first, rest
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
-        for i in range(0, len(texts), 200):
-            lists = [self._pieces(x) if x else [] for x in texts[i : i + 200]]
-            if len(self.young) > CACHE_ENTRIES:
-                self.old, self.young = self.young, {"": b""}
-            wanted: set[str] = set()
-            for pieces in lists:
-                wanted.update(pieces)
-            self._learn(wanted.difference(self.young))
-            get = self.young.__getitem__
-            out += [b"".join(map(get, pieces)) for pieces in lists]
+        for text in texts:
+            if not text:
+                out.append(b"")
+                continue
+            if len(self.known) > CACHE_ENTRIES:
+                self.known = _Ids(self, dict(self.known))
+            first, rest = self._pieces(text)
+            ids = b"".join(map(self.known.__getitem__, rest))
+            out.append(self._whole(first) + ids if first else ids)
         return out
 
 
