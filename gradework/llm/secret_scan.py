@@ -32,7 +32,7 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex")
 
 #: Runs that the tests look at: 20 characters or more, with a digit or both cases.
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[^a-z]*[a-z]+[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}"
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[A-Z+/_-]*[a-z][a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}"
 FDR = 0.001
 #: (pattern, alphabet size, likeness): likeness is alphabet size times the chance that two characters of structured text agree.
 ENCODINGS = (
