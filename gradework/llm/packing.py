@@ -3,8 +3,9 @@
 Documents are taken in shards as the input's partitions deal them, at most ``SHARD_TOKENS`` ids or
 ``SHARD_DOCS`` documents each, and every shard has its own BM25 inverted index.  A seed (the first
 unused document of the shard) opens a sequence; the index returns its best unused neighbours, which
-fill the window one after the other; what does not fit is cut and opens the next sequence.  When a
-seed has no neighbour left the next unused document follows.
+fill the window one after the other.  What does not fit is cut and opens the next sequence, whose seed
+that document is, so every sequence holds neighbours of its own seed.  When a seed has no neighbour left
+the next unused document follows, and is asked for neighbours in turn.
 
 A sequence is filled to ``WINDOW`` ids; the rest at a shard's end goes into sequences whose lengths are
 powers of two, which need no padding either.  No text or id moves between tasks.
@@ -74,17 +75,23 @@ def arrange(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int,
     line: list[int] = []  # the documents in the order in which they fill windows
     room = 0
     first, waiting = 0, iter(())
+
+    def query(doc: int) -> Iterator[int]:
+        return iter(index.neighbours(doc, used)) if len(ids[doc]) < window else iter(())
+
     while len(line) < len(ids):
         doc = next((int(x) for x in waiting if not used[x]), None) if room else None
-        if doc is None:
+        alone = doc is None
+        if alone:
             while used[first]:
                 first += 1
             doc = first
-            used[doc] = True
-            waiting = iter(index.neighbours(doc, used)) if len(ids[doc]) < window else iter(())
         used[doc] = True
         line.append(doc)
+        opens = len(ids[doc]) > room  # it starts the next window, or what is cut off it does
         room = (room - len(ids[doc])) % window
+        if alone or opens:
+            waiting = query(doc) if room else iter(())
     total = sum(len(x) for x in ids)
     sizes = [window] * (total // window) + [1 << k for k in range(window.bit_length() - 1, -1, -1) if (total % window) >> k & 1]
     pieces, at, seq, offset = [], iter(sizes), -1, 0

@@ -313,6 +313,33 @@ def test_neighbours_share_words():
     assert 2 not in index.neighbours(0, np.array([True, False, True, False]))
 
 
+def test_every_window_is_filled_by_its_own_seed(monkeypatch):
+    rng = np.random.default_rng(5)
+    ids = [rng.integers(0, 400, int(n)) for n in rng.integers(5, 100, 300)]
+    asked = []
+    plain = packing.Bm25Index.neighbours
+
+    def noted(self, doc, used):
+        found = plain(self, doc, used)
+        asked.append(doc)
+        return found
+
+    monkeypatch.setattr(packing.Bm25Index, "neighbours", noted)
+    window = 128
+    line = list(dict.fromkeys(p[0] for p in packing.arrange(ids, window)))
+    assert sorted(line) == list(range(len(ids)))
+    index, used, room, seed = packing.Bm25Index(ids), np.zeros(len(ids), bool), 0, None
+    asked, seeds = [], asked
+    for doc in line:
+        best = [int(x) for x in plain(index, seed, used)] if room else []
+        assert doc == (best[0] if best else int(np.flatnonzero(~used)[0]))
+        used[doc] = True
+        if not best or len(ids[doc]) > room:
+            seed = doc
+        room = (room - len(ids[doc])) % window
+    assert len(seeds) >= 0.9 * sum(map(len, ids)) // window
+
+
 def test_language(spark, odd, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     told = language_id.identify(docs, language_id.train(docs)).select("doc_id", "lang", "_language.*").collect()
