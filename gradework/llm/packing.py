@@ -28,8 +28,6 @@ WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 1024
 SHARD_TOKENS = 4_000_000
-#: A seed is looked up by so many of its terms, those of the highest weight.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -50,21 +48,28 @@ class Bm25Index:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
         weight = idf[terms] * tf * (K1 + 1) / (tf + norm[docs])
-        self.query_weight = idf[terms]
         order = np.argsort(terms, kind="stable")
         self.list_at = np.searchsorted(terms[order], np.arange(len(df) + 1))
         self.list_docs, self.list_weight = docs[order], weight[order]
+        # Long lists are added up as rows of a table, which takes less than adding them posting by posting.
+        common = np.flatnonzero(df * 8 > n)
+        self.row = np.full(len(df), -1)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[terms] >= 0
+        self.rows = np.zeros((len(common), n))
+        self.rows[self.row[terms[dense]], docs[dense]] = weight[dense]
         self.n = n
 
     def neighbours(self, doc: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score, ties by place; those without a common query term are left out."""
-        a, b = self.by_doc[doc], self.by_doc[doc + 1]
-        terms = self.terms[a:b]
-        if b - a > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.query_weight[a:b], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [(self.list_at[t], self.list_at[t + 1]) for t in terms]
-        docs = np.concatenate([self.list_docs[x:y] for x, y in spans]) if spans else np.zeros(0, np.int64)
-        score = np.bincount(docs, np.concatenate([self.list_weight[x:y] for x, y in spans]), self.n) if spans else np.zeros(self.n)
+        """Unused documents by falling score over all terms of ``doc``, ties by place; those without a common term are left out."""
+        terms = self.terms[self.by_doc[doc] : self.by_doc[doc + 1]]
+        row = self.row[terms]
+        score = self.rows[row[row >= 0]].sum(axis=0)
+        rare = terms[row < 0]
+        start = self.list_at[rare]
+        n = self.list_at[rare + 1] - start
+        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score += np.bincount(self.list_docs[at], self.list_weight[at], self.n)
         found = np.flatnonzero((score > 0) & ~used)
         return found[np.lexsort((found, -score[found]))]
 
@@ -76,9 +81,6 @@ def arrange(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int,
     room = 0
     first, waiting = 0, iter(())
 
-    def query(doc: int) -> Iterator[int]:
-        return iter(index.neighbours(doc, used)) if len(ids[doc]) < window else iter(())
-
     while len(line) < len(ids):
         doc = next((int(x) for x in waiting if not used[x]), None) if room else None
         alone = doc is None
@@ -91,7 +93,7 @@ def arrange(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int,
         opens = len(ids[doc]) > room  # it starts the next window, or what is cut off it does
         room = (room - len(ids[doc])) % window
         if alone or opens:
-            waiting = query(doc) if room else iter(())
+            waiting = iter(index.neighbours(doc, used) if room else ())
     total = sum(len(x) for x in ids)
     sizes = [window] * (total // window) + [1 << k for k in range(window.bit_length() - 1, -1, -1) if (total % window) >> k & 1]
     pieces, at, seq, offset = [], iter(sizes), -1, 0

@@ -313,6 +313,27 @@ def test_neighbours_share_words():
     assert 2 not in index.neighbours(0, np.array([True, False, True, False]))
 
 
+def test_neighbours_are_those_of_the_whole_document():
+    rng = np.random.default_rng(6)
+    ids = [(rng.integers(0, 30, n) ** 2 * rng.integers(1, 9, n)).astype(np.int64) for n in [*rng.integers(1, 300, 60), 3000, 0]]
+    index, mean = packing.Bm25Index(ids), np.mean([len(x) for x in ids])
+    tf = [collections.Counter(x.tolist()) for x in ids]
+    df = collections.Counter(t for c in tf for t in c)
+    for i, query in enumerate(tf):
+        want = np.zeros(len(ids))
+        for j, c in enumerate(tf):
+            norm = packing.K1 * (1 - packing.B + packing.B * len(ids[j]) / mean)
+            want[j] = sum(math.log1p((len(ids) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * (packing.K1 + 1) / (c[t] + norm) for t in query if t in c)
+        got = index.neighbours(i, np.arange(len(ids)) == i)
+        assert sorted(got.tolist()) == [j for j in range(len(ids)) if want[j] > 0 and j != i]
+        assert all(a >= b - 1e-9 for a, b in zip(want[got], want[got][1:]))
+
+
+def test_long_seeds_are_followed_by_neighbours():
+    ids = [np.arange(300), np.arange(1000, 1020), np.arange(280, 300), np.arange(1020, 1100)]
+    assert list(dict.fromkeys(p[0] for p in packing.arrange(ids, 256)))[:2] == [0, 2]
+
+
 def test_every_window_is_filled_by_its_own_seed(monkeypatch):
     rng = np.random.default_rng(5)
     ids = [rng.integers(0, 400, int(n)) for n in rng.integers(5, 100, 300)]
