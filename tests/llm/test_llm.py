@@ -279,6 +279,27 @@ def test_lines(spark, odd):
     assert 1 not in kept and 9 not in kept and kept[0] == PROSE and kept[4] == ""
 
 
+def test_near_lines_of_all_lengths_are_found(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9))) for _ in range(800)]
+    lines = []
+    for n in (5, 8, 12, 18, 30, 45, 70, 110) * 12:
+        line = [vocabulary[k] for k in rng.integers(0, len(vocabulary), n)]
+        other = list(line)
+        for k in rng.choice(n, max(1, n // 14), replace=False):
+            other[k] = other[k][:-1] + "x" if rng.random() < 0.7 else vocabulary[rng.integers(len(vocabulary))]
+        lines += [" ".join(line), " ".join(other)]
+    docs = frame(spark, list(enumerate(lines)))
+    one, two = docs.select("doc_id", "text"), docs.selectExpr("doc_id as other", "text as o")
+    brute = one.join(two, F.col("other") < F.col("doc_id")).filter("levenshtein(text, o) <= floor(greatest(length(text), length(o)) * 0.2 + 1e-9)")
+    near = {r["doc_id"] for r in brute.select("doc_id").collect()}
+    gone = set(range(len(lines))) - {r["doc_id"] for r in line_dedup.dedup_lines(docs).select("doc_id").collect()}
+    assert gone <= near and len(near) > 80
+    for few, many in ((1, 15), (15, 40), (40, 200)):
+        of = {i for i in near if few <= len(lines[i].split()) < many}
+        assert len(gone & of) >= 0.9 * len(of)
+
+
 def test_packing(spark, odd):
     import public_tokenizers
 
