@@ -1,7 +1,8 @@
 """Operator 10: language identification by compression.
 
 Each language has a raw-content zstandard dictionary made of its own training texts.  A text is
-compressed once with each; the language whose dictionary gives the fewest bytes wins, and the text is
+compressed with each, in pieces of ``PIECE_BYTES`` that know nothing of each other, so that what a
+dictionary saves grows with the text and the margin does not depend on its length; the language whose dictionary gives the fewest bytes wins, and the text is
 rejected when the runner-up is nearly as small.  Case, digits and signs are folded away before, as they
 say nothing of a language.
 
@@ -28,6 +29,8 @@ MAX_SAMPLE_DOCS = 200
 #: At most this many bytes of a sample document go into a dictionary, so that no text fills it alone.
 MAX_DOC_BYTES = 4096
 LEVEL = 9
+#: Longer texts are compressed in pieces of about so many bytes, which end where a word ends.
+PIECE_BYTES = 16 << 10
 #: Below this share of bytes saved against the runner-up a text is rejected, if it is long enough to show one.
 MIN_MARGIN = 0.004
 MARGIN_FROM_BYTES = 48
@@ -41,6 +44,20 @@ def folded(text: str) -> bytes:
     return _NOT_LETTERS.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
+def pieces(raw: bytes, size: int = PIECE_BYTES) -> list[bytes]:
+    """``raw`` in equal parts of at most ``size`` bytes, cut at the last space of a part if there is one."""
+    if len(raw) <= size:
+        return [raw]
+    out, at = [], 0
+    while at < len(raw):
+        end = at + -(-(len(raw) - at) // -(-(len(raw) - at) // size))
+        if end < len(raw):
+            end = raw.rfind(b" ", at + 1, end) + 1 or end
+        out.append(raw[at:end])
+        at = end
+    return out
+
+
 def learn_dictionaries(labelled: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, max_docs: int = MAX_SAMPLE_DOCS) -> dict[str, bytes]:
     """language -> dictionary content, the commonest language first, from (text, lang, order) rows with neither null.
 
@@ -103,7 +120,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                     rows.append((UNDETERMINED, 0.0, True))
                     continue
                 raw = folded(x)
-                sizes = [len(p.compress(raw)) for p in packers]
+                parts = pieces(raw)
+                sizes = [sum(len(p.compress(part)) for part in parts) for p in packers]
                 best = min(sizes)
                 order = sorted(sizes)
                 gap = order[1] - best if len(order) > 1 else len(raw)

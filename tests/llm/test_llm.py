@@ -393,6 +393,18 @@ def test_language(spark, odd, sf_dir):
     assert language_id.train(odd[1].limit(0)) == {}
 
 
+def test_long_clean_prose_is_not_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    prose = [w for r in docs.filter("lang = 'en'").select("text").collect() for w in (r["text"] or "").split()]
+    text = " ".join(np.random.default_rng(7).choice(prose, 700_000))
+    assert len(text) > 3_000_000
+    (told,) = language_id.identify(frame(spark, [(0, text)]), language_id.train(docs)).select("_language.*").collect()
+    assert told["lang_pred"] == "en" and not told["rejected"]
+    for raw in (b"", b"ab", b"word " * 9000, b"x" * 50_000, text[:200_000].encode()):
+        parts = language_id.pieces(raw, 1000)
+        assert b"".join(parts) == raw and all(len(p) <= 1000 for p in parts)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
