@@ -1,18 +1,20 @@
 """Operator 9: packing documents into training sequences with lexically near neighbours.
 
-Documents are taken in shards as the input's partitions deal them, at most ``SHARD_TOKENS`` ids or
-``SHARD_DOCS`` documents each, and every shard has its own BM25 inverted index.  A seed (the first
+Documents are dealt over all data by their words (see ``dealing``): those with common rare words come to
+lie near each other.  Shards are runs of that order, at most ``SHARD_TOKENS`` ids or ``SHARD_DOCS``
+documents each, and every shard has its own BM25 inverted index.  A seed (the first
 unused document of the shard) opens a sequence; the index returns its best unused neighbours, which
 fill the window one after the other.  What does not fit is cut and opens the next sequence, whose seed
 that document is, so every sequence holds neighbours of its own seed.  When a seed has no neighbour left
 the next unused document follows, and is asked for neighbours in turn.
 
 A sequence is filled to ``WINDOW`` ids; the rest at a shard's end goes into sequences whose lengths are
-powers of two, which need no padding either.  No text or id moves between tasks.
+powers of two, which need no padding either.  Ids are written once and shuffled once; texts stay.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -20,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from .common import buckets_for, documents, stage
+from .dealing import SAMPLE_DOCS, Tree
 from .tokens import encoder
 
 WINDOW = 2048
@@ -29,6 +33,8 @@ END_ID = 1
 SHARD_DOCS = 1024
 SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
+#: So many ids of a sample document count in learning how documents are dealt; all ids of all documents count in dealing.
+_SAMPLE_IDS = 20_000
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -115,18 +121,37 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     Every id of every document lies in exactly one piece; null text is the empty text, of which the end
     id alone remains; rows with the same or no doc_id are documents of their own; an empty table gives
     no rows; other columns are ignored.  ``window`` is a power of two.  sequence_id holds the partition,
-    the shard and the place in it, so the rows depend on how the input is dealt, but a task that runs
+    the shard and the place in it, so the rows depend on the number of partitions, but a task that runs
     again gives the same ones.
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, drops_space=True, width=2).encode
+        end = np.array([end_id], dtype="<u2").tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                ids = pa.array([raw + end for raw in encode(some.column(1).to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), ids], names=["doc_id", "ids"])
+
+    encoded = stage(docs.select("doc_id", "text").mapInArrow(tokenize, "doc_id long, ids binary"), "packing")
+    number = encoded.count()
+    space = 1 << 20
+    share = math.ceil(space * min(1.0, SAMPLE_DOCS / max(1, number)))
+    sample = encoded.filter(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(space)) < share).select(F.substring("ids", 1, 2 * _SAMPLE_IDS).alias("ids"))
+    tree = docs.sparkSession.sparkContext.broadcast(Tree([np.frombuffer(r["ids"], "<u2") for r in sample.collect()]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf, place = tree.value.places([np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(place)], names=["doc_id", "ids", "leaf", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         shard, keys, ids, held = 0, [], [], 0
-        end = np.array([end_id], dtype=np.uint32)
 
         def close() -> pa.RecordBatch:
             doc, start, length, seq, offset = (np.array(x, dtype=np.int64) for x in zip(*arrange(ids, window)))
@@ -140,20 +165,23 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                for key, raw in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                    tokens = np.concatenate([np.frombuffer(raw, "<u2").astype(np.uint32), end])
-                    keys.append(key)
-                    ids.append(tokens)
-                    held += len(tokens)
-                    if len(ids) >= SHARD_DOCS or held >= SHARD_TOKENS:
-                        yield close()
-                        shard, keys, ids, held = shard + 1, [], [], 0
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = np.frombuffer(raw, "<u2").astype(np.uint32)
+                keys.append(key)
+                ids.append(tokens)
+                held += len(tokens)
+                if len(ids) >= SHARD_DOCS or held >= SHARD_TOKENS:
+                    yield close()
+                    shard, keys, ids, held = shard + 1, [], [], 0
         if ids:
             yield close()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    # Copies share leaf and place: the hash cuts a large group of them into several ranges.
+    order = ["leaf", "place", "salt", "doc_id"]
+    dealt = encoded.mapInArrow(deal, "doc_id long, ids binary, leaf long, place double").withColumn("salt", F.xxhash64("doc_id", "ids"))
+    parts = max(1, min(number // SHARD_DOCS, max(buckets_for(docs.sparkSession), number // (64 * SHARD_DOCS))))
+    ranges = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ranges.select("doc_id", "ids").mapInArrow(run, _SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

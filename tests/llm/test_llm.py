@@ -350,6 +350,22 @@ def test_neighbours_are_those_of_the_whole_document():
         assert all(a >= b - 1e-9 for a, b in zip(want[got], want[got][1:]))
 
 
+def test_documents_of_distant_partitions_are_neighbours(spark, monkeypatch):
+    import public_tokenizers
+
+    rng = np.random.default_rng(8)
+    topics = [["".join(rng.choice(list("abcdefghilmnoprstu"), 6)) for _ in range(40)] for _ in range(40)]
+    texts = [" ".join(rng.choice(topics[i % 40], 30)) for i in range(320)]
+    monkeypatch.setattr(packing, "SHARD_DOCS", 40)
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts)]).repartition(8, (F.col("doc_id") / 40).cast("int"))
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=512).collect()
+    topic_of = collections.defaultdict(collections.Counter)
+    for r in rows:
+        topic_of[r["sequence_id"]][r["doc_id"] % 40] += 1
+    assert {r["doc_id"] for r in rows} == set(range(320))
+    assert sum(c.most_common(1)[0][1] for c in topic_of.values()) > 0.5 * len(rows)
+
+
 def test_long_seeds_are_followed_by_neighbours():
     ids = [np.arange(300), np.arange(1000, 1020), np.arange(280, 300), np.arange(1020, 1100)]
     assert list(dict.fromkeys(p[0] for p in packing.arrange(ids, 256)))[:2] == [0, 2]
