@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: Gives a column of one of two members by its name.
 Pick = Callable[[str], Column]
 #: Keeps those (a, b) pairs that are links.
@@ -83,12 +85,51 @@ def grouped_components(members: DataFrame, prepare: Callable[[DataFrame], Verify
         else:
             pairs = pairs_of(open_, F.col("c") != F.col("c_2"))
         found = verify(pairs).select("a", "b").checkpoint()
-        if not found.isEmpty():
-            # Components are joined by links between their labels.
-            old = labels.withColumnRenamed("component", "c")
-            named = found.join(old.withColumnsRenamed({"node": "a", "c": "ca"}), "a", "left").join(old.withColumnsRenamed({"node": "b", "c": "cb"}), "b", "left")
-            named = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            joined = connected_components(named).withColumnsRenamed({"node": "c", "component": "to"})
-            moved = old.join(joined, "c", "left").select("node", F.coalesce("to", "c").alias("component"))
-            labels = moved.unionByName(joined.select(F.col("c").alias("node"), F.col("to").alias("component"))).distinct().checkpoint()
+        labels = joined_by(labels, found)
     return labels
+
+
+def starred_components(members: DataFrame, prepare: Callable[[DataFrame], Verify]) -> DataFrame:
+    """(node, component) for (group, node, ...) rows; nodes without a link are absent.
+
+    Two members of a group are linked if the function that ``prepare`` makes of the nodes which may be asked
+    for keeps them.  For groups that are mostly pure: each member is compared with the least of its
+    group, so a group of n near copies costs n comparisons at most.  What is left open
+    (groups whose members lie in several components) is compared with one hub after another, and at last pair by
+    pair, so no link between components is lost.  A group's rows stream through one task once, without being
+    sorted or held; all later steps aggregate by group and join.
+    """
+    dealt = members.select("group", "node").repartition("group")
+    ends = dealt.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
+    shared = stage(dealt.join(ends.hint("shuffle_hash"), "group"), "shared")
+    pairs = shared.select(F.col("low").alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
+    verify = prepare(shared.select("node").distinct())
+    labels = connected_components(verify(stage(pairs, "pairs")).select("a", "b"))
+    left = shared.select("group", "node").distinct()
+    for turn in range(HUB_ROUNDS + 1):
+        known = left.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        hub = F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), F.col("node").alias("hub"), F.col("c").alias("hub_c")))
+        open_ = known.groupBy("group").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub.alias("h")).filter("lo < hi").select("group", "h.hub", "h.hub_c").checkpoint()
+        if open_.isEmpty():
+            return labels
+        rows = known.join(open_, "group")
+        if turn < HUB_ROUNDS:
+            asked = rows.filter("c <> hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            left = rows.filter("node <> hub").select("group", "node").checkpoint()
+        else:
+            one, other = rows.select("group", F.col("node").alias("a"), F.col("c").alias("ca")), rows.select("group", F.col("node").alias("b"), F.col("c").alias("cb"))
+            asked = one.join(other, "group").filter("a < b and ca <> cb").select("a", "b").distinct()
+        labels = joined_by(labels, verify(stage(asked, "pairs")).select("a", "b").checkpoint())
+    return labels
+
+
+def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) with the components that ``links`` (a, b) connect made one."""
+    if links.isEmpty():
+        return labels
+    old = labels.withColumnRenamed("component", "c")
+    named = links.join(old.withColumnsRenamed({"node": "a", "c": "ca"}), "a", "left").join(old.withColumnsRenamed({"node": "b", "c": "cb"}), "b", "left")
+    named = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = connected_components(named).withColumnsRenamed({"node": "c", "component": "to"})
+    moved = old.join(joined, "c", "left").select("node", F.coalesce("to", "c").alias("component"))
+    return moved.unionByName(joined.select(F.col("c").alias("node"), F.col("to").alias("component"))).distinct().checkpoint()

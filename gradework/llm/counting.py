@@ -55,17 +55,17 @@ def bounds(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def sharded(rows: DataFrame, name: str, apart: str | None = None) -> DataFrame:
+def sharded(rows: DataFrame, name: str, apart: str | None = None, size: int = SHARD_ROWS) -> DataFrame:
     """``rows`` with row and shard, in a table bucketed by shard.
 
-    A shard is ``SHARD_ROWS`` neighbouring rows of an input partition, so writing moves nothing.  Rows for
+    A shard is ``size`` neighbouring rows of an input partition, so writing moves nothing.  Rows for
     which the boolean column ``apart`` holds have shards of their own, with odd numbers.
     """
     spark = rows.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     at = F.monotonically_increasing_id()
     odd = F.col(apart).cast("long") if apart else F.lit(0)
-    numbered = rows.withColumn("row", at).withColumn("shard", F.floor(F.col("row") / SHARD_ROWS) * 2 + odd)
+    numbered = rows.withColumn("row", at).withColumn("shard", F.floor(F.col("row") / size) * 2 + odd)
     writer = numbered.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name))
     writer.bucketBy(buckets_for(spark), "shard").saveAsTable(table)
     return spark.table(table)

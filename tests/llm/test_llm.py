@@ -255,14 +255,54 @@ def test_secrets(spark, odd):
     assert secret_scan.scan(odd[1]).count() == len(odd[0]) + 2 and secret_scan.scan(odd[1].limit(0)).count() == 0
 
 
-def test_simhash_counts_bits(spark):
-    many = [f"w{k}" for k in range(300)]
-    df = spark.createDataFrame([(0, many), (1, ["one"]), (2, ["a", "b", "a"]), (3, ["x", "y"] * 17_000)], "i int, w array<string>")
-    got = {r["i"]: r["s"] & (1 << 64) - 1 for r in df.select("i", line_dedup.simhash(F.col("w")).alias("s")).collect()}
-    hashed = {(r["i"], r["pos"]): r["h"] & (1 << 64) - 1 for r in df.select("i", F.posexplode("w")).select("i", "pos", F.xxhash64("col").alias("h")).collect()}
-    for i, n in ((0, 300), (1, 1), (2, 3), (3, 34_000)):
-        want = sum(1 << b for b in range(64) if 2 * sum(hashed[i, p] >> b & 1 for p in range(n)) > n)
-        assert got[i] == want
+def test_class_hashes_are_majorities_of_a_class(spark):
+    rows = [(0, i, f"w{k}") for i, n in ((1, 1), (2, 40), (3, 3000)) for k in range(n)]
+    df = spark.createDataFrame(rows, "shard long, id long, feature string").withColumn("kind", F.lit(4))
+    got = {(r["id"], r["class"]): r for r in line_dedup.class_hashes(df).collect()}
+    own = collections.defaultdict(list)
+    for r in df.select("id", F.xxhash64("feature").alias("h")).collect():
+        own[r["id"], r["h"] >> 60 & 15].append(r["h"] & (1 << 64) - 1)
+    assert set(got) == set(own) and {r["count"] for r in got.values()} == {len(v) for v in own.values()}
+    for key, hashes in own.items():
+        if len(hashes) <= 127:
+            bits = [8 * lane + j for lane in range(7) for j in range(5)]
+            assert got[key]["bits"] == sum(1 << b for b in bits if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_blocks_are_pigeonholes():
+    halves, lines = line_dedup.half_spaces(15), line_dedup.plane_lines(3)
+    rng = np.random.default_rng(1)
+    assert len(set(halves)) == 30 and {len(x) for x in halves} == {8} and len(set(lines)) == 12 and {len(x) for x in lines} == {4}
+    for _ in range(300):
+        four = set(rng.choice(16, 4, replace=False).tolist())
+        assert any(not four & set(h) for h in halves)
+    assert all(sum(p in x for x in lines) == 3 for p in range(16))
+
+
+def test_lines_of_real_documents_against_brute_force(spark, real):
+    lines = sorted({" ".join(x.lower().split()) for t in real.values() if t for x in t.split("\n")} - {""})
+    lines = [x for x in lines if len(x) <= 300]
+    docs = frame(spark, list(enumerate(lines)))
+    one, two = docs.selectExpr("doc_id a", "text la"), docs.selectExpr("doc_id b", "text lb")
+    brute = one.join(F.broadcast(two), F.expr("a < b and abs(length(la) - length(lb)) <= floor(greatest(length(la), length(lb)) * 0.2 + 1e-9)"))
+    brute = brute.repartition(16).filter("levenshtein(la, lb, int(floor(greatest(length(la), length(lb)) * 0.2 + 1e-9))) >= 0")
+    want = [(r["a"], r["b"]) for r in brute.select("a", "b").collect()]
+    group = list(range(len(lines)))
+    for a, b in sorted(want):
+        low, high = sorted((group[a], group[b]))
+        group = [low if g == high else g for g in group]
+    stay = {r["doc_id"] for r in line_dedup.dedup_lines(docs).select("doc_id").collect()}
+    gone, due = set(range(len(lines))) - stay, {i for i, g in enumerate(group) if g != i}
+    assert gone <= due and len(gone) >= 0.9 * len(due) > 5
+
+
+def test_lines_of_repeated_rows_and_clashing_names(spark):
+    names = ["_id", "_key", "_marks", "_kept", "_doc_key", "_kept_places", "node", "shard", "row", "id", "words", "at", "group"]
+    rows = [(0, "one line of words here\nother things follow now"), (0, "one line of words here\nother things follow now"), (None, "one line of words here"), (None, "third thing is unlike them"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(n).alias(n) for n in names))
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns and all(r["_kept"] == "_kept" and r["_id"] == "_id" for r in out.collect())
+    assert sorted(out.select("doc_id", "text").collect(), key=str) == sorted([(None, rows[2][1]), (None, rows[3][1]), (0, "other things follow now"), (2, None)], key=str)
 
 
 def test_lines(spark, odd):
