@@ -202,7 +202,7 @@ def op3_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out: Column = crc_mod("doc_id", 3) == 1
     field = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out))
     rows = assess(docs, field)
-    return rows.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 QUERIES = {"op3_crf_quality": op3_crf_quality}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chain, documents, word_hashes
+from .common import chain, documents, fresh, word_hashes
 
 SHINGLE = 5
 MIN_OVERLAP = 0.8
@@ -77,7 +77,7 @@ class ItemIndex:
         for i, w in enumerate(lists):
             missing = int((1 - MIN_OVERLAP) * len(self.shingles[i]) + 1e-9)
             heaviest = np.sort(weight[slice(*np.searchsorted(items, [i, i + 1]))])[::-1]
-            threshold[i] = max(0.05, 1 - heaviest[:missing].sum() - 1e-9)
+            threshold[i] = max(1e-6, 1 - heaviest[:missing].sum() - 1e-9)
         weight /= threshold[items] if n else 1
         self.thresholds = threshold
         self.block_size = max(1, -(-n // BLOCKS))
@@ -195,8 +195,9 @@ def _search(docs: DataFrame, items, column: str, wanted: bool) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose texts hold no test item."""
-    return find_leaks(docs, benchmark, "_leaks").filter(F.size("_leaks") == 0).drop("_leaks")
+    """The rows of ``docs`` whose texts hold no test item; the cases are those of ``find_leaks``, and other columns stay, whatever their names."""
+    leaks = fresh(docs, "_leaks")
+    return find_leaks(docs, benchmark, leaks).filter(F.size(leaks) == 0).drop(leaks)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

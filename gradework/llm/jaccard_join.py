@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, chain, documents, mix, stage, word_hashes
+from .common import buckets_for, chain, documents, fresh, mix, stage, word_hashes
 from .components import grouped_components
 from .counting import MESSAGE, add_up, count_list, message_table, messages, sharded, statistics
 
@@ -189,18 +189,18 @@ def _keys(own: np.ndarray, df: np.ndarray, light: int, percent: int) -> Iterator
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each connected group: that with the smallest doc_id.
+    """``docs`` with one row of each connected group: that with the smallest doc_id, rows without doc_id last.
 
-    Of rows that share it, one stays.  Documents with empty sets stay, as they are linked with nothing.
+    Every row is a document of its own, so of repeated rows, and of several rows that share a doc_id and are
+    near copies, one stays.  Rows with empty sets stay, as they are linked with nothing.  An empty table
+    gives no rows; other columns stay, whatever their names.
     """
-    groups = similar_groups(docs, size, percent)
-    stays = groups.filter("doc_id = component_id or (doc_id is null and component_id is null)").select("doc_id", "n_shingles")
-    stays = stays.groupBy(F.col("doc_id").alias("_id")).agg(F.min("n_shingles").alias("_n"))
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    if again.filter("_rows > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    place = fresh(docs, "_place")
+    rows = stage(docs.withColumn(place, F.monotonically_increasing_id()), "rows")
+    groups = similar_groups(rows.select(F.col(place).alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias(place), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(place))).alias("first")
+    stays = rows.select(place, "doc_id").join(groups, place).groupBy("component_id").agg(first).select(F.col(f"first.{place}").alias(place))
+    return rows.join(stays, place, "left_semi").select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

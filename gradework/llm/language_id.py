@@ -94,12 +94,13 @@ def learn_dictionaries(labelled: DataFrame, dictionary_bytes: int = DICTIONARY_B
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", level: int = LEVEL) -> DataFrame:
-    """``docs`` with _language, a struct of lang_pred, score and rejected.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", level: int = LEVEL, column: str = "_language") -> DataFrame:
+    """``docs`` with ``column``, a struct of lang_pred, score and rejected.
 
     lang_pred is ``und`` (score 0, rejected) where the text is null or has no letter, or where no
     language was learned.  score is the winner's share of two-to-the-bits-saved over all languages, with
     bits scaled to a whole text, from 0 to 1.  Ties go to the language that comes first in ``dictionaries``.
+    Repeated rows, and rows without doc_id, are told like others; an empty table gives no rows; other columns stay.
     Texts of fewer than ``MARGIN_FROM_BYTES`` folded bytes are never rejected for a narrow margin.
     """
     languages = list(dictionaries)
@@ -131,7 +132,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
     predict = F.pandas_udf(run, "lang_pred string, score double, rejected boolean")
-    return docs.withColumn("_language", predict(F.col(text)))
+    return docs.withColumn(column, predict(F.col(text)))
 
 
 def train(docs: DataFrame) -> dict[str, bytes]:
@@ -144,7 +145,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document."""
     docs = documents(spark, sf_dir)
     predicted = identify(docs.select("doc_id", "text"), train(docs))
-    return predicted.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "_language.*")
+    return predicted.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "_language.*")
 
 
 QUERIES = {"op10_language_id": op10_language_id}

@@ -26,7 +26,10 @@ from .counting import MESSAGE, add_up, count_list, message_table, messages, shar
 _END = np.uint64(0x1D8AF066F1D1E5C3)
 _BEGIN = np.uint64(0x7C3E6B2A9D4F8B11)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_RUN_BITS = 42
+_RUN_BITS = 48
+SHARD_DOCS = 2048
+#: The unigrams' weight never falls below it, so an n-gram that was never seen has a probability in every bucket.
+LEAST_WEIGHT = 1e-4
 _LEVELS = 24  # context buckets of a trigram context; as many follow for a bigram context
 _STEPS = 10  # cells a decade
 ITERATIONS = 60
@@ -94,7 +97,7 @@ class _Shard:
 def fit_weights(cells: list[tuple[int, int, int, int, int]], iterations: int = ITERATIONS) -> np.ndarray:
     """Weights of (trigram, bigram, unigram) for each bucket, from (bucket, q3, q2, q1, n) cells by expectation-maximisation."""
     weights = np.tile([0.0, 0.0, 1.0], (2 * _LEVELS, 1))
-    data = np.array(cells, dtype=np.float64).reshape(-1, 5)
+    data = np.array(list(cells), dtype=np.float64).reshape(-1, 5)
     for b in np.unique(data[:, 0]).astype(int):
         own = data[data[:, 0] == b]
         p = np.where(own[:, 1:4] < 0, 0.0, 10.0 ** (-own[:, 1:4] / _STEPS))
@@ -104,7 +107,8 @@ def fit_weights(cells: list[tuple[int, int, int, int, int]], iterations: int = I
             share = p * w
             share /= share.sum(axis=1, keepdims=True)
             w = (share * n[:, None]).sum(axis=0) / n.sum()
-        weights[b] = w
+        w[2] = max(w[2], LEAST_WEIGHT)
+        weights[b] = w / w.sum()
     return weights
 
 
@@ -120,7 +124,7 @@ def score(docs: DataFrame, training: Column, deleted: Column) -> DataFrame:
     ranges = buckets_for(spark)
     flag = lambda c: F.coalesce(c, F.lit(False))
     rows = docs.select("doc_id", "text", flag(training).alias("train"), (flag(training) & flag(deleted)).alias("apart"))
-    table = sharded(rows, "lm", apart="apart")
+    table = sharded(rows, "lm", apart="apart", size=SHARD_DOCS)
 
     def ask(rows: pa.Table) -> pa.Table:
         shard = _Shard(rows)
@@ -151,7 +155,15 @@ def score(docs: DataFrame, training: Column, deleted: Column) -> DataFrame:
     texts = table.select("shard", "row", "text")
     apart = texts.filter("shard % 2 = 1").groupBy("shard").cogroup(replies.filter("shard % 2 = 1").groupBy("shard"))
     counted = apart.applyInArrow(cells, "bucket long, q3 long, q2 long, q1 long, n long").groupBy("bucket", "q3", "q2", "q1").agg(F.sum("n").alias("n"))
-    weights = fit_weights([tuple(r) for r in counted.collect()])
+
+    def fit(cells: pa.Table) -> pa.Table:
+        bucket = cells["bucket"][0].as_py()
+        w = fit_weights(zip(*(cells[c].to_pylist() for c in ("bucket", "q3", "q2", "q1", "n"))))[bucket]
+        return pa.table({"bucket": [bucket], "w": [w.tolist()]})
+
+    weights = np.tile([0.0, 0.0, 1.0], (2 * _LEVELS, 1))
+    for r in counted.groupBy("bucket").applyInArrow(fit, "bucket long, w array<double>").collect():  # a row for each bucket
+        weights[r["bucket"]] = r["w"]
     tokens, distinct = totals[1]
 
     def final(rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -172,7 +184,7 @@ def score(docs: DataFrame, training: Column, deleted: Column) -> DataFrame:
 def op4_lm_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = score(documents(spark, sf_dir), crc_mod("doc_id", 5) != 1, crc_mod("doc_id", 5) == 2)
-    return rows.select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return rows.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {"op4_lm_interpolation": op4_lm_interpolation}

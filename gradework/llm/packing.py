@@ -128,12 +128,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         raise ValueError("the window must be a power of two")
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, drops_space=True, width=2).encode
-        end = np.array([end_id], dtype="<u2").tobytes()
+        encode = encoder(tokenizer_path, drops_space=True, width=2).encode_array
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                ids = pa.array([raw + end for raw in encode(some.column(1).to_pylist())], pa.binary())
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                flat, offsets = encode(some.column(1), end_id)
+                ids = pa.Array.from_buffers(pa.binary(), some.num_rows, [None, pa.py_buffer((2 * offsets).astype(np.int32)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), ids], names=["doc_id", "ids"])
 
     encoded = stage(docs.select("doc_id", "text").mapInArrow(tokenize, "doc_id long, ids binary"), "packing")

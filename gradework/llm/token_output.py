@@ -30,17 +30,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID)
     """(doc_id, n_tokens, tokens) of each document; null is the empty text, ``end_id`` closes each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, drops_space=False).encode
-        end = end_id.to_bytes(4, "little")
+        encode = encoder(tokenizer_path, drops_space=False).encode_array
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [x + end for x in encode(part.column(1).to_pylist())]
-                counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+                ids, offsets = encode(part.column(1), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                    [part.column(0), pa.array(np.diff(offsets)), lists],
                     names=["doc_id", "n_tokens", "tokens"],
                 )
 

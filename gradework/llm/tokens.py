@@ -10,6 +10,10 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Entries in each of the two dictionaries of a worker.
 CACHE_ENTRIES = 350_000
 
@@ -117,6 +121,42 @@ class Encoder:
             out.append(self._whole(first) + ids if first else ids)
         return out
 
+    def encode_array(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with ``end_id`` behind, and the texts' offsets in them; null is the empty text.
+
+        Pieces are told apart by Arrow, so only the distinct ones of a batch become Python objects.
+        """
+        if len(self.known) > CACHE_ENTRIES:
+            self.known = _Ids(self, dict(self.known))
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.zeros(len(texts), dtype=bool)
+        if self.drops_space:
+            lines = pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " ")
+        else:
+            for space in ("  ", "\n ", "\t", "\r"):
+                odd |= pc.match_substring(texts, space).to_numpy(zero_copy_only=False)
+            lines = pc.if_else(pa.array(odd), "", texts)
+        parts = pc.split_pattern(lines, " ")
+        at = parts.offsets.to_numpy().astype(np.int64)
+        at, pieces = at - at[0], parts.flatten().dictionary_encode()
+        code = pieces.indices.to_numpy().astype(np.int64)
+        ids = [self.known[x] for x in pieces.dictionary.to_pylist()]
+        if not self.drops_space:
+            # The first piece of a text has no blank before it; a text with odd white space is one piece.
+            first = pieces.dictionary.take(pa.array(code[at[:-1]])).to_pylist()
+            whole = [self.encode([text.as_py()])[0] if strange else self._whole(word) if word else b"" for text, strange, word in zip(texts, odd, first)]
+            code = code.copy()
+            code[at[:-1]] = len(ids) + np.arange(len(whole))
+            ids += whole
+        size = np.array([len(x) for x in ids], dtype=np.int64) // self.width
+        flat = np.frombuffer(b"".join(ids), dtype=f"<u{self.width}")
+        begin = np.cumsum(size) - size
+        n = size[code]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(begin[code] - upto[:-1], n) + np.arange(upto[-1])]
+        ends = upto[at[1:]]
+        return np.insert(out, ends, end_id), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+
 
 _ENCODERS: dict[tuple, Encoder] = {}
 

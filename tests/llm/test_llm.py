@@ -472,3 +472,46 @@ def test_pipeline(spark, sf_dir):
         before = after
     pieces = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
     assert pieces.select("doc_id").distinct().count() == before.count()
+
+
+def test_one_of_each_is_by_row(spark):
+    names = ["_id", "_n", "_rows", "_place", "row", "shard", "component_id", "n"]
+    near = PROSE + " more words"
+    rows = [(1, PROSE), (5, near), (5, "something quite different stands in this other text of the same id"), (None, near), (None, ""), (7, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(n).alias(n) for n in names))
+    out = jaccard_join.one_of_each(docs, 3, 60)
+    assert out.columns == docs.columns and all(r["_place"] == "_place" and r["_id"] == "_id" for r in out.collect())
+    want = [rows[0], rows[2], rows[4], rows[5], rows[6]]
+    assert sorted(map(tuple, out.select("doc_id", "text").collect()), key=str) == sorted(want, key=str)
+    assert jaccard_join.one_of_each(docs.limit(0), 3, 60).count() == 0
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    names = ["_language", "_leaks", "leaks", "_kept"]
+    docs = spark.createDataFrame([(0, PROSE), (1, None), (2, "")], "doc_id long, text string").select("*", F.lit("en").alias("lang"), *(F.lit(n).alias(n) for n in names))
+    bench = spark.createDataFrame([(0, "an item that no document of these holds anywhere")], "item_id long, text string")
+    clean = decontamination.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == 3 and clean.first()["_leaks"] == "_leaks"
+    import corpus_pipeline
+
+    told = corpus_pipeline.language_stage(spark, docs, "")
+    assert told.columns == docs.columns and all(r["_language"] == "_language" for r in told.collect())
+
+
+def test_unseen_ngrams_have_a_probability():
+    weights = lm_interpolation.fit_weights([(3, 1, 20, 60, 1)])
+    assert (weights[:, 2] > 0).all() and np.allclose(weights.sum(axis=1), 1)
+
+
+def test_array_encoding_is_that_of_single_texts(odd):
+    import public_tokenizers
+    import pyarrow as pa
+
+    texts = [t for _, t in odd[0]] + ["  a  b", "x\n y", " ", "don't.stop, 's", "a\r\nb", None, "b c" * 40_000]
+    for name, drops, width in (("byte_bpe_50k.json", False, 4), ("word_bpe_49k.json", True, 2)):
+        enc = tokens.Encoder(public_tokenizers.path(name), drops, width)
+        for some in (texts, [], [None], [""]):
+            ids, at = enc.encode_array(pa.array(some, pa.string()), 2)
+            assert len(at) == len(some) + 1
+            for k, text in enumerate(some):
+                assert ids[at[k] : at[k + 1]].tolist() == [*enc.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
