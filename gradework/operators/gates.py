@@ -88,9 +88,12 @@ def rule_421(haemorrhages: Column, beading_quadrants: Column, irma_quadrants: Co
 
 def criterion(rule421: Column, new_vessels: Column, haemorrhages: Column, aneurysms: Column) -> Column:
     """Which finding a report names first."""
-    return (
-        F.when(rule421, "four-quadrant haemorrhages").when(new_vessels > 3.0, "new vessels").when((haemorrhages > 0) | (aneurysms > 0), "haemorrhages or microaneurysms").otherwise("no lesion")
-    )
+    # The texts of a report.
+    quadrants = "4-2-1: haemorrhages in all four quadrants"
+    vessels = "Neovascularisation signal elevated"
+    lesions = "Microaneurysms / haemorrhages present"
+    none = "No lesion criterion met; grade from vessel and NV features"
+    return F.when(rule421, quadrants).when(new_vessels > 3.0, vessels).when((haemorrhages > 0) | (aneurysms > 0), lesions).otherwise(none)
 
 
 def calibre_band(width: Column) -> Column:

@@ -76,19 +76,20 @@ _add("merge_dedup_left", lambda s, d: R.merge(table(s, d, "customer").select("c_
 
 def _match(s, d):
     docs = table(s, d, "documents").select("doc_id", "text", "source")
-    sets = docs.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("set_id"), F.sha2("text", 256).alias("sha"), "source", F.col("doc_id").alias("stem"))
+    sets = docs.join(table(s, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("set_id"), F.sha2("text", 256).alias("sha"), "source")
+    first = F.min("set_id").alias("set_id")
     items = docs.select("doc_id", F.sha2("text", 256).alias("sha"), "source")
-    by_sha = items.join(sets.select("set_id", "sha"), "sha").select("doc_id", "set_id")
-    by_stem = items.join(sets.select("set_id", F.col("stem").alias("doc_id")), "doc_id").select("doc_id", "set_id")
-    by_source = items.join(sets.groupBy("source").agg(F.min("set_id").alias("set_id")).filter("set_id < 20"), "source").select("doc_id", "set_id")
+    by_sha = items.join(sets.groupBy("sha").agg(first), "sha").select("doc_id", "set_id")
+    by_stem = items.join(sets.select("set_id", F.col("set_id").alias("doc_id")), "doc_id").select("doc_id", "set_id")
+    by_source = items.join(sets.groupBy("source").agg(first), "source").select("doc_id", "set_id")
     found = R.best_match(items, [(by_sha, "sha"), (by_stem, "stem"), (by_source, "source")], "doc_id", "set_id")
     return found.select("doc_id", F.coalesce("set_id", F.lit(-1)).alias("set_id"), F.coalesce("rule", F.lit("")).alias("rule"))
 
 
 _add("match_precedence", _match,
-     """WITH s AS (SELECT doc_id AS set_id, sha256(text) AS sha, source FROM documents WHERE doc_id % 5 = 0), i AS (SELECT doc_id, sha256(text) AS sha, source FROM documents),
-c AS (SELECT doc_id, set_id, 0 AS pl, 'sha' AS rule FROM i JOIN s USING (sha) UNION ALL SELECT doc_id, set_id, 1, 'stem' FROM i JOIN s ON set_id = doc_id
-UNION ALL SELECT doc_id, m, 2, 'source' FROM i JOIN (SELECT source, min(set_id) AS m FROM s GROUP BY source) USING (source) WHERE m < 20),
+     """WITH s AS (SELECT doc_id AS set_id, sha256(text) AS sha, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), i AS (SELECT doc_id, sha256(text) AS sha, source FROM documents),
+c AS (SELECT doc_id, m AS set_id, 0 AS pl, 'sha' AS rule FROM i JOIN (SELECT sha, min(set_id) AS m FROM s GROUP BY sha) USING (sha) UNION ALL SELECT doc_id, set_id, 1, 'stem' FROM i JOIN s ON set_id = doc_id
+UNION ALL SELECT doc_id, m, 2, 'source' FROM i JOIN (SELECT source, min(set_id) AS m FROM s GROUP BY source) USING (source)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pl, set_id) AS n FROM c) SELECT i.doc_id, coalesce(r.set_id, -1) AS set_id, coalesce(r.rule, '') AS rule FROM i LEFT JOIN r ON r.doc_id = i.doc_id AND n = 1""")
 _add("masked_stats", lambda s, d: rounded(table(s, d, "lineitem").groupBy("l_returnflag").agg(*(f(F.when(F.col("l_discount") > 0.03, F.col("l_extendedprice"))).alias(n) for n, f in (("mean", F.avg), ("spread", F.stddev_pop), ("variance", F.var_pop), ("middle", lambda c: F.percentile(c, F.lit(0.5))), ("high", lambda c: F.percentile(c, F.lit(0.95))), ("top", F.max))), F.avg((F.col("l_discount") > 0.03).cast("double")).alias("fraction")), "mean", "spread", "middle", "high", "top", "fraction").withColumn("variance", F.round("variance", 0)),
      "SELECT l_returnflag, round(avg(l_extendedprice) FILTER (l_discount > 0.03::DOUBLE), 6) AS mean, round(stddev_pop(l_extendedprice) FILTER (l_discount > 0.03::DOUBLE), 6) AS spread, round(var_pop(l_extendedprice) FILTER (l_discount > 0.03::DOUBLE), 0) AS variance, round(quantile_cont(l_extendedprice, 0.5) FILTER (l_discount > 0.03::DOUBLE), 6) AS middle, round(quantile_cont(l_extendedprice, 0.95) FILTER (l_discount > 0.03::DOUBLE), 6) AS high, round(max(l_extendedprice) FILTER (l_discount > 0.03::DOUBLE), 6) AS top, round(avg(CASE WHEN l_discount > 0.03::DOUBLE THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM lineitem GROUP BY l_returnflag")
@@ -106,7 +107,7 @@ _add("weak_labels", lambda s, d: longs(R.weak_labels(table(s, d, "lineitem").sel
 _add("confidence_routing", lambda s, d: rounded(table(s, d, "part").select("p_partkey", G.routed_confidence(F.col("p_size") / 40.0, F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0).alias("confidence"), G.macular_override(F.col("p_size") > 30, F.col("p_size") % 7 == 0).alias("o")).select("p_partkey", "confidence", "o.referable", "o.urgent"), "confidence"),
      "SELECT p_partkey, round(greatest(0.0, least(1.0, p_size / 40.0::DOUBLE * (CASE WHEN p_size % 2 = 0 THEN 0.85 ELSE 1.0 END)::DOUBLE * (CASE WHEN p_size % 3 = 0 THEN 0.9 ELSE 1.0 END)::DOUBLE)), 6) AS confidence, p_size > 30 OR p_size % 7 = 0 AS referable, p_size % 7 = 0 AS urgent FROM part")
 _add("calibre_and_criterion", lambda s, d: table(s, d, "part").select("p_partkey", G.calibre_band(F.col("p_size") / 4.0).cast("long").alias("band"), G.criterion(F.col("p_size") > 45, F.col("p_size") / 10.0, F.col("p_size") % 2, F.lit(0)).alias("criterion")),
-     "SELECT p_partkey, CAST(CASE WHEN p_size / 4.0 >= 10.07 THEN 0 WHEN p_size / 4.0 >= 7 THEN 1 WHEN p_size / 4.0 >= 4 THEN 2 WHEN p_size / 4.0 >= 2.685 THEN 3 ELSE -1 END AS BIGINT) AS band, CASE WHEN p_size > 45 THEN 'four-quadrant haemorrhages' WHEN p_size / 10.0 > 3 THEN 'new vessels' WHEN p_size % 2 > 0 THEN 'haemorrhages or microaneurysms' ELSE 'no lesion' END AS criterion FROM part")
+     "SELECT p_partkey, CAST(CASE WHEN p_size / 4.0 >= 10.07 THEN 0 WHEN p_size / 4.0 >= 7 THEN 1 WHEN p_size / 4.0 >= 4 THEN 2 WHEN p_size / 4.0 >= 2.685 THEN 3 ELSE -1 END AS BIGINT) AS band, CASE WHEN p_size > 45 THEN '4-2-1: haemorrhages in all four quadrants' WHEN p_size / 10.0 > 3 THEN 'Neovascularisation signal elevated' WHEN p_size % 2 > 0 THEN 'Microaneurysms / haemorrhages present' ELSE 'No lesion criterion met; grade from vessel and NV features' END AS criterion FROM part")
 _BANDS = "b AS (SELECT o_orderkey, o_orderstatus, o_totalprice, least(((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) - 1) * 10) // count(*) OVER (PARTITION BY o_orderstatus), 9) AS band FROM orders)"
 _add("decile_draw", lambda s, d: longs(S.banded_draw(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderstatus"], "o_totalprice", "o_orderkey", 85).select("o_orderkey", "o_orderstatus", "band", "draw_rank"), "band", "draw_rank"),
      f"WITH {_BANDS}, t AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, band ORDER BY md5(o_orderkey || '|0'), o_orderkey) AS turn FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY turn, band) AS draw_rank FROM t) SELECT o_orderkey, o_orderstatus, CAST(band AS BIGINT) AS band, draw_rank FROM r WHERE draw_rank <= 85")
@@ -131,7 +132,7 @@ _add("stratified_sample", lambda s, d: S.per_group(table(s, d, "orders").select(
      "WITH i AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey || '|7'), o_orderkey) AS i FROM orders) SELECT o_orderkey, o_orderpriority FROM i WHERE i <= 30")
 _add("usable_filter", lambda s, d: table(s, d, "orders").filter(F.substring("o_orderpriority", 1, 1).isin("1", "2", "3") & F.col("o_totalprice").isNotNull() & (F.coalesce(F.col("o_orderstatus"), F.lit("P")) != "F")).select("o_orderkey"),
      "SELECT o_orderkey FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('1', '2', '3') AND o_totalprice IS NOT NULL AND coalesce(o_orderstatus, 'P') <> 'F'")
-_add("set_difference", lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(s, d, "orders").select(F.col("o_custkey").alias("k")).distinct()), "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+_add("set_difference", lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(s, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")).distinct()), "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 _add("cumulative_shares", lambda s, d: rounded(table(s, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")).withColumn("share", F.sum("n").over(Window.orderBy("o_orderpriority")) / F.sum("n").over(Window.partitionBy())), "share"),
      "WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, n, round(sum(n) OVER (ORDER BY o_orderpriority) / CAST(sum(n) OVER () AS DOUBLE), 6) AS share FROM c")
 _add("file_hash", lambda s, d: table(s, d, "pages").select("page_id", F.sha2(F.col("html"), 256).alias("sha"), coerce.resolution(F.length("url"), F.length("html")).alias("resolution"), F.regexp_extract("url", r"([^/]+)/?$", 1).alias("stem")),

@@ -10,11 +10,14 @@ from pyspark.sql import types as T
 
 
 def run_available(spark: SparkSession, source: str, schema: T.StructType, step: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> int:
-    """Apply ``step`` to the files of ``source`` that are new since the last call and append the rows to ``sink``; returns the rows read."""
-    rows = step(spark.readStream.schema(schema).parquet(source))
+    """Apply ``step`` to the files of ``source`` that are new since the last call and append the rows to ``sink``; returns the rows read.
+
+    The rows are counted where they enter ``step``, which keeps its filters behind the count.
+    """
+    rows = step(spark.readStream.schema(schema).parquet(source).observe("read", F.count(F.lit(1)).alias("n")))
     query = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return sum(p.observedMetrics["read"]["n"] for p in query.recentProgress if "read" in p.observedMetrics)
 
 
 def windowed_counts(events: DataFrame, ts: str, kind: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

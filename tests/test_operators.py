@@ -211,3 +211,22 @@ def test_enhancement_rules(spark):
     df = spark.createDataFrame(rows, "k int, step int, contrast double, saturation double, noise double, severe double")
     got = {r["k"]: (r["status"], r["flat_field"], r["clip"]) for r in anatomy.enhancement_choice(df, "k").collect()}
     assert got == {1: ("pass", True, 1.5), 2: ("fail", False, None)}
+
+
+def test_entry_lives_without_the_training_data_part(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/gradework", tmp_path / "gradework", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    done = run()
+    assert done.returncode == 0, done.stderr
+    if os.path.exists(f"{root}/corpus_pipeline.py"):
+        shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
+        done = run()
+        assert done.returncode == 0, done.stderr
