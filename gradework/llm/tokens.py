@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,17 @@ _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _BEFORE_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
 
 
+def struct_packers(width: int):
+    """A function that packs a list of ids as little-endian unsigned integers."""
+    code = {2: "H", 4: "I"}[width]
+    made = {n: struct.Struct(f"<{n}{code}").pack for n in range(65)}
+
+    def pack(ids: list[int]) -> bytes:
+        return made[len(ids)](*ids) if len(ids) < 65 else struct.pack(f"<{len(ids)}{code}", *ids)
+
+    return pack
+
+
 class _Ids(dict):
     """piece -> ids.  A piece that is not known is looked up among the older ones or encoded, and kept."""
 
@@ -61,6 +73,8 @@ class Encoder:
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: 256 + k for k, b in enumerate(others)}
+        self.space = chr(self.alphabet[32])
+        self.packed = struct_packers(width)
         self.known = _Ids(self, {})
 
     def _whole(self, text: str) -> bytes:
@@ -69,10 +83,13 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """A plain word goes to the tokenizer's model alone, as its other steps leave it whole."""
-        width = self.width
         if self.drops_space:
             word = word.lower()
-        return b"".join([t.id.to_bytes(width, "little") for t in self.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
+        if word.isascii():
+            word = word.replace(" ", self.space)
+        else:
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return self.packed([t.id for t in self.tokenize(word)])
 
     def encode_piece(self, piece: str, known: dict | None = None) -> bytes:
         """Ids of a piece with its blank, from those of its parts where it has some."""
