@@ -15,13 +15,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``; a folder of our own is set only where
-    that is unset, as in tests on one machine.
+    that is unset on one machine, as in tests.  On a cluster the setting is required.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         folder = getattr(context, "_gradework_shared", None)
         if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="gradework-")
             context._gradework_shared = folder
             context.setCheckpointDir(folder)
