@@ -160,6 +160,13 @@ def word_hashes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(counts)
 
 
+def polynomials(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One hash for each stretch of ``hashes`` between neighbouring offsets, by value and place of its items."""
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * _powers(_BASE, len(hashes))[: len(hashes)], out=sums[1:])
+    return (sums[offsets[1:]] - sums[offsets[:-1]]) * _powers(_INVERSE, len(hashes) + 1)[offsets[:-1]]
+
+
 def chain(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` neighbouring items."""
     out = hashes[: max(0, len(hashes) - n + 1)].copy()

@@ -105,7 +105,8 @@ def starred_components(members: DataFrame, prepare: Callable[[DataFrame], Verify
     pairs = shared.select(F.col("low").alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
     verify = prepare(shared.select("node").distinct())
     labels = connected_components(verify(stage(pairs, "pairs")).select("a", "b"))
-    left = shared.select("group", "node").distinct()
+    # Nothing of the least member is open any more: it has been compared with all others.
+    left = shared.filter("low <> node").select("group", "node").distinct()
     for turn in range(HUB_ROUNDS + 1):
         known = left.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         hub = F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), F.col("node").alias("hub"), F.col("c").alias("hub_c")))

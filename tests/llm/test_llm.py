@@ -255,18 +255,37 @@ def test_secrets(spark, odd):
     assert secret_scan.scan(odd[1]).count() == len(odd[0]) + 2 and secret_scan.scan(odd[1].limit(0)).count() == 0
 
 
-def test_class_hashes_are_majorities_of_a_class(spark):
-    rows = [(0, i, f"w{k}") for i, n in ((1, 1), (2, 40), (3, 3000)) for k in range(n)]
-    df = spark.createDataFrame(rows, "shard long, id long, feature string").withColumn("kind", F.lit(4))
-    got = {(r["id"], r["class"]): r for r in line_dedup.class_hashes(df).collect()}
+def test_class_parts_are_majorities_of_a_class():
+    rng = np.random.default_rng(9)
+    line = np.repeat([1, 2, 3], [1, 40, 3000])
+    line, feature = line_dedup._distinct(line, rng.integers(0, 2**63, len(line)).astype(np.uint64) * np.uint64(2))
     own = collections.defaultdict(list)
-    for r in df.select("id", F.xxhash64("feature").alias("h")).collect():
-        own[r["id"], r["h"] >> 60 & 15].append(r["h"] & (1 << 64) - 1)
-    assert set(got) == set(own) and {r["count"] for r in got.values()} == {len(v) for v in own.values()}
-    for key, hashes in own.items():
-        if len(hashes) <= 127:
-            bits = [8 * lane + j for lane in range(7) for j in range(5)]
-            assert got[key]["bits"] == sum(1 << b for b in bits if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    for i, h in zip(line.tolist(), feature.tolist()):
+        own[i, h >> 60].append(h)
+    got = {(i, c): (n, b) for i, c, n, b in zip(*(x.tolist() for x in line_dedup.class_parts(line, feature, 4)))}
+    assert {k: len(v) for k, v in own.items()} == {k: n for k, (n, _) in got.items()}
+    bits = [8 * lane + j for lane in range(7) for j in range(5)]
+    few = {k: v for k, v in own.items() if len(v) <= 127}
+    assert few and len(few) < len(own)
+    for key, hashes in few.items():
+        assert got[key][1] == sum(1 << b for b in bits if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_lines_are_normalised_and_coded_alike_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["A  b\tÉ c\n\n x ", "a b é c\nlonger line of words", "", "😀 日本\nx"] * 3
+    rows = pa.record_batch({"doc_id": pa.array(range(12)), "text_key": pa.array(range(12)), "text": pa.array(texts)})
+    for size in (1, 30, 1 << 20):
+        monkeypatch.setattr(line_dedup, "SLICE_BYTES", size)
+        first = {}
+        for r in (r for part in line_dedup._first_lines([rows]) for r in part.to_pylist()):
+            assert r["line"] == " ".join(texts[r["doc_id"]].split("\n")[r["at"]].lower().split())
+            first.setdefault(r["node"], (r["doc_id"], r["at"], r["line"]))
+        assert sorted(first.values()) == [(0, 0, "a b é c"), (0, 2, "x"), (1, 1, "longer line of words"), (3, 0, "😀 日本")]
+    nodes = pa.record_batch({"node": pa.array([1, 2]), "line": pa.array(["a bb é", "bb"])})
+    one, two = (r for part in line_dedup._coded([nodes]) for r in part.to_pylist())
+    assert len(one["code"]) == 3 and one["code"][1] == two["code"] and (one["longest"], two["longest"]) == (2, 2)
 
 
 def test_blocks_are_pigeonholes():
