@@ -338,6 +338,51 @@ def test_lines(spark, odd):
     assert 1 not in kept and 9 not in kept and kept[0] == PROSE and kept[4] == ""
 
 
+def edits(one, other):
+    last = list(range(len(other) + 1))
+    for i, x in enumerate(one, 1):
+        row = [i]
+        for j, y in enumerate(other, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+def test_bounds_before_edits_change_no_verdict(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("aéb日😀cd"), rng.integers(1, 7))) for _ in range(60)] + ["x" * 50]
+    pairs = []
+    for k in range(400):
+        line = [vocabulary[i] for i in rng.integers(0, len(vocabulary), rng.integers(1, 40))]
+        other = list(line)
+        for _ in range(rng.integers(0, 1 + len(line) // 2)):
+            i = rng.integers(len(other))
+            what = rng.integers(4)
+            other[i : i + 1] = [[], [other[i], vocabulary[i]], [vocabulary[k % 60]], [other[i][:-1] + "é"]][what]
+            other = other or ["a"]
+        pairs.append((" ".join(line), " ".join(other)))
+    coded = []
+    for side in (0, 1):
+        batch = pa.record_batch({"node": pa.array(range(len(pairs))), "line": pa.array([p[side] for p in pairs])})
+        coded.append([r for part in line_dedup._coded([batch]) for r in part.to_pylist()])
+    rows = [(i, i, a["line"], a["code"], a["longest"], b["line"], b["code"], b["longest"]) for i, (a, b) in enumerate(zip(*coded))]
+    df = spark.createDataFrame(rows, "a long, b long, line_a string, code_a string, longest_a int, line_b string, code_b string, longest_b int")
+    got = {r["a"] for r in line_dedup.alike(df).collect()}
+    want = set()
+    for i, (a, b) in enumerate(pairs):
+        longer, words = max(len(a), len(b)), max(len(a.split()), len(b.split()))
+        by_chars = edits(a, b) <= math.floor(longer * 0.2 + 1e-9)
+        changed = edits(a.split(), b.split())
+        even = max(map(len, a.split() + b.split())) <= line_dedup.LONG_WORD
+        sized = abs(len(a) - len(b)) <= math.floor(longer * 0.2 + 1e-9)
+        near = by_chars if longer <= line_dedup.FEW_CHARS else changed <= math.floor(words * 0.3) and (by_chars or changed <= words * 0.15 and even)
+        if sized and near:
+            want.add(i)
+    assert got == want and 50 < len(want) < 350
+
+
 def test_near_lines_of_all_lengths_are_found(spark):
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9))) for _ in range(800)]
