@@ -89,11 +89,11 @@ def grouped_components(members: DataFrame, prepare: Callable[[DataFrame], Verify
     return labels
 
 
-def starred_components(members: DataFrame, prepare: Callable[[DataFrame], Verify]) -> DataFrame:
+def starred_components(members: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFrame]], feasible: Callable[[Pick, Pick], Column]) -> DataFrame:
     """(node, component) for (group, node, ...) rows; nodes without a link are absent.
 
     Two members of a group are linked if the function that ``prepare`` makes of the nodes which may be asked
-    for keeps them.  For groups that are mostly pure: each member is compared with the least of its
+    for keeps them; it gives their traits (node, ...) too, by which a pair must be ``feasible`` to be linked.  For groups that are mostly pure: each member is compared with the least of its
     group, so a group of n near copies costs n comparisons at most.  What is left open
     (groups whose members lie in several components) is compared with one hub after another, and at last pair by
     pair, so no link between components is lost.  A group's rows stream through one task once, without being
@@ -103,7 +103,7 @@ def starred_components(members: DataFrame, prepare: Callable[[DataFrame], Verify
     ends = dealt.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
     shared = stage(dealt.join(ends.hint("shuffle_hash"), "group"), "shared")
     pairs = shared.select(F.col("low").alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
-    verify = prepare(shared.select("node").distinct())
+    verify, traits = prepare(shared.select("node").distinct())
     labels = connected_components(verify(stage(pairs, "pairs")).select("a", "b"))
     # Nothing of the least member is open any more: it has been compared with all others.
     left = shared.filter("low <> node").select("group", "node").distinct()
@@ -118,8 +118,10 @@ def starred_components(members: DataFrame, prepare: Callable[[DataFrame], Verify
             asked = rows.filter("c <> hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
             left = rows.filter("node <> hub").select("group", "node").checkpoint()
         else:
-            one, other = rows.select("group", F.col("node").alias("a"), F.col("c").alias("ca")), rows.select("group", F.col("node").alias("b"), F.col("c").alias("cb"))
-            asked = one.join(other, "group").filter("a < b and ca <> cb").select("a", "b").distinct()
+            one = rows.select("group", "node", "c").join(traits, "node")
+            other = one.withColumnsRenamed({x: f"{x}_2" for x in one.columns if x != "group"})
+            meets = (F.col("node") < F.col("node_2")) & (F.col("c") != F.col("c_2")) & feasible(F.col, lambda name: F.col(f"{name}_2"))
+            asked = one.join(other, (one["group"] == other["group"]) & meets).select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
         labels = joined_by(labels, verify(stage(asked, "pairs")).select("a", "b").checkpoint())
     return labels
 

@@ -370,6 +370,9 @@ def test_bounds_before_edits_change_no_verdict(spark):
     rows = [(i, i, a["line"], a["code"], a["longest"], b["line"], b["code"], b["longest"]) for i, (a, b) in enumerate(zip(*coded))]
     df = spark.createDataFrame(rows, "a long, b long, line_a string, code_a string, longest_a int, line_b string, code_b string, longest_b int")
     got = {r["a"] for r in line_dedup.alike(df).collect()}
+    traits = spark.createDataFrame([{f"{c}_{x}": r[c] for x, r in (("a", a), ("b", b)) for c in ("chars", "words", *line_dedup.SKETCH)} | {"a": i} for i, (a, b) in enumerate(zip(*coded))])
+    can = {r["a"] for r in traits.filter(line_dedup.feasible(lambda n: F.col(f"{n}_a"), lambda n: F.col(f"{n}_b"))).collect()}
+    assert got <= can and len(can) < len(pairs)
     want = set()
     for i, (a, b) in enumerate(pairs):
         longer, words = max(len(a), len(b)), max(len(a.split()), len(b.split()))
