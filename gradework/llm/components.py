@@ -115,7 +115,9 @@ def starred_components(members: DataFrame, prepare: Callable[[DataFrame], tuple[
             return labels
         rows = known.join(open_, "group")
         if turn < HUB_ROUNDS:
-            asked = rows.filter("c <> hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            hubs = traits.withColumnsRenamed({x: "hub" if x == "node" else f"hub_{x}" for x in traits.columns})
+            far = rows.filter("c <> hub_c").join(traits, "node").join(hubs, "hub").filter(feasible(F.col, lambda name: F.col(f"hub_{name}")))
+            asked = far.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
             left = rows.filter("node <> hub").select("group", "node").checkpoint()
         else:
             one = rows.select("group", "node", "c").join(traits, "node")
