@@ -16,6 +16,9 @@ _MODULES = (
     "line_dedup",
     "packing",
     "language_id",
+    "token_alignment",
+    "quality_rules",
+    "spelling_groups",
 )
 
 
@@ -28,7 +31,7 @@ def _collect(attribute: str) -> dict:
 
 
 def queries() -> dict:
-    """Name -> callable(spark, sf_dir) for the ten operators."""
+    """Name -> callable(spark, sf_dir) for the numbered operators."""
     return _collect("QUERIES")
 
 
