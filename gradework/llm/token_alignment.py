@@ -15,6 +15,7 @@ pairs once, and get the answers back, so that documents themselves are never shu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,14 @@ from .counting import sharded
 from .tokens import CACHE_ENTRIES, _BEFORE_SPACE, encoder
 
 #: Text bytes of a slice, at most, unless one document has more.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 SHARD_DOCS = 2048
 #: Up to so many shared ends a position is looked up; beyond, all are found by one sort.  Both find the same.
 FEW = 64
 
 _MARK = 1 << 31
 _HIGH = 1 << 32
-_TOKENIZED = "doc_id array<bigint>, codes array<array<int>>, a_ids array<array<int>>, a_ends array<array<int>>, b_ids array<array<int>>, b_ends array<array<int>>"
+_TOKENIZED = "doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, codes array<array<int>>, a_ids array<array<int>>, a_ends array<array<int>>, b_ids array<array<int>>, b_ends array<array<int>>"
 
 
 class Pair:
@@ -71,6 +72,13 @@ class Pair:
             self.known[piece] = np.array(ids, dtype="<u4").tobytes() if same else None
 
 
+def _sums(parts: list[bytes], codes: np.ndarray, at: np.ndarray) -> list[int]:
+    """Ids of each document, from its pieces' codes between neighbouring ``at``."""
+    sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
+    total = np.concatenate([[0], np.cumsum(sizes[codes])])
+    return np.diff(total[at]).tolist()
+
+
 def _nested(parts: list[bytes], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """One row each: the ids of all parts as lists, and where each id's bytes end in its part."""
     ids = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
@@ -95,15 +103,19 @@ def tokenize(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         pair.learn(pieces)
         by_b = [pair.known[p] for p in pieces]
         wrong = {k for k, x in enumerate(by_b) if x is None}
+        by_b = [x or b"" for x in by_b]
         if wrong:
             codes = [[] if wrong.intersection(c) else c for c in codes]
         by_a = [pair.a.known[p] for p in pieces]
         a_ids, a_ends = _nested(by_a, pair.a_bytes)
-        b_ids, b_ends = _nested([x or b"" for x in by_b], pair.b_bytes)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.list_(pa.int32()))), a_ids, a_ends, b_ids, b_ends],
-            names=["doc_id", "codes", "a_ids", "a_ends", "b_ids", "b_ends"],
-        )
+        b_ids, b_ends = _nested(by_b, pair.b_bytes)
+        at = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
+        flat = np.fromiter(chain.from_iterable(codes), np.int32, at[-1])
+        numbers = [_sums(x, flat, at) for x in (by_a, by_b)]
+        outer = pa.array([0, len(codes)], pa.int32())
+        of_docs = pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(pa.array(at), pa.array(flat)))
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids, *numbers)]
+        return pa.RecordBatch.from_arrays([*lists, of_docs, a_ids, a_ends, b_ids, b_ends], names=["doc_id", "n_a", "n_b", "codes", "a_ids", "a_ends", "b_ids", "b_ends"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not pairs:
@@ -142,9 +154,9 @@ def cuts(ends: Column, shared: Column) -> Column:
     return F.when(F.size(shared) <= FEW, looked_up).otherwise(by_sort)
 
 
-def _span(cut: Column, end: Column, k: Column) -> Column:
-    """The places from 0 of the k-th group."""
-    return F.sequence(F.when(k == 0, F.lit(0)).otherwise(F.get(cut, k - 1)), end - 1)
+def _begin(cut: Column, k: Column) -> Column:
+    """The place from 0 at which the k-th group begins."""
+    return F.when(k == 0, F.lit(0)).otherwise(F.get(cut, k - 1))
 
 
 def align(tokenized: DataFrame) -> DataFrame:
@@ -155,34 +167,37 @@ def align(tokenized: DataFrame) -> DataFrame:
     shared = tokenized.withColumn("shared", F.zip_with("a_ends", "b_ends", F.array_intersect))
     cut = shared.withColumns({"cut_a": F.zip_with("a_ends", "shared", cuts), "cut_b": F.zip_with("b_ends", "shared", cuts)})
 
-    def listed(ids: Column, span: Column) -> Column:
-        return F.array_join(F.transform(span, lambda j: F.get(ids, j).cast("string")), ",")
+    def listed(names: Column, begin: Column, end: Column) -> Column:
+        several = F.array_join(F.transform(F.sequence(begin, end - 1), lambda j: F.get(names, j)), ",")
+        return F.when(end - begin == 1, F.get(names, begin)).otherwise(several)
 
     def texts(cut_a: Column, p: Column) -> Column:
-        a, b, cut_b = F.get("a_ids", p), F.get("b_ids", p), F.get("cut_b", p)
-        return F.array_join(F.transform(cut_a, lambda i, k: F.concat(listed(a, _span(cut_a, i, k)), F.lit("|"), listed(b, _span(cut_b, F.get(cut_b, k), k)))), ";")
+        a, b, cut_b = F.get("a_names", p), F.get("b_names", p), F.get("cut_b", p)
+        one_to_one = F.zip_with(a, b, lambda x, y: F.concat(x, F.lit("|"), y))
+        groups = F.transform(cut_a, lambda i, k: F.concat(listed(a, _begin(cut_a, k), i), F.lit("|"), listed(b, _begin(cut_b, k), F.get(cut_b, k))))
+        return F.array_join(F.when(F.get("a_ends", p) == F.get("b_ends", p), one_to_one).otherwise(groups), ";")
 
     def pairs(cut_a: Column, p: Column) -> Column:
         a, b, cut_b = F.get("a_ids", p), F.get("b_ids", p), F.get("cut_b", p)
+        link = lambda x, y: x.cast("long") * F.lit(_HIGH) + y
 
         def of_group(i: Column, k: Column) -> Column:
-            across = lambda x: F.transform(_span(cut_b, F.get(cut_b, k), k), lambda j: F.get(a, x).cast("long") * F.lit(_HIGH) + F.get(b, j))
-            return F.flatten(F.transform(_span(cut_a, i, k), across))
+            own_a, own_b = F.sequence(_begin(cut_a, k), i - 1), F.sequence(_begin(cut_b, k), F.get(cut_b, k) - 1)
+            return F.flatten(F.transform(own_a, lambda x: F.transform(own_b, lambda y: link(F.get(a, x), F.get(b, y)))))
 
-        return F.flatten(F.transform(cut_a, of_group))
+        groups = F.flatten(F.transform(cut_a, of_group))
+        return F.when(F.get("a_ends", p) == F.get("b_ends", p), F.zip_with(a, b, link)).otherwise(groups)
 
-    built = cut.withColumns({"text_of": F.transform("cut_a", texts), "links_of": F.transform("cut_a", pairs)})
+    named = cut.withColumns({"a_names": F.col("a_ids").cast("array<array<string>>"), "b_names": F.col("b_ids").cast("array<array<string>>")})
+    built = named.withColumns({"text_of": F.transform("cut_a", texts), "links_of": F.transform("cut_a", pairs)})
 
     def added(codes: Column, column: str) -> Column:
         return F.aggregate(codes, F.lit(0).cast("long"), lambda total, c: total + F.size(F.get(column, c)))
 
-    each = F.zip_with(
-        "doc_id",
+    each = F.transform(
         "codes",
-        lambda doc_id, codes: F.struct(
-            doc_id.alias("doc_id"),
-            added(codes, "a_ids").alias("n_a"),
-            added(codes, "b_ids").alias("n_b"),
+        lambda codes, d: F.struct(
+            *(F.get(c, d).alias(c) for c in ("doc_id", "n_a", "n_b")),
             added(codes, "shared").alias("n_groups"),
             F.array_join(F.transform(codes, lambda c: F.get("text_of", c)), ";").alias("groups"),
             F.flatten(F.transform(codes, lambda c: F.get("links_of", c))).alias("links"),
