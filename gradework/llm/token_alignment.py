@@ -7,7 +7,7 @@ the tokenized table is a slice of documents: the ids and byte ends of its distin
 document the numbers of its pieces.
 
 All else is Spark: ``array_intersect`` of the end arrays gives the ends where both tokenizers stop,
-``transform`` and ``sequence`` build groups and links between them, ``aggregate`` counts.  The number of
+``transform`` and ``sequence`` build groups and links between them.  The number of
 documents that hold a linked pair is counted over the corpus: shards of documents send their distinct
 pairs once, and get the answers back, so that documents themselves are never shuffled.
 """
@@ -27,7 +27,7 @@ from .counting import sharded
 from .tokens import CACHE_ENTRIES, _BEFORE_SPACE, encoder
 
 #: Text bytes of a slice, at most, unless one document has more.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SHARD_DOCS = 2048
 #: Up to so many shared ends a position is looked up; beyond, all are found by one sort.  Both find the same.
 FEW = 64
@@ -151,7 +151,7 @@ def cuts(ends: Column, shared: Column) -> Column:
             lambda x: (x.bitwiseAND(F.lit(_MARK - 1)) + 1).cast("int"),
         ),
     )[0]
-    return F.when(F.size(shared) <= FEW, looked_up).otherwise(by_sort)
+    return F.when(F.size(shared) <= FEW, looked_up).when(shared.isNotNull(), by_sort)
 
 
 def _begin(cut: Column, k: Column) -> Column:
@@ -160,12 +160,14 @@ def _begin(cut: Column, k: Column) -> Column:
 
 
 def align(tokenized: DataFrame) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, groups, links) of each document of ``tokenize``'s slices.
+    """(doc_id, n_a, n_b, groups, links, n_groups) of each document of ``tokenize``'s slices.
 
     groups is the text of all groups, links an array of a * 2**32 + b of all linked token occurrences.
     """
     shared = tokenized.withColumn("shared", F.zip_with("a_ends", "b_ends", F.array_intersect))
-    cut = shared.withColumns({"cut_a": F.zip_with("a_ends", "shared", cuts), "cut_b": F.zip_with("b_ends", "shared", cuts)})
+    # Where all ends are shared, groups need no cuts: each is one token of either side.
+    several = F.transform("shared", lambda own, p: F.when(F.get("a_ends", p) != F.get("b_ends", p), own))
+    cut = shared.withColumn("shared", several).withColumns({"cut_a": F.zip_with("a_ends", "shared", cuts), "cut_b": F.zip_with("b_ends", "shared", cuts)})
 
     def listed(names: Column, begin: Column, end: Column) -> Column:
         several = F.array_join(F.transform(F.sequence(begin, end - 1), lambda j: F.get(names, j)), ",")
@@ -175,7 +177,7 @@ def align(tokenized: DataFrame) -> DataFrame:
         a, b, cut_b = F.get("a_names", p), F.get("b_names", p), F.get("cut_b", p)
         one_to_one = F.zip_with(a, b, lambda x, y: F.concat(x, F.lit("|"), y))
         groups = F.transform(cut_a, lambda i, k: F.concat(listed(a, _begin(cut_a, k), i), F.lit("|"), listed(b, _begin(cut_b, k), F.get(cut_b, k))))
-        return F.array_join(F.when(F.get("a_ends", p) == F.get("b_ends", p), one_to_one).otherwise(groups), ";")
+        return F.array_join(F.when(cut_a.isNull(), one_to_one).otherwise(groups), ";")
 
     def pairs(cut_a: Column, p: Column) -> Column:
         a, b, cut_b = F.get("a_ids", p), F.get("b_ids", p), F.get("cut_b", p)
@@ -186,24 +188,22 @@ def align(tokenized: DataFrame) -> DataFrame:
             return F.flatten(F.transform(own_a, lambda x: F.transform(own_b, lambda y: link(F.get(a, x), F.get(b, y)))))
 
         groups = F.flatten(F.transform(cut_a, of_group))
-        return F.when(F.get("a_ends", p) == F.get("b_ends", p), F.zip_with(a, b, link)).otherwise(groups)
+        return F.when(cut_a.isNull(), F.zip_with(a, b, link)).otherwise(groups)
 
     named = cut.withColumns({"a_names": F.col("a_ids").cast("array<array<string>>"), "b_names": F.col("b_ids").cast("array<array<string>>")})
     built = named.withColumns({"text_of": F.transform("cut_a", texts), "links_of": F.transform("cut_a", pairs)})
 
-    def added(codes: Column, column: str) -> Column:
-        return F.aggregate(codes, F.lit(0).cast("long"), lambda total, c: total + F.size(F.get(column, c)))
-
     each = F.transform(
         "codes",
         lambda codes, d: F.struct(
             *(F.get(c, d).alias(c) for c in ("doc_id", "n_a", "n_b")),
-            added(codes, "shared").alias("n_groups"),
             F.array_join(F.transform(codes, lambda c: F.get("text_of", c)), ";").alias("groups"),
             F.flatten(F.transform(codes, lambda c: F.get("links_of", c))).alias("links"),
         ),
     )
-    return built.select(F.inline(each))
+    # Of each group there is one bar; the sum of groups by ``aggregate`` over pieces takes a tenth of the time more.
+    bars = F.length("groups") - F.length(F.replace("groups", F.lit("|"), F.lit("")))
+    return built.select(F.inline(each)).withColumn("n_groups", bars.cast("long"))
 
 
 def corpus_counts(sent: DataFrame) -> DataFrame:

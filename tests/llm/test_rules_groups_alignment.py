@@ -164,16 +164,17 @@ def test_spelling_groups_of_planted_variants(spark):
     rng = random.Random(3)
     roots = ["".join(rng.choice("abcdeé÷") for _ in range(rng.randint(6, 9))) for _ in range(12)]
     texts = []
-    for k in range(400):
+    for k in range(900):
         words = []
-        for _ in range(rng.randint(0, 30)):
+        for _ in range(rng.randint(0, 60)):
             w = rng.choice(roots)
-            for _ in range(rng.choice((0, 0, 0, 0, 1, 1, 2, 3))):  # chains of variants
+            for _ in range(rng.choice((0,) * 60 + (1,) * 10 + (2, 2))):  # chains of variants
                 at, c = rng.randrange(len(w)), rng.choice("abÉ")
                 w = rng.choice((w[:at] + w[at + 1 :], w[:at] + c + w[at:], w[:at] + c + w[at + 1 :]))
             words.append(rng.choice((w, w.upper() if w.isascii() else w)))
         texts.append((k, rng.choice(" ,-3_ß") .join(words)))
     texts.append((None, "aabbccdd " * 900))
+    texts += [(5000 + k, f"{w} " * n) for k, (w, n) in enumerate((("zyxwvu", 900), ("zyxwvt", 150), ("zyxwst", 25), ("zyxrst", 5)))]
     want = brute_groups(texts)
     assert sum(r[1] is not None for r in want) > 20 and any(r[1] != r[2] for r in want if r[1])
     same(spelling.spelling_groups(frame(spark, texts)).collect(), want)
