@@ -15,6 +15,7 @@ pairs once, and get the answers back, so that documents themselves are never shu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -68,6 +69,7 @@ class Pair:
             self.known = {}
         new = [p for p in pieces if p not in self.known]
         for piece, ids in zip(new, self.b.encode(new, num_threads=1)):
+            ids = ids or [self.b.piece_to_id("▁")]  # a last blank alone
             same = b"".join([self.b_text[i] for i in ids]) == b" " + piece.encode()
             self.known[piece] = np.array(ids, dtype="<u4").tobytes() if same else None
 
@@ -206,6 +208,18 @@ def align(tokenized: DataFrame) -> DataFrame:
     return built.select(F.inline(each)).withColumn("n_groups", bars.cast("long"))
 
 
+@contextmanager
+def co_located(spark: SparkSession) -> Iterator[None]:
+    """Joins planned inside meet where both sides lie by a part of their keys; otherwise Spark deals all links out by shard and pair."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def corpus_counts(sent: DataFrame) -> DataFrame:
     """(pair, count, best) from (shard, pair, n): in how many documents a pair is linked, and whether that is its A id's highest."""
     totals = sent.groupBy("pair").agg(F.sum("n").alias("count"))
@@ -233,11 +247,9 @@ def align_corpus(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     # A shard meets its answers where it lies: the table is bucketed by shard, and so the answers are dealt.
     answers = sent.select("shard", "pair").join(corpus_counts(sent), "pair").repartition(buckets_for(spark), "shard")
     linked = held.select("shard", "row", F.explode("links").alias("pair"))
-    summed = (
-        linked.join(answers.hint("shuffle_hash"), ["shard", "pair"])
-        .groupBy("shard", "row")
-        .agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    )
+    summed = linked.join(answers.hint("shuffle_hash"), ["shard", "pair"]).groupBy("shard", "row").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    with co_located(spark):
+        summed = stage(summed, "alignment-sums")
     whole = held.select("shard", "row", "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups_sha256")
     nothing = F.lit(0).cast("long")
     return whole.join(summed.hint("shuffle_hash"), ["shard", "row"], "left").select(
