@@ -155,8 +155,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", set
 
     benchmark has item_id and text, and may have answer; an answer must then lie in the passage too (half
     of its words).  Null and empty texts, in either table, leak nothing; repeated rows are rows of their
-    own; with an empty benchmark the arrays are empty.
+    own; with an empty benchmark the arrays are empty; a column of ``docs`` named ``column`` is replaced.
     """
+    docs = docs.drop(column)
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text", answer.alias("answer"))
     sets = max(1, -(-items.count() // set_items))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,20 @@ import pyarrow.compute as pc
 #: Entries in each of the two dictionaries of a worker.
 CACHE_ENTRIES = 350_000
 
-#: Inside a piece: after a letter or digit before a stop, comma or line break; after a line break before a letter or digit.
-_INNER = re.compile(r"(?<=[^\W_])(?=[.,\n])|(?<=\n)(?=[^\W_])")
+#: Inside a piece: after a plain letter or digit before a stop, comma or line break; after a line break before a plain letter or digit.
+#: Other letters may end in a mark once they are normalised, which the tokenizer joins with what follows.
+_INNER = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,\n])|(?<=\n)(?=[0-9A-Za-zÀ-ÖØ-öø-ÿ])")
 _TWO_SPACES = re.compile(r"\s\s")
 #: Letters that the tokenizers' pre-tokenizers never part and, lower-cased, leave as they are.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _BEFORE_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
 
 
+def _stays_a_letter(c: str) -> bool:
+    """Whether a letter, composed and lower-cased, still is one letter, so that no mark stands at its end."""
+    return len(unicodedata.normalize("NFC", c).lower()) == 1
+
+
 def struct_packers(width: int):
     """A function that packs a list of ids as little-endian unsigned integers."""
     code = {2: "H", 4: "I"}[width]
@@ -97,7 +104,7 @@ class Encoder:
             return self._word(self.blank + piece)
         if known is None or not piece:
             return self._whole(self.blank + piece)
-        if piece[-1] in ".," and piece[:-1].isalpha():
+        if piece[-1] in ".," and piece[:-1].isalpha() and _stays_a_letter(piece[-2]):
             return known[piece[:-1]] + self._part(piece[-1], known)
         if _TWO_SPACES.search(self.blank + piece):
             return self._whole(self.blank + piece)

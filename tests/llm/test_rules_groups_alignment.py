@@ -298,3 +298,34 @@ def test_alignment_of_a_text_without_blanks(spark, paths, both):
 def test_alignment_of_nothing(spark, paths):
     assert alignment.align_corpus(frame(spark, [(1, "x")]).limit(0), *paths).count() == 0
     assert [tuple(r) for r in alignment.align_corpus(frame(spark, [(1, None), (1, "")]), *paths).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")] * 2
+
+
+# ---- earlier operators
+
+
+@pytest.mark.parametrize("name, drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_letters_that_normalise_to_letter_and_mark(name, drops):
+    import unicodedata
+
+    import public_tokenizers
+
+    from gradework.llm import tokens
+
+    enc = tokens.Encoder(public_tokenizers.path(name), drops, 4)
+    letters = [chr(c) for c in range(0x3000) if chr(c).isalpha()] + [chr(c) for c in range(0xF900, 0xFFE0) if chr(c).isalpha()]
+    odd = [c for c in letters if len(unicodedata.normalize("NFC", c).lower()) != 1]
+    assert "İ" in odd and len(odd) > 30
+    rng = random.Random(4)
+    pool = rng.sample(letters, 300) + odd + list(".,\n aA1_'-") * 20
+    texts = [f"x{c}. {c}, {c}\nb a\n{c}.5" for c in [*odd, *letters[::5]]] + ["".join(rng.choice(pool) for _ in range(rng.randint(1, 20))) for _ in range(2000)]
+    for text, ids in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_leaks_replace_a_column_of_their_name(spark, rows):
+    from gradework.llm import decontamination
+
+    docs = frame(spark, [(1, PROSE), (2, None)]).withColumn("leaks", F.lit("mine"))
+    items = spark.createDataFrame([(5, PROSE)], "item_id long, text string")
+    found = {r["doc_id"]: [h["item_id"] for h in r["leaks"]] for r in decontamination.find_leaks(docs, items).collect()}
+    assert found == {1: [5], 2: []}
