@@ -68,7 +68,7 @@ def _kernel_sql(kernels) -> str:
 
 _LINES = [X.line_kernel(5, math.pi * k / 4) for k in range(4)]
 _FILTERS = [X.matched_kernel(math.pi * k / 4, 1.0, 3) for k in range(4)]
-_add("line_excess_grid", lambda s, d: rounded(X.strongest(grid(s, d), "vec_id", _LINES).groupBy("vec_id").agg(F.avg("v").alias("mean"), F.max("v").alias("top")), "mean", "top"), f"WITH {GRID_SQL}, {_kernel_sql(_LINES)}, b AS (SELECT vec_id, y, x, max(v) AS v FROM r GROUP BY 1, 2, 3) SELECT vec_id, round(avg(v), 6) AS mean, round(max(v), 6) AS top FROM b GROUP BY vec_id")
+_add("line_response_grid", lambda s, d: rounded(X.strongest(grid(s, d), "vec_id", _LINES).groupBy("vec_id").agg(F.avg("v").alias("mean"), F.max("v").alias("top")), "mean", "top"), f"WITH {GRID_SQL}, {_kernel_sql(_LINES)}, b AS (SELECT vec_id, y, x, max(v) AS v FROM r GROUP BY 1, 2, 3) SELECT vec_id, round(avg(v), 6) AS mean, round(max(v), 6) AS top FROM b GROUP BY vec_id")
 _add("matched_filter_grid", lambda s, d: rounded(X.strongest(grid(s, d), "vec_id", _FILTERS).groupBy("vec_id").agg(F.avg("v").alias("mean"), F.max("v").alias("top")), "mean", "top"), f"WITH {GRID_SQL}, {_kernel_sql(_FILTERS)}, b AS (SELECT vec_id, y, x, max(v) AS v FROM r GROUP BY 1, 2, 3) SELECT vec_id, round(avg(v), 6) AS mean, round(max(v), 6) AS top FROM b GROUP BY vec_id")
 _add("spectral_slope", lambda s, d: rounded(X.spectral_slope(grid(s, d), "vec_id", 8), "slope", digits=4))
 _add("calibre_shares", lambda s, d: rounded(grid(s, d).groupBy("vec_id").agg(*((100.0 * F.avg((F.floor(F.abs("v") * 10) == k).cast("double"))).alias(f"pct{k}") for k in range(4))), *(f"pct{k}" for k in range(4))), f"WITH {GRID_SQL} SELECT vec_id, " + ", ".join(f"round(100.0 * avg(CASE WHEN floor(abs(v) * 10) = {k} THEN 1.0 ELSE 0.0 END), 6) AS pct{k}" for k in range(4)) + " FROM g GROUP BY vec_id")
