@@ -39,3 +39,49 @@ def running_sums(df: DataFrame, value: str, sums: dict[str, str], by: list[str]
 def average_ranks(df: DataFrame, value: str, by: list[str]) -> Column:
     """Rank of ``value`` inside ``by``; ties share the mean of their ranks."""
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+
+
+def percentiles(df: DataFrame, columns: list[str], shares: list[float], by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+    """(by..., metric, n, share, value): exact percentiles, linear between neighbours, of many columns inside groups; nulls do not count.
+
+    Equal values are counted first.  Ranges of values run side by side and know how many values lie in the ranges
+    before them, so neither a column nor a group is ever in one task or one buffer.  A group without values has no row.
+    """
+    by = by or []
+    rows = df.select(*by, F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("_v")) for c in columns)))).filter("_v is not null")
+    counted = rows.groupBy(*by, "metric", "_v").agg(F.count("*").alias("_n"))
+    numbers = df.select(*(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)))
+    found = numbers.approxQuantile([f"_{i}" for i in range(len(columns))], [k / ranges for k in range(1, ranges)], 0.01)
+    place = F.lit(0)
+    for name, cuts in zip(columns, found):
+        edges = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+        place = F.when(F.col("metric") == name, F.size(F.filter(edges, lambda c: c < F.col("_v")))).otherwise(place)
+    keys = [*by, "metric"]
+    dealt_out = counted.withColumn("_range", place)
+    totals = dealt_out.groupBy(*keys, "_range").agg(F.sum("_n").alias("_t"))
+    upto = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    bases = totals.select(*keys, "_range", F.coalesce(F.sum("_t").over(upto), F.lit(0)).alias("_base"), F.sum("_t").over(Window.partitionBy(*keys)).alias("n"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_range")]
+    met = dealt_out.alias("a").join(bases.alias("b"), same).select(*(F.col(f"a.{k}") for k in (*keys, "_range")), "_v", "_n", "_base", "n")
+    inside = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = met.withColumn("_end", F.col("_base") + F.sum("_n").over(inside)).withColumn("_begin", F.col("_end") - F.col("_n"))
+    # Each value answers the shares whose place, from 0, or the next place falls on it.
+    holds = lambda at: (F.col("_begin") <= at) & (at < F.col("_end"))
+    at = lambda share: (F.col("n") - 1) * share
+    asked = F.filter(F.array(*(F.lit(float(x)) for x in shares)), lambda x: holds(F.floor(at(x))) | holds(F.ceil(at(x))))
+    hits = ends.withColumn("_asked", asked).filter(F.size("_asked") > 0).select(*keys, "n", "_v", "_begin", "_end", F.explode("_asked").alias("share"))
+    pair = hits.groupBy(*keys, "n", "share").agg(F.max(F.when(holds(F.floor(at(F.col("share")))), F.col("_v"))).alias("_low"), F.max(F.when(holds(F.ceil(at(F.col("share")))), F.col("_v"))).alias("_high"))
+    part = at(F.col("share")) - F.floor(at(F.col("share")))
+    return pair.select(*keys, "n", "share", (F.col("_low") + (F.col("_high") - F.col("_low")) * part).alias("value"))
+
+
+def neighbours(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
+    """(value, next) of the distinct values of a column; the largest has no next.
+
+    Ranges run side by side; the last value of a range takes the first one of the next range that has values.
+    """
+    distinct = dealt(df.select(value).filter(F.col(value).isNotNull()).distinct(), value, ranges)
+    firsts = distinct.groupBy("_range").agg(F.min(value).alias("_first"))  # a row for each range
+    after = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
+    inside = Window.partitionBy("_range").orderBy(value)
+    return distinct.join(F.broadcast(after), "_range").select(value, F.coalesce(F.lead(value).over(inside), "_after").alias("next"))

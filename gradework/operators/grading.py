@@ -5,6 +5,8 @@ What is fitted sees training rows only.  Cut points and operating points are fou
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +15,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegressio
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import neighbours, percentiles
 from .metrics import GRADES, kappa, within_strata
 
 DEFAULT_CUTS = (0.5, 1.5, 2.5, 3.5)
@@ -76,47 +79,63 @@ def isotonic(train: DataFrame, score: str, label: str):
     return IsotonicRegression(featuresCol=score, labelCol=label).fit(train)
 
 
-def fit_cuts(df: DataFrame, score: str, grade: str, classes: int = GRADES, candidates: int = 400, passes: int = 50) -> list[float]:
-    """Cut points by coordinate ascent on quadratic kappa.
+def cut_candidates(df: DataFrame, score: str, most: int = 400) -> list[float]:
+    """Middles between neighbouring distinct scores; of more than ``most``, so many even quantiles of the middles."""
+    pairs = neighbours(df, score)
+    n = pairs.count()
+    if n < 2:
+        return [r[score] for r in pairs.collect()]
+    middles = pairs.filter("next is not null").select(((F.col(score) + F.col("next")) / 2).alias("middle"))
+    if n - 1 > most:
+        middles = percentiles(middles, ["middle"], [k / (most - 1) for k in range(most)]).select(F.col("value").alias("middle"))
+    return sorted(r["middle"] for r in middles.collect())
+
+
+def fit_cutpoints(df: DataFrame, score: str, grade: str, classes: int = GRADES, candidates: int = 400, passes: int = 50) -> list[float]:
+    """Cut points by coordinate ascent on quadratic kappa; a score on a cut point has the lower grade.
 
-    Candidates are quantiles of the scores; Spark counts grades between neighbouring candidates, and the
-    search runs on that table of at most ``candidates`` + 1 rows.  It starts from the shares of the grades.
+    The search starts from the quantiles of the scores at the shares of the grades, and moves one cut point at a time to the
+    candidate, between its neighbours, of the largest kappa.  It reads grade counts between neighbouring candidates and
+    starting points, so rows stay in Spark.  Without rows the cut points are ``DEFAULT_CUTS``.
     """
-    cuts = np.array(sorted(set(df.approxQuantile(score, [k / candidates for k in range(1, candidates)], 0.001))))
-    if not len(cuts):
+    rows = df.select(F.col(score).cast("double").alias("_s"), F.least(F.greatest(F.bround(grade), F.lit(0)), F.lit(classes - 1)).cast("int").alias("_g")).filter("_s is not null and _g is not null")
+    shares = {r["_g"]: r["n"] for r in rows.groupBy("_g").agg(F.count("*").alias("n")).collect()}
+    if not shares:
         return list(DEFAULT_CUTS)
-    place = F.size(F.filter(F.array(*map(F.lit, cuts.tolist())), lambda c: c < F.col(score)))
-    rows = df.groupBy(place.alias("p"), F.col(grade).cast("int").alias("g")).agg(F.count("*").alias("n")).collect()
-    counts = np.zeros((len(cuts) + 1, classes))
-    for r in rows:
-        counts[r["p"], r["g"]] += r["n"]
-    below = np.concatenate([np.zeros((1, classes)), np.cumsum(counts, axis=0)])
-    total = counts.sum(axis=0)
-
-    def quality(at: list[int]) -> float:
-        """kappa if grade k starts after candidate at[k - 1]."""
-        edges = [0, *(i + 1 for i in at), len(cuts) + 1]
-        table = np.array([below[b] - below[a] for a, b in zip(edges[:-1], edges[1:])]).T
-        gap = np.subtract.outer(np.arange(classes), np.arange(classes)) ** 2
-        expected = (gap * np.outer(total, table.sum(axis=0))).sum()
-        return 1 - table.sum() * (gap * table).sum() / expected if expected else -1.0
-
-    shares = np.cumsum(total)[:-1] / total.sum()
-    cumulated = below[1:].sum(axis=1) / total.sum()
-    at = [int(min(len(cuts) - 1, np.searchsorted(cumulated, s))) for s in shares]
-    for k in range(1, len(at)):
-        at[k] = max(at[k], at[k - 1])
-    best = quality(at)
+    total = sum(shares.values())
+    upto = np.cumsum([shares.get(g, 0) for g in range(classes)])[:-1] / total
+    first = {r["share"]: r["value"] for r in percentiles(rows, ["_s"], sorted(set(upto.tolist()))).collect()}
+    cuts = sorted(first[x] for x in upto.tolist())
+    places = cut_candidates(rows, "_s", candidates)
+    edges = sorted(set(places) | set(cuts))
+    interval = F.size(F.filter(F.array(*map(F.lit, edges)), lambda c: c < F.col("_s")))
+    table = np.zeros((len(edges) + 1, classes))
+    for r in rows.groupBy(interval.alias("i"), "_g").agg(F.count("*").alias("n")).collect():
+        table[r["i"], r["_g"]] = r["n"]
+    below = np.concatenate([np.zeros((1, classes)), np.cumsum(table, axis=0)])  # rows up to an edge, by grade
+    at = {e: i + 1 for i, e in enumerate(edges)}
+    distance = np.subtract.outer(np.arange(classes), np.arange(classes)) ** 2
+
+    def quality(marks: list[float]) -> float:
+        bounds = [0, *(at[m] for m in marks), len(edges) + 1]
+        matrix = np.array([below[b] - below[a] for a, b in zip(bounds[:-1], bounds[1:])]).T
+        expected = (distance * np.outer(matrix.sum(axis=1), matrix.sum(axis=0))).sum()
+        return 1 - total * (distance * matrix).sum() / expected if expected else math.nan
+
+    best = quality(cuts)
     for _ in range(passes):
-        before = best
-        for k in range(len(at)):
-            for i in range(at[k - 1] if k else 0, (at[k + 1] if k + 1 < len(at) else len(cuts) - 1) + 1):
-                value = quality([*at[:k], i, *at[k + 1 :]])
-                if value > best + 1e-12:
-                    best, at[k] = value, i
-        if best <= before + 1e-12:
+        moved = False
+        for k in range(len(cuts)):
+            low, high = cuts[k - 1] if k else -math.inf, cuts[k + 1] if k + 1 < len(cuts) else math.inf
+            for place in places:
+                if low <= place <= high:
+                    trial = [*cuts[:k], place, *cuts[k + 1 :]]
+                    value = quality(trial)
+                    if value > best + 1e-12:
+                        best, cuts, moved = value, trial, True
+        if not moved:
             break
-    return [float(cuts[i]) for i in at]
+    return cuts
 
 
 def fit_scorer(train: DataFrame, features: list[str], label: str, weight: str | None = None):
@@ -145,7 +164,7 @@ def ablation(df: DataFrame, blocks: dict[str, list[str]], label: str, fold: str,
     for name, columns in blocks.items():
         used = used + columns
         scored = cross_validated(df, used, label, fold)
-        cuts = fit_cuts(scored, "grade_score", label)
+        cuts = fit_cutpoints(scored, "grade_score", label)
         rows = scored.withColumn("predicted", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("grade_score"))))
         value = within_strata(lambda d, by: kappa(d, label, "predicted", by), rows, stratum, "kappa").first()["mean"]
         kept = value is not None and value > best

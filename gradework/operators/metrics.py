@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import average_ranks, running_sums
+from ..functions.ordered import average_ranks, percentiles, running_sums
 
 GRADES = 5
 REFERABLE = 2
@@ -147,6 +147,34 @@ def summary(df: DataFrame, truth: str, predicted: str, score: str, threshold: fl
     return out.join(sensitivity_specificity(rows, "_referable", score, F.lit(threshold), by), by)
 
 
+def with_pooled(df: DataFrame, stratum: str, pooled: str = "pooled") -> DataFrame:
+    """Every row once under its stratum and once under ``pooled``; a null stratum is in the pool alone."""
+    return df.withColumn(stratum, F.explode(F.array_compact(F.array(F.col(stratum).cast("string"), F.lit(pooled)))))
+
+
+def stratum_thresholds(df: DataFrame, stratum: str, metrics: dict[str, dict[str, float]], min_rows: int = 20, pooled: str = "pooled") -> DataFrame:
+    """(stratum, n, thresholds): for each metric {new column: share} its exact percentiles, of strata with enough rows and of all rows."""
+    wide = with_pooled(df.select(stratum, *metrics), stratum, pooled)
+    sizes = wide.groupBy(stratum).agg(F.count("*").alias("n")).filter((F.col("n") >= min_rows) | (F.col(stratum) == pooled))
+    shares = sorted({x for own in metrics.values() for x in own.values()})
+    found = percentiles(wide, list(metrics), shares, [stratum]).drop("n")
+    columns = [F.max(F.when((F.col("metric") == metric) & (F.col("share") == F.lit(share)), F.col("value"))).alias(name) for metric, own in metrics.items() for name, share in own.items()]
+    return sizes.join(found.groupBy(stratum).agg(*columns), stratum, "left")
+
+
+def profile(df: DataFrame, group: str, metrics: list[str], rejected: str, whole: str = "ALL") -> DataFrame:
+    """(group, metric, n, least, q1, middle, q3, most, rejected_pct): five numbers of each metric by group and over all rows.
+
+    n counts a metric's values; rejected_pct is the share of the group's rows whose ``rejected`` holds.
+    """
+    wide = with_pooled(df.select(group, rejected, *metrics), group, whole)
+    names = {0.0: "least", 0.25: "q1", 0.5: "middle", 0.75: "q3", 1.0: "most"}
+    found = percentiles(wide, metrics, list(names), [group])
+    rows = found.groupBy(group, "metric", "n").agg(*(F.max(F.when(F.col("share") == F.lit(x), F.col("value"))).alias(name) for x, name in names.items()))
+    gate = wide.groupBy(group).agg((100.0 * F.avg(F.coalesce(F.col(rejected), F.lit(False)).cast("double"))).alias("rejected_pct"))
+    return rows.join(gate, group)
+
+
 def class_weights(df: DataFrame, label: str, classes: int = GRADES) -> DataFrame:
     """(grade, n, weight): total / (classes n), 1 for an empty class."""
     counted = df.groupBy(F.col(label).cast("int").alias("grade")).agg(F.count("*").alias("n"))

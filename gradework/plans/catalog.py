@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation, gating, imaging, modelling, vision
+from . import calibration, evaluation, gating, imaging, modelling, vision
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (evaluation, gating, imaging, modelling, vision):
+for _module in (calibration, evaluation, gating, imaging, modelling, vision):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

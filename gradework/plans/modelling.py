@@ -50,7 +50,7 @@ def _graded(s, d):
 
 
 def _cuts(s, d):
-    cuts = M.fit_cuts(predictions(s, d), "score", "truth")
+    cuts = M.fit_cutpoints(predictions(s, d), "score", "truth")
     return s.createDataFrame([(i + 1, c) for i, c in enumerate(cuts)], "place int, cut double")
 
 
