@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Columns of labels and of splits.
 LABELS = T.StructType([T.StructField("id_code", T.StringType()), T.StructField("diagnosis", T.IntegerType())])
 SPLITS = T.StructType([T.StructField(c, T.StringType()) for c in ("id_code", "split", "cv_fold", "sample_source", "grade", "resolution")])
 
@@ -59,3 +65,68 @@ def append_pending(work: DataFrame, path: str, key: str) -> DataFrame:
 def write_report(df: DataFrame, path: str) -> None:
     """One JSON object a row."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path that the driver and all executors reach: below ``spark.checkpoint.dir``, or a folder of this machine on a local master alone."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = getattr(context, "_gradework_scratch", None) or "file://" + tempfile.mkdtemp(prefix="gradework-")
+        context._gradework_scratch = folder
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a table, oldest first: those whose write left its mark of success."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(re.search(r"version=(\d+)/", f.getPath().toString())[1]) for f in (found or []))
+
+
+def write_version(df: DataFrame, path: str) -> int:
+    """Write ``df`` as the next version of the table at ``path``; earlier versions stay, and are what is read until this one is complete.
+
+    A version that an earlier, failed write left is overwritten.  One writer at a time is assumed.
+    """
+    spark = df.sparkSession
+    number = max(versions(spark, path), default=0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/version={number}")
+    return number
+
+
+def read_version(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The table's latest complete version, or a given one."""
+    known = versions(spark, path)
+    if not known or (number is not None and number not in known):
+        raise FileNotFoundError(f"{path} has no complete version" + (f" {number}" if number is not None else ""))
+    return spark.read.parquet(f"{path}/version={number or known[-1]}")
+
+
+def save_bundle(spark: SparkSession, path: str, models: dict, settings: dict) -> int:
+    """Save fitted Spark ML models and a dictionary of settings as one version; settings are written last and complete it."""
+    number = max(versions(spark, path), default=0) + 1
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/version={number}-models/{name}")
+    kinds = {name: f"{type(m).__module__}.{type(m).__name__}" for name, m in models.items()}
+    row = [(json.dumps({"settings": settings, "models": kinds}),)]
+    spark.createDataFrame(row, "bundle string").write.mode("overwrite").parquet(f"{path}/version={number}")
+    return number
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[dict, dict]:
+    """(models, settings) of the latest complete bundle."""
+    import importlib
+
+    known = versions(spark, path)
+    bundle = json.loads(read_version(spark, path).first()["bundle"])
+    models = {}
+    for name, kind in bundle["models"].items():
+        module, _, cls = kind.rpartition(".")
+        if not module.startswith("pyspark.ml"):
+            raise ValueError(f"{kind} is no Spark ML model")
+        models[name] = getattr(importlib.import_module(module), cls).load(f"{path}/version={known[-1]}-models/{name}")
+    return models, bundle["settings"]
