@@ -99,3 +99,19 @@ def criterion(rule421: Column, new_vessels: Column, haemorrhages: Column, aneury
 def calibre_band(width: Column) -> Column:
     """Vessel calibre class of a width in pixels, widest first (fixed values)."""
     return F.when(width >= 10.07, 0).when(width >= 7.0, 1).when(width >= 4.0, 2).when(width >= 2.685, 3).otherwise(-1)
+
+
+def fast_reject(residual: Column, area_share: Column, offset: Column, border_share: Column) -> Column:
+    """struct(rejected, reason): a view that fits its circle badly, is small, far off or mostly at the border (fixed values)."""
+    reasons = F.concat_ws("|", F.when(residual > 0.06, "residual"), F.when(area_share < 0.50, "areaFrac"), F.when(offset > 0.35, "offset"), F.when(border_share > 0.80, "borderFrac"))
+    return F.struct((F.length(reasons) > 0).alias("rejected"), reasons.alias("reason"))
+
+
+def saturated_green(share: Column, most: float = 0.05) -> Column:
+    """More than a twentieth of the green channel is saturated; an unknown share is not."""
+    return F.coalesce(share > most, F.lit(False))
+
+
+def sharp_enough(normed_variance: Column, least: float = 0.082) -> Column:
+    """The variance of the Laplacian over the squared mean is high enough for vessels to be measured."""
+    return F.coalesce(normed_variance >= least, F.lit(False))

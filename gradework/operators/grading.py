@@ -75,8 +75,16 @@ def platt_apply(df: DataFrame, score: str, slope: float, intercept: float) -> Da
 
 
 def isotonic(train: DataFrame, score: str, label: str):
-    """A monotone calibration; transform() gives prediction."""
-    return IsotonicRegression(featuresCol=score, labelCol=label).fit(train)
+    """A monotone calibration for ``isotonic_apply``."""
+    return IsotonicRegression(featuresCol=score, labelCol=label).fit(train.withColumns({score: F.col(score).cast("double"), label: F.col(label).cast("double")}))
+
+
+def isotonic_apply(model, df: DataFrame, score: str) -> DataFrame:
+    """``df`` with probability, inside [0, 1]; scores beyond the training range have the value at its end."""
+    own = "_isotonic_score"
+    fitted = model.copy().setFeaturesCol(own).setPredictionCol("_isotonic")
+    out = fitted.transform(df.withColumn(own, F.col(score).cast("double")))
+    return out.withColumn("probability", F.least(F.greatest("_isotonic", F.lit(0.0)), F.lit(1.0))).drop(own, "_isotonic")
 
 
 def cut_candidates(df: DataFrame, score: str, most: int = 400) -> list[float]:

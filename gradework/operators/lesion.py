@@ -57,12 +57,13 @@ def select_threshold(scored: DataFrame, images: DataFrame, key: str, score: str)
     images are the negative training images; those without candidates count as 0.  Without images, or if none
     of the grid does, the fallback or the strictest value.
     """
-    grid = F.explode(F.array(*map(F.lit, THRESHOLDS)))
-    counts = scored.select(key, score, grid.alias("t")).groupBy(key, "t").agg(F.sum((F.col(score) >= F.col("t")).cast("int")).alias("kept"))
-    every = images.select(key).distinct().select(key, grid.alias("t")).join(counts, [key, "t"], "left")
-    medians = every.groupBy("t").agg(F.percentile(F.coalesce("kept", F.lit(0)), F.lit(0.5)).alias("m"))
-    found = medians.agg(F.count("*").alias("n"), F.min(F.when(F.col("m") == 0, F.col("t"))).alias("t"))
-    return found.select(F.when(F.col("n") == 0, FALLBACK_THRESHOLD).otherwise(F.coalesce("t", F.lit(STRICTEST))).alias("threshold"))
+    kept = [F.sum((F.col(score) >= t).cast("int")).alias(f"_{i}") for i, t in enumerate(THRESHOLDS)]
+    every = images.select(key).distinct().join(scored.groupBy(key).agg(*kept), key, "left")
+    # The median of counts, which are never negative, is 0 exactly if more than half of them are.
+    zeros = every.agg(F.count("*").alias("n"), *(F.sum((F.coalesce(f"_{i}", F.lit(0)) == 0).cast("long")).alias(f"_{i}") for i in range(len(THRESHOLDS))))
+    enough = lambda i: F.col(f"_{i}") * 2 > F.col("n")
+    lowest = F.coalesce(*(F.when(enough(i), F.lit(t)) for i, t in enumerate(THRESHOLDS)))
+    return zeros.select(F.when(F.col("n") == 0, FALLBACK_THRESHOLD).otherwise(F.coalesce(lowest, F.lit(STRICTEST))).alias("threshold"))
 
 
 def macula_touch(x: Column, y: Column, area: Column, fovea_x: Column, fovea_y: Column) -> Column:

@@ -69,3 +69,33 @@ def worst_eye(eyes: DataFrame, person: str, eye: str, grade: str) -> DataFrame:
     """(person, worst_eye, worst_grade, referable): the highest grade of a person, the first eye among equals."""
     best = F.max_by(F.struct(eye, grade), F.struct(F.col(grade), -F.col(eye)))
     return eyes.groupBy(person).agg(best.alias("_b"), F.max((F.col(grade) >= 2).cast("int")).alias("referable")).select(person, F.col(f"_b.{eye}").alias("worst_eye"), F.col(f"_b.{grade}").alias("worst_grade"), "referable")
+
+
+def dataset(features: DataFrame, labels: DataFrame, splits: DataFrame, key: str, carried: list[str], verdict: str | None = None) -> DataFrame:
+    """Features with diagnosis and the carried columns of the splits; what an image does not have is the empty text.
+
+    Images that ``verdict`` rejects ("fail") are dropped, all others stay, once for each row of features.  Labels and splits have a row a key at most.
+    """
+    rows = features if verdict is None else features.filter(F.coalesce(F.lower(F.trim(verdict)), F.lit("")) != "fail")
+    text = lambda df, columns: df.select(key, *(F.col(c).cast("string").alias(c) for c in columns))
+    out = rows.join(text(labels, ["diagnosis"]), key, "left").join(text(splits, carried), key, "left")
+    return out.fillna("", ["diagnosis", *carried])
+
+
+def backfilled(df: DataFrame, more: DataFrame, key: str, after: str) -> DataFrame:
+    """``df`` with the columns of ``more`` (a row a key) behind the column ``after``; unmatched rows have the empty text, and the row count stays."""
+    added = [c for c in more.columns if c != key]
+    clash = [c for c in added if c in df.columns]
+    if clash or after not in df.columns:
+        raise ValueError(f"cannot add {added} behind {after}: {clash or 'no such column'}")
+    at = df.columns.index(after) + 1
+    joined = df.join(more.select(key, *(F.col(c).cast("string").alias(c) for c in added)), key, "left").fillna("", added)
+    return joined.select(*df.columns[:at], *added, *df.columns[at:])
+
+
+def measurable(images: DataFrame, key: str, wanted: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Images whose view was found and not rejected, of a list of keys if given, the first ``limit`` by key if asked for."""
+    rows = images.filter((F.col("fov_ok") == 1) & (F.col("gate_reject") == 0))
+    if wanted is not None:
+        rows = rows.join(wanted.select(key).distinct(), key, "left_semi")
+    return rows if limit is None else rows.orderBy(key).limit(limit)

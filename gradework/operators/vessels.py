@@ -224,3 +224,13 @@ def excess_rows(images: DataFrame, key: str, size: int, scale: Scale, values: st
         return [(len(y), int(y.sum()), int(x.sum()))]
 
     return per_image(images, [values], [key], size, kernel, "n_excess long, y_sum long, x_sum long")
+
+
+def tree_rows(images: DataFrame, key: str, width: int, values: str, above: float) -> DataFrame:
+    """(key, tree, area, length) of the parts, joined by sides, of the pixels above a threshold; trees count from 1 in row-major order."""
+
+    def kernel(picture: np.ndarray, _key: object) -> list[tuple]:
+        area, length = tree_lengths(picture > above)
+        return [(k + 1, int(a), float(n)) for k, (a, n) in enumerate(zip(area, length))]
+
+    return per_image(images, [values], [key], width, kernel, "tree int, area long, length double")

@@ -11,10 +11,13 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import filters as P
+from .gates import nearest_band
 from .images import per_image
 from .kernels import label
+from .sampling import hash_order
 
 #: Pixels, shares of the image or of the fitted circle.
 OPENING_RADIUS = 5
@@ -145,3 +148,24 @@ def view_rows(images: DataFrame, key: str, width: int, red: str = "red", brighte
 
     made = "status string, reason string, degenerate boolean, retried boolean, " + ", ".join(f"{m} {'long' if m == 'mask_px' else 'double'}" for m in MEASURES)
     return per_image(images, [red, brightest], [key], width, kernel, made)
+
+
+#: Share of rows looked at, share of those that must lie in the band, level up to which a pixel is black.
+ROW_SHARE, ROW_PASS, BLACK = 0.10, 0.80, 10
+
+
+def black_rows(images: DataFrame, key: str, width: int, levels: str = "brightest", seed: int = 0) -> DataFrame:
+    """(key, rows_seen, in_band_share, passed): whether rows of an image are as black at their ends as its aspect lets expect.
+
+    A tenth of the rows, at least one, is drawn by hash; a row is in the band if its per cent of black pixels lies in the aspect's band,
+    ends included.  ``levels`` holds each pixel's largest channel, 0..255.  All of it runs in the image's own row.
+    """
+    height = F.floor(F.size(levels) / width).cast("int")
+    wanted = F.greatest(F.bround(height * ROW_SHARE), F.lit(1)).cast("int")
+    drawn = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), height - 1), lambda y: F.struct(hash_order(F.concat_ws("|", F.col(key), y), seed).alias("h"), y.alias("y")))), F.lit(1), wanted)
+    band = nearest_band(F.lit(float(width)) / height)
+    black = lambda y: F.size(F.filter(F.slice(F.col(levels), y * width + 1, F.lit(width)), lambda v: v <= BLACK)) * 100.0 / width
+    rows = images.filter(F.size(levels) >= width).select(key, band.alias("_band"), F.transform(drawn, lambda r: black(r["y"])).alias("_black"))
+    inside = F.size(F.filter("_black", lambda p: p.between(F.col("_band.lo"), F.col("_band.hi"))))
+    share = inside / F.size("_black")
+    return rows.select(key, F.size("_black").alias("rows_seen"), share.alias("in_band_share"), (share >= ROW_PASS).alias("passed"))

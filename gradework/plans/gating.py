@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce
 from ..operators import gates as G
 from ..operators import relational as R
 from ..operators import sampling as S
+from ..operators import summaries as U
 from .inputs import longs, rounded, table
 
 QUERIES, ORACLES = {}, {}
@@ -91,15 +91,15 @@ _add("match_precedence", _match,
 c AS (SELECT doc_id, m AS set_id, 0 AS pl, 'sha' AS rule FROM i JOIN (SELECT sha, min(set_id) AS m FROM s GROUP BY sha) USING (sha) UNION ALL SELECT doc_id, set_id, 1, 'stem' FROM i JOIN s ON set_id = doc_id
 UNION ALL SELECT doc_id, m, 2, 'source' FROM i JOIN (SELECT source, min(set_id) AS m FROM s GROUP BY source) USING (source)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pl, set_id) AS n FROM c) SELECT i.doc_id, coalesce(r.set_id, -1) AS set_id, coalesce(r.rule, '') AS rule FROM i LEFT JOIN r ON r.doc_id = i.doc_id AND n = 1""")
-_add("masked_stats", lambda s, d: rounded(table(s, d, "lineitem").groupBy("l_returnflag").agg(*(f(F.when(F.col("l_discount") > 0.03, F.col("l_extendedprice"))).alias(n) for n, f in (("mean", F.avg), ("spread", F.stddev_pop), ("variance", F.var_pop), ("middle", lambda c: F.percentile(c, F.lit(0.5))), ("high", lambda c: F.percentile(c, F.lit(0.95))), ("top", F.max))), F.avg((F.col("l_discount") > 0.03).cast("double")).alias("fraction")), "mean", "spread", "middle", "high", "top", "fraction").withColumn("variance", F.round("variance", 0)),
+_add("masked_stats", lambda s, d: rounded(U.masked_summary(table(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", F.col("l_discount") > 0.03, {"middle": 0.5, "high": 0.95}), "mean", "spread", "middle", "high", "top", "fraction").withColumn("variance", F.round("variance", 0)),
      "SELECT l_returnflag, round(avg(l_extendedprice) FILTER (l_discount > 0.03::DOUBLE), 6) AS mean, round(stddev_pop(l_extendedprice) FILTER (l_discount > 0.03::DOUBLE), 6) AS spread, round(var_pop(l_extendedprice) FILTER (l_discount > 0.03::DOUBLE), 0) AS variance, round(quantile_cont(l_extendedprice, 0.5) FILTER (l_discount > 0.03::DOUBLE), 6) AS middle, round(quantile_cont(l_extendedprice, 0.95) FILTER (l_discount > 0.03::DOUBLE), 6) AS high, round(max(l_extendedprice) FILTER (l_discount > 0.03::DOUBLE), 6) AS top, round(avg(CASE WHEN l_discount > 0.03::DOUBLE THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM lineitem GROUP BY l_returnflag")
-_add("dense_histogram", lambda s, d: s.range(0, 12).select(F.col("id").alias("bin")).join(table(s, d, "orders").groupBy(F.floor(F.col("o_totalprice") / 50000).alias("bin")).agg(F.count("*").alias("n")), "bin", "left").withColumn("n", F.coalesce("n", F.lit(0))),
+_add("dense_histogram", lambda s, d: U.histogram(table(s, d, "orders"), F.floor(F.col("o_totalprice") / 50000), 12),
      "WITH h AS (SELECT CAST(floor(o_totalprice / 50000) AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY 1) SELECT k AS bin, coalesce(n, 0) AS n FROM range(12) t(k) LEFT JOIN h ON bin = k")
 _add("stratum_thresholds", lambda s, d: rounded(table(s, d, "events").groupingSets([["event_type"], []], "event_type").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.02)).alias("p2"), F.percentile("value", F.lit(0.10)).alias("p10")).filter("n >= 20").withColumn("event_type", F.coalesce("event_type", F.lit("pooled"))), "p2", "p10"),
      "SELECT coalesce(event_type, 'pooled') AS event_type, count(*) AS n, round(quantile_cont(value, 0.02), 6) AS p2, round(quantile_cont(value, 0.1), 6) AS p10 FROM events GROUP BY GROUPING SETS ((event_type), ()) HAVING count(*) >= 20")
-_add("balance_report", lambda s, d: rounded(table(s, d, "orders").groupBy("o_orderpriority").agg(*(F.sum((F.col("o_orderstatus") == x).cast("long")).alias(f"n_{x.lower()}") for x in "FOP"), F.count("*").alias("total")).withColumn("share_f", F.col("n_f") / F.col("total") * 100), "share_f"),
+_add("balance_report", lambda s, d: rounded(U.balance(table(s, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"], "F"), "share_f"),
      "SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS n_f, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS n_o, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS n_p, count(*) AS total, round(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) * 100, 6) AS share_f FROM orders GROUP BY o_orderpriority")
-_add("rejections_by_grade", lambda s, d: table(s, d, "documents").select("lang", "n_chars").filter("n_chars < 300").groupBy(F.coalesce("lang", F.lit("?")).alias("grade")).agg(F.count("*").alias("n")), "SELECT coalesce(lang, '?') AS grade, count(*) AS n FROM documents WHERE n_chars < 300 GROUP BY 1")
+_add("rejections_by_grade", lambda s, d: U.rejections(table(s, d, "documents").select("lang", "n_chars"), F.col("n_chars") < 300, "lang"), "SELECT coalesce(lang, '?') AS grade, count(*) AS n FROM documents WHERE n_chars < 300 GROUP BY 1")
 _add("worst_eye", lambda s, d: longs(R.worst_eye(table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("eye"), (F.col("l_quantity") / 10).cast("int").alias("grade")).distinct(), "l_orderkey", "eye", "grade"), "worst_eye", "worst_grade", "referable"),
      "WITH e AS (SELECT DISTINCT l_orderkey, l_linenumber AS eye, CAST(trunc(l_quantity / 10) AS INTEGER) AS grade FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY grade DESC, eye) AS n, max(CASE WHEN grade >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) AS ref FROM e) SELECT l_orderkey, CAST(eye AS BIGINT) AS worst_eye, CAST(grade AS BIGINT) AS worst_grade, CAST(ref AS BIGINT) AS referable FROM r WHERE n = 1")
 _add("weak_labels", lambda s, d: longs(R.weak_labels(table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber"), table(s, d, "orders").select(F.col("o_orderkey").alias("k"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("grade")), "k", "grade").groupBy("weak_label").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines")), "weak_label", "lines"),
@@ -130,10 +130,38 @@ _add("topk_tag", lambda s, d: S.tag_top(table(s, d, "orders").select("o_orderkey
      "SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) <= 59 THEN 'sharpest70' ELSE 'gate_sample' END AS source FROM orders")
 _add("stratified_sample", lambda s, d: S.per_group(table(s, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], "o_orderkey", 30, seed=7),
      "WITH i AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey || '|7'), o_orderkey) AS i FROM orders) SELECT o_orderkey, o_orderpriority FROM i WHERE i <= 30")
-_add("usable_filter", lambda s, d: table(s, d, "orders").filter(F.substring("o_orderpriority", 1, 1).isin("1", "2", "3") & F.col("o_totalprice").isNotNull() & (F.coalesce(F.col("o_orderstatus"), F.lit("P")) != "F")).select("o_orderkey"),
+_add("usable_filter", lambda s, d: U.usable(table(s, d, "orders"), F.substring("o_orderpriority", 1, 1), ["1", "2", "3"], "o_totalprice", F.col("o_orderstatus") != "F").select("o_orderkey"),
      "SELECT o_orderkey FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('1', '2', '3') AND o_totalprice IS NOT NULL AND coalesce(o_orderstatus, 'P') <> 'F'")
 _add("set_difference", lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(s, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")).distinct()), "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
-_add("cumulative_shares", lambda s, d: rounded(table(s, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")).withColumn("share", F.sum("n").over(Window.orderBy("o_orderpriority")) / F.sum("n").over(Window.partitionBy())), "share"),
+_add("cumulative_shares", lambda s, d: rounded(U.cumulative_shares(table(s, d, "orders"), "o_orderpriority"), "share"),
      "WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, n, round(sum(n) OVER (ORDER BY o_orderpriority) / CAST(sum(n) OVER () AS DOUBLE), 6) AS share FROM c")
 _add("file_hash", lambda s, d: table(s, d, "pages").select("page_id", F.sha2(F.col("html"), 256).alias("sha"), coerce.resolution(F.length("url"), F.length("html")).alias("resolution"), F.regexp_extract("url", r"([^/]+)/?$", 1).alias("stem")),
      "SELECT page_id, sha256(html) AS sha, length(url) || 'x' || length(html) AS resolution, regexp_extract(url, '([^/]+)/?$', 1) AS stem FROM pages")
+_add("weighted_histogram", lambda s, d: rounded(U.histogram(table(s, d, "orders"), F.floor(F.col("o_totalprice") / 50000), 12, F.col("o_totalprice") / 1000), "n", digits=4),
+     "WITH h AS (SELECT CAST(floor(o_totalprice / 50000) AS BIGINT) AS bin, sum(o_totalprice / 1000) AS n FROM orders GROUP BY 1) SELECT k AS bin, round(coalesce(n, 0.0), 4) AS n FROM range(12) t(k) LEFT JOIN h ON bin = k")
+_add("fast_reject", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", G.fast_reject(F.col("l_discount"), F.col("l_quantity") / 50.0, F.col("l_tax") * 5, F.col("l_extendedprice") / 60000.0).alias("g")).select("l_orderkey", "l_linenumber", "l_partkey", "g.rejected", "g.reason"),
+     "SELECT l_orderkey, l_linenumber, l_partkey, l_discount > 0.06::DOUBLE OR l_quantity / 50.0::DOUBLE < 0.5::DOUBLE OR l_tax * 5 > 0.35::DOUBLE OR l_extendedprice / 60000.0::DOUBLE > 0.8::DOUBLE AS rejected, concat_ws('|', CASE WHEN l_discount > 0.06::DOUBLE THEN 'residual' END, CASE WHEN l_quantity / 50.0::DOUBLE < 0.5::DOUBLE THEN 'areaFrac' END, CASE WHEN l_tax * 5 > 0.35::DOUBLE THEN 'offset' END, CASE WHEN l_extendedprice / 60000.0::DOUBLE > 0.8::DOUBLE THEN 'borderFrac' END) AS reason FROM lineitem")
+
+
+def _parts(s, d):
+    """Parts as measured images, orders' items as the list of what is wanted."""
+    images = table(s, d, "part").select("p_partkey", (F.col("p_size") > 3).cast("int").alias("fov_ok"), (F.col("p_retailprice") < 950).cast("int").alias("gate_reject"), "p_size")
+    wanted = table(s, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return R.measurable(images, "p_partkey", wanted).select("p_partkey", "p_size", G.sharp_enough(F.col("p_size") / 400.0).alias("sharp"), G.saturated_green(F.col("p_size") / 600.0).alias("saturated"))
+
+
+_add("measurable_images", _parts, "SELECT p_partkey, p_size, p_size / 400.0::DOUBLE >= 0.082::DOUBLE AS sharp, p_size / 600.0::DOUBLE > 0.05::DOUBLE AS saturated FROM part WHERE p_size > 3 AND p_retailprice >= 950 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+
+
+def _dataset(s, d):
+    """Documents as features, labels as diagnoses, conversations' first turns as splits."""
+    features = table(s, d, "documents").select(F.col("doc_id").alias("id_code"), "n_chars", F.when(F.col("n_chars") < 200, " FAIL ").otherwise("pass").alias("stage1_verdict"))
+    labels = table(s, d, "labels").select(F.col("doc_id").alias("id_code"), F.col("quality").alias("diagnosis"))
+    splits = table(s, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id_code"), "role", F.length("text").alias("length"))
+    return R.dataset(features, labels, splits, "id_code", ["role", "length"], "stage1_verdict")
+
+
+_add("dataset_join", _dataset, "SELECT d.doc_id AS id_code, d.n_chars, 'pass' AS stage1_verdict, coalesce(CAST(quality AS VARCHAR), '') AS diagnosis, coalesce(role, '') AS role, coalesce(CAST(length(c.text) AS VARCHAR), '') AS length FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN conversations c ON c.conv_id = d.doc_id AND turn = 0 WHERE d.n_chars >= 200")
+_add("backfill_columns", lambda s, d: R.backfilled(table(s, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.min("o_orderstatus").alias("first_status")), "c_custkey", "c_acctbal"),
+     "WITH o AS (SELECT o_custkey, count(*) AS n, min(o_orderstatus) AS f FROM orders GROUP BY 1) SELECT c_custkey, c_acctbal, coalesce(CAST(n AS VARCHAR), '') AS n_orders, coalesce(f, '') AS first_status, c_mktsegment FROM customer LEFT JOIN o ON o_custkey = c_custkey")
+_add("rejected_ids", lambda s, d: table(s, d, "documents").select("doc_id").subtract(table(s, d, "labels").select("doc_id")), "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")

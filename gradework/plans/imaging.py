@@ -70,7 +70,10 @@ _LINES = [X.line_kernel(5, math.pi * k / 4) for k in range(4)]
 _FILTERS = [X.matched_kernel(math.pi * k / 4, 1.0, 3) for k in range(4)]
 _add("line_response_grid", lambda s, d: rounded(X.strongest(grid(s, d), "vec_id", _LINES).groupBy("vec_id").agg(F.avg("v").alias("mean"), F.max("v").alias("top")), "mean", "top"), f"WITH {GRID_SQL}, {_kernel_sql(_LINES)}, b AS (SELECT vec_id, y, x, max(v) AS v FROM r GROUP BY 1, 2, 3) SELECT vec_id, round(avg(v), 6) AS mean, round(max(v), 6) AS top FROM b GROUP BY vec_id")
 _add("matched_filter_grid", lambda s, d: rounded(X.strongest(grid(s, d), "vec_id", _FILTERS).groupBy("vec_id").agg(F.avg("v").alias("mean"), F.max("v").alias("top")), "mean", "top"), f"WITH {GRID_SQL}, {_kernel_sql(_FILTERS)}, b AS (SELECT vec_id, y, x, max(v) AS v FROM r GROUP BY 1, 2, 3) SELECT vec_id, round(avg(v), 6) AS mean, round(max(v), 6) AS top FROM b GROUP BY vec_id")
-_add("spectral_slope", lambda s, d: rounded(X.spectral_slope(grid(s, d), "vec_id", 8), "slope", digits=4))
+_add("spectral_slope", lambda s, d: rounded(X.spectral_slope(grid(s, d), "vec_id", 8), "slope", digits=4),
+     f"""WITH {GRID_SQL}, m AS (SELECT vec_id, y, x, (v - avg(v) OVER (PARTITION BY vec_id)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * y / 7)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * x / 7)) AS f FROM g),
+w AS (SELECT vec_id, a, b, pow(sum(f * cos((a * y + b * x) * 2 * pi() / 8)), 2) + pow(sum(f * sin((a * y + b * x) * 2 * pi() / 8)), 2) AS p FROM m, range(-4, 4) t(a), range(-4, 4) u(b) GROUP BY vec_id, a, b),
+r AS (SELECT vec_id, floor(sqrt(CAST(a * a + b * b AS DOUBLE))) AS r, avg(p) AS p FROM w GROUP BY 1, 2) SELECT vec_id, round(coalesce(regr_slope(ln(p), ln(r)), 0.0), 4) AS slope FROM r WHERE r >= 1 AND p > 0 GROUP BY vec_id""")
 _add("calibre_shares", lambda s, d: rounded(grid(s, d).groupBy("vec_id").agg(*((100.0 * F.avg((F.floor(F.abs("v") * 10) == k).cast("double"))).alias(f"pct{k}") for k in range(4))), *(f"pct{k}" for k in range(4))), f"WITH {GRID_SQL} SELECT vec_id, " + ", ".join(f"round(100.0 * avg(CASE WHEN floor(abs(v) * 10) = {k} THEN 1.0 ELSE 0.0 END), 6) AS pct{k}" for k in range(4)) + " FROM g GROUP BY vec_id")
 _QUAD = "CAST(least(floor((CASE WHEN a < 0 THEN a + 2 * pi() ELSE a END) / (pi() / 2)), 3) AS INTEGER)"
 _add("quadrant_counts", lambda s, d: X.above_percentile(grid(s, d), "vec_id", 0.8).filter("hit").select("vec_id", X.quadrant(F.col("x"), F.col("y"), F.lit(0.3), 3.4, 3.6).alias("q")).groupBy("vec_id").agg(*(F.sum((F.col("q") == k).cast("long")).alias(f"q{k + 1}") for k in range(4))),
@@ -109,6 +112,7 @@ def _kept(s, d):
     return px.select("vec_id", lesion.alias("lesion"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), (F.col("y") + 1.0).alias("area"))
 
 
+_SIGNS = ["haem_q_min", "haem_q_max", "rule421_haem", "rule421_beading", "rule421_irma", "severe_npdr_flag"]
 _LESION_COLUMNS = ["haem_count", "ma_count", "hard_exudate_count", "cws_count", "haem_q1", "haem_q4", "haem_q_min", "haem_q_max", "rule421_haem", "severe_npdr_flag", "dme_flag"]
 _add("lesion_rows", lambda s, d: rounded(longs(L.image_rows(_images(s, d), _kept(s, d), "vec_id", 64.0).select("vec_id", *_LESION_COLUMNS, "hard_exudate_area_pct", "exudate_fovea_min_dist_dd"), *_LESION_COLUMNS), "hard_exudate_area_pct", "exudate_fovea_min_dist_dd"),
      f"""WITH {GRID_SQL}, p AS (SELECT vec_id, quantile_cont(v, 0.7) AS t FROM g GROUP BY 1), k AS (SELECT g.vec_id, y, x, (y + x) % 4 AS le, atan2(y - 3.0::DOUBLE, x - 3.0::DOUBLE) - atan2(1.0::DOUBLE, 2.0::DOUBLE) AS a FROM g JOIN p USING (vec_id) WHERE v > t),
@@ -116,6 +120,9 @@ q AS (SELECT *, {_QUAD} AS q FROM k), c AS (SELECT vec_id, count(*) FILTER (le =
 count(*) FILTER (le = 1 AND q = 0) AS q1, count(*) FILTER (le = 1 AND q = 1) AS q2, count(*) FILTER (le = 1 AND q = 2) AS q3, count(*) FILTER (le = 1 AND q = 3) AS q4, sum(y + 1.0) FILTER (le = 2) AS ar, min(sqrt((x - 5) * (x - 5) + (y - 4) * (y - 4))) FILTER (le = 2) / 124.0::DOUBLE AS dd FROM q GROUP BY vec_id)
 SELECT c.vec_id, haem_count, ma_count, hard_exudate_count, cws_count, q1 AS haem_q1, q4 AS haem_q4, least(q1, q2, q3, q4) AS haem_q_min, greatest(q1, q2, q3, q4) AS haem_q_max, CAST(CASE WHEN least(q1, q2, q3, q4) > 3 THEN 1 ELSE 0 END AS BIGINT) AS rule421_haem,
 CAST(CASE WHEN least(q1, q2, q3, q4) > 3 OR label % 3 >= 2 OR label % 2 >= 1 THEN 1 ELSE 0 END AS BIGINT) AS severe_npdr_flag, CAST(CASE WHEN hard_exudate_count > 0 THEN 1 ELSE 0 END AS BIGINT) AS dme_flag, round(100.0::DOUBLE * coalesce(ar, 0) / 64, 6) AS hard_exudate_area_pct, round(coalesce(dd, 2 * 436 * sqrt(2.0::DOUBLE) / 124), 6) AS exudate_fovea_min_dist_dd FROM c JOIN embeddings USING (vec_id)""")
+_QUADRANT_COUNTS = "SELECT vec_id, haem_q_min, haem_q_max, rule421_haem, CAST(CASE WHEN label % 3 >= 2 THEN 1 ELSE 0 END AS BIGINT) AS rule421_beading, CAST(CASE WHEN label % 2 >= 1 THEN 1 ELSE 0 END AS BIGINT) AS rule421_irma, severe_npdr_flag"
+_add("rule_421", lambda s, d: longs(L.image_rows(_images(s, d), _kept(s, d), "vec_id", 64.0).select("vec_id", *_SIGNS), *_SIGNS), f"{_QUADRANT_COUNTS} FROM ({ORACLES['lesion_rows']}) JOIN embeddings USING (vec_id)")
+_add("dme_flag", lambda s, d: rounded(longs(L.image_rows(_images(s, d), _kept(s, d), "vec_id", 64.0).select("vec_id", "hard_exudate_count", "exudate_fovea_min_dist_dd", "dme_flag"), "hard_exudate_count", "dme_flag"), "exudate_fovea_min_dist_dd"), f"SELECT vec_id, hard_exudate_count, exudate_fovea_min_dist_dd, dme_flag FROM ({ORACLES['lesion_rows']})")
 _add("minmax_placeholder", lambda s, d: rounded(L.placeholder_score(table(s, d, "lineitem"), ["l_orderkey"], ["l_quantity", "l_extendedprice", "l_discount"]).select("l_orderkey", "l_linenumber", "l_partkey", "score"), "score"),
      "SELECT l_orderkey, l_linenumber, l_partkey, round(((l_quantity - min(l_quantity) OVER w) / greatest(max(l_quantity) OVER w - min(l_quantity) OVER w, 1e-6) + (l_extendedprice - min(l_extendedprice) OVER w) / greatest(max(l_extendedprice) OVER w - min(l_extendedprice) OVER w, 1e-6) + (l_discount - min(l_discount) OVER w) / greatest(max(l_discount) OVER w - min(l_discount) OVER w, 1e-6)) / 3, 6) AS score FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
 _add("select_threshold", lambda s, d: L.select_threshold(table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_quantity") / 100.0).alias("score")), table(s, d, "orders").filter("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("k")), "k", "score"),

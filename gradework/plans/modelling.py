@@ -38,8 +38,7 @@ def _platt(s, d):
 
 def _isotonic(s, d):
     rows = _labelled(s, d)
-    model = M.isotonic(rows.withColumn("quality", F.col("quality").cast("double")), "length", "quality")
-    return rounded(model.transform(rows).select("doc_id", F.col("prediction").alias("probability")), "probability")
+    return rounded(M.isotonic_apply(M.isotonic(rows, "length", "quality"), rows, "length").select("doc_id", "probability"), "probability")
 
 
 def _forest(s, d):

@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters as P
+from ..operators import gates as G
+from ..operators import kernels as N
 from ..operators import spots as S
+from ..operators import summaries as U
 from ..operators import vessels as V
 from ..operators import view as W
-from .inputs import GRID_SQL, rounded, table
+from .inputs import GRID_SQL, grid, rounded, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -114,3 +117,16 @@ def discs(s, d):
 
 
 QUERIES["view_detection"] = lambda s, d: rounded(W.view_rows(discs(s, d), "vec_id", SIZE), *(m for m in W.MEASURES if m != "mask_px"))
+
+
+QUERIES["tree_lengths"] = lambda s, d: rounded(V.tree_rows(table(s, d, "embeddings"), "vec_id", 8, "embedding", 0.05).groupBy("vec_id").agg(F.count("*").alias("trees"), F.sum("area").alias("area"), F.sum("length").alias("length")), "length")
+ORACLES["tree_lengths"] = f"""WITH RECURSIVE {GRID_SQL}, k AS (SELECT vec_id, y, x FROM g WHERE v > 0.05::DOUBLE), c AS (SELECT vec_id, y, x, y * 8 + x AS r FROM k UNION SELECT k.vec_id, k.y, k.x, c.r FROM c JOIN k ON k.vec_id = c.vec_id AND abs(k.y - c.y) + abs(k.x - c.x) = 1), m AS (SELECT vec_id, y, x, min(r) AS r FROM c GROUP BY 1, 2, 3),
+e AS (SELECT k.vec_id, k.y, k.x, min(sqrt((k.y - b.y) * (k.y - b.y) + (k.x - b.x) * (k.x - b.x))) AS dd FROM k JOIN g b ON b.vec_id = k.vec_id AND b.v <= 0.05::DOUBLE GROUP BY 1, 2, 3), z AS (SELECT vec_id, r, count(*) AS area, avg(dd) AS w FROM m JOIN e USING (vec_id, y, x) GROUP BY 1, 2) SELECT vec_id, count(*) AS trees, CAST(sum(area) AS BIGINT) AS area, round(sum(area / (4 * w)), 6) AS length FROM z GROUP BY vec_id"""
+_BANDS = {1: "major_vessel_pct", 2: "branch1_vessel_pct", 3: "minor_vessel_pct", 0: "venous_beading_pct"}
+QUERIES["calibre_pct"] = lambda s, d: rounded(U.band_percentages(grid(s, d), "vec_id", G.calibre_band(F.abs("v") * 50), _BANDS, F.hypot(F.col("x") - 3.5, F.col("y") - 3.5) <= 4), *_BANDS.values())
+_BAND_SQL = "CASE WHEN abs(v) * 50 >= 10.07 THEN 0 WHEN abs(v) * 50 >= 7 THEN 1 WHEN abs(v) * 50 >= 4 THEN 2 WHEN abs(v) * 50 >= 2.685 THEN 3 ELSE -1 END"
+ORACLES["calibre_pct"] = f"WITH {GRID_SQL} SELECT vec_id, " + ", ".join(f"round(100.0::DOUBLE * avg(CASE WHEN {_BAND_SQL} = {k} THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS {name}" for k, name in _BANDS.items()) + " FROM g WHERE (x - 3.5::DOUBLE) * (x - 3.5::DOUBLE) + (y - 3.5::DOUBLE) * (y - 3.5::DOUBLE) <= 16 GROUP BY vec_id"
+QUERIES["largest_component"] = lambda s, d: U.largest_component(N.components(grid(s, d).withColumn("hit", F.col("v") > 0.08), "vec_id", "hit").withColumn("component", (F.shiftright("component", 20) * 8 + F.col("component") % 1048576).cast("long")), "vec_id")
+ORACLES["largest_component"] = f"WITH RECURSIVE {GRID_SQL}, k AS (SELECT vec_id, y, x FROM g WHERE v > 0.08::DOUBLE), c AS (SELECT vec_id, y, x, y * 8 + x AS r FROM k UNION SELECT k.vec_id, k.y, k.x, c.r FROM c JOIN k ON k.vec_id = c.vec_id AND abs(k.y - c.y) + abs(k.x - c.x) = 1), m AS (SELECT vec_id, y, x, min(r) AS r FROM c GROUP BY 1, 2, 3), z AS (SELECT vec_id, r, count(*) AS n, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, r) AS nth FROM m GROUP BY 1, 2) SELECT vec_id, CAST(r AS BIGINT) AS component, n AS pixels FROM z WHERE nth = 1"
+QUERIES["black_rows"] = lambda s, d: rounded(W.black_rows(table(s, d, "embeddings").select("vec_id", F.expr("transform(embedding, v -> 60 + 600 * v)").alias("brightest")), "vec_id", 8), "in_band_share").withColumn("rows_seen", F.col("rows_seen").cast("long"))
+ORACLES["black_rows"] = f"WITH {GRID_SQL}, b AS (SELECT vec_id, y, 100.0::DOUBLE * avg(CASE WHEN 60 + 600 * v <= 10 THEN 1.0::DOUBLE ELSE 0.0 END) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY md5(vec_id || '|' || y || '|0')) AS nth FROM g GROUP BY vec_id, y) SELECT vec_id, CAST(1 AS BIGINT) AS rows_seen, CASE WHEN p BETWEEN 15 AND 25 THEN 1.0::DOUBLE ELSE 0.0 END AS in_band_share, p BETWEEN 15 AND 25 AS passed FROM b WHERE nth = 1"
