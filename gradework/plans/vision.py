@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import filters as P
 from ..operators import gates as G
 from ..operators import kernels as N
+from ..operators import landmarks as M
+from ..operators import lesion as L
 from ..operators import spots as S
 from ..operators import summaries as U
 from ..operators import vessels as V
@@ -130,3 +132,18 @@ QUERIES["largest_component"] = lambda s, d: U.largest_component(N.components(gri
 ORACLES["largest_component"] = f"WITH RECURSIVE {GRID_SQL}, k AS (SELECT vec_id, y, x FROM g WHERE v > 0.08::DOUBLE), c AS (SELECT vec_id, y, x, y * 8 + x AS r FROM k UNION SELECT k.vec_id, k.y, k.x, c.r FROM c JOIN k ON k.vec_id = c.vec_id AND abs(k.y - c.y) + abs(k.x - c.x) = 1), m AS (SELECT vec_id, y, x, min(r) AS r FROM c GROUP BY 1, 2, 3), z AS (SELECT vec_id, r, count(*) AS n, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, r) AS nth FROM m GROUP BY 1, 2) SELECT vec_id, CAST(r AS BIGINT) AS component, n AS pixels FROM z WHERE nth = 1"
 QUERIES["black_rows"] = lambda s, d: rounded(W.black_rows(table(s, d, "embeddings").select("vec_id", F.expr("transform(embedding, v -> 60 + 600 * v)").alias("brightest")), "vec_id", 8), "in_band_share").withColumn("rows_seen", F.col("rows_seen").cast("long"))
 ORACLES["black_rows"] = f"WITH {GRID_SQL}, b AS (SELECT vec_id, y, 100.0::DOUBLE * avg(CASE WHEN 60 + 600 * v <= 10 THEN 1.0::DOUBLE ELSE 0.0 END) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY md5(vec_id || '|' || y || '|0')) AS nth FROM g GROUP BY vec_id, y) SELECT vec_id, CAST(1 AS BIGINT) AS rows_seen, CASE WHEN p BETWEEN 15 AND 25 THEN 1.0::DOUBLE ELSE 0.0 END AS in_band_share, p BETWEEN 15 AND 25 AS passed FROM b WHERE nth = 1"
+
+
+def _stage2(s, d):
+    """Rows of the second stage; candidates are kept by their area within the image and lesion, as no classifier is fitted here."""
+    eyes_ = eyes(s, d)
+    features = M.image_features(eyes_.select("vec_id", "red", "green", "blue"), "vec_id", SIZE, SMALL)
+    found = S.candidate_rows(eyes_.select("vec_id", "red", "green", "blue").join(features.select("vec_id", "od_x", "od_y", "od_radius", "fovea_x", "fovea_y"), "vec_id"), "vec_id", SIZE, SMALL)
+    kept = L.placeholder_score(found, ["vec_id", "lesion"], ["area"]).filter(F.col("score") >= L.FALLBACK_THRESHOLD)
+    area = float(V.round_view(SIZE, SMALL.measured).sum())
+    out = M.stage2_rows(features, kept, "vec_id", area)
+    return rounded(out, *(c for c, kind in out.dtypes if kind == "double"))
+
+
+QUERIES["image_features"] = lambda s, d: rounded(M.image_features(eyes(s, d).select("vec_id", "red", "green", "blue"), "vec_id", SIZE, SMALL), *_SHARES, "od_contrast", "fovea_x", "fovea_y", "fovea_darkness", "od_fovea_dist_dd")
+QUERIES["stage2_rows"] = _stage2

@@ -7,6 +7,7 @@ import pytest
 
 from gradework.operators import filters as P
 from gradework.operators import images as I
+from gradework.operators import landmarks as M
 from gradework.operators import spots as S
 from gradework.operators import vessels as V
 from gradework.operators import view as W
@@ -370,3 +371,63 @@ def test_rows_of_queries(spark, sf_dir):
     spots = S.candidate_rows(few, "vec_id", vision.SIZE, vision.SMALL).collect()
     assert {r["vec_id"] for r in spots} == set(eyes) and all(0 <= r["cx"] < 64 and r["area"] >= 3 for r in spots)
     assert V.vessel_rows(few.withColumn("od_x", few["od_x"] * None), "vec_id", vision.SIZE, vision.SMALL).count() == 0
+
+
+# ---- landmarks
+
+
+def eye(size=200, disc_at=(55, 100), fovea_at=(125, 104), r=12):
+    """A reddish round view with a bright disc and a dark fovea."""
+    y, x = np.mgrid[0:size, 0:size]
+    base = 100 + 8 * np.exp(-((x - size / 2) ** 2 + (y - size / 2) ** 2) / 9000)
+    bright = np.hypot(x - disc_at[0], y - disc_at[1]) <= r
+    dark = 35 * np.exp(-((x - fovea_at[0]) ** 2 + (y - fovea_at[1]) ** 2) / 120)
+    return tuple(np.where(bright, level, base * share - dark) for level, share in ((240, 1.2), (220, 1.0), (180, 0.7)))
+
+
+def test_disc_and_fovea_are_found():
+    red, green, blue = eye()
+    retina = V.round_view(200, 0.95)
+    disc = M.find_disc(red, green, blue, np.zeros((200, 200), dtype=bool), retina)
+    assert math.hypot(disc.x - 55, disc.y - 100) <= 8 and disc.contrast > 50
+    fovea = M.find_fovea(M.brightness(red, green, blue), M.Disc(55.0, 100.0, 12.0, 90.0, True), retina)
+    assert math.hypot(fovea.x - 125, fovea.y - 104) < 6 and fovea.brighter_outward
+
+
+def test_vessels_do_not_darken_the_disc():
+    red, green, blue = eye(r=12)
+    vessels = np.zeros((200, 200), dtype=bool)
+    vessels[:, 52:58] = True
+    for c in (red, green, blue):
+        c[vessels] = 10
+    retina = V.round_view(200, 0.95)
+    apart = M.find_disc(red, green, blue, vessels, retina)
+    assert math.hypot(apart.x - 55, apart.y - 100) <= 12  # any place of an even disc is as bright as its middle
+
+
+def test_round_means_against_loops():
+    image, valid = RNG.random((11, 12)), RNG.random((11, 12)) > 0.3
+    support = P.ellipse(5)
+    edge = lambda k, n: min(max(k, 0), n - 1)
+    want = looped(np.where(valid, image, 0), support, edge) / np.maximum(looped(valid.astype(float), support, edge), 1e-6)
+    assert np.allclose(M.round_means(image, valid, 2.2), want, atol=1e-7)
+
+
+def test_a_fan_outside_the_view_gives_the_expected_place():
+    image = np.full((60, 60), 100.0)
+    fovea = M.find_fovea(image, M.Disc(30.0, 30.0, 40.0, 9.0, False), np.zeros((60, 60), dtype=bool))
+    assert (fovea.x, fovea.y, fovea.brighter_outward) == (30.0 + 2.4 * 80, 30.0, False) and math.isnan(fovea.darkness)
+
+
+def test_rows_of_the_second_stage(spark):
+    red, green, blue = (c.ravel().tolist() for c in eye(64, (18, 32), (42, 33), 4))
+    df = spark.createDataFrame([(1, red, green, blue), (2, None, green, blue)], "k int, red array<double>, green array<double>, blue array<double>")
+    features = M.image_features(df, "k", 64, TINY)
+    row = features.collect()
+    assert len(row) == 1 and math.hypot(row[0]["od_x"] - 18, row[0]["od_y"] - 32) <= 4 + row[0]["od_radius"] and row[0]["od_radius_pct"] == pytest.approx(100 * row[0]["od_radius"] / 32)
+    kept = spark.createDataFrame([(1, "haem", 30.0, 30.0, 9.0), (1, "hard_exudate", row[0]["fovea_x"], row[0]["fovea_y"], 4.0)], "k int, lesion string, cx double, cy double, area double")
+    out = M.stage2_rows(features, kept, "k", 2000.0)
+    assert out.columns == ["k", *M.STAGE2_COLUMNS] and len(M.STAGE2_COLUMNS) == 45
+    got = out.first()
+    assert (got["haem_count"], got["hard_exudate_count"], got["dme_flag"], got["ma_count"], got["exudate_fovea_min_dist_dd"]) == (1, 1, 1, 0, 0.0)
+    assert M.stage2_rows(features, kept.limit(0), "k", 2000.0).first()["haem_count"] == 0
