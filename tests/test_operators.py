@@ -139,7 +139,7 @@ def test_platt_recovers_its_parameters(spark):
 
 def test_cuts_separate_grades(spark):
     rows = spark.range(500).selectExpr("cast(id % 5 as int) as g", "cast(id % 5 + (id * 17 % 10) / 20.0 as double) as s")
-    cuts = grading.fit_cuts(rows, "s", "g")
+    cuts = grading.fit_cutpoints(rows, "s", "g")
     graded = rows.withColumn("p", gates.cut_grade(F.col("s"), F.array(*map(F.lit, cuts))))
     assert len(cuts) == 4 and graded.filter("p <> g").count() == 0
 
