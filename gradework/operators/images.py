@@ -18,11 +18,7 @@ def per_image(df: DataFrame, arrays: list[str], scalars: list[str], width: int,
     ``arrays`` are row-major images of ``width`` columns, given to the kernel as two-dimensional arrays of
     doubles, then the scalars' values.  Rows with a null or empty image, or one that has null pixels, make no rows.
     """
-    usable = None
-    for name in arrays:
-        own = (F.size(name) > 0) & ~F.exists(F.col(name), lambda v: v.isNull())
-        usable = own if usable is None else usable & own
-    given = df.filter(usable).select(*scalars, *(F.col(a).cast("array<double>").alias(a) for a in arrays))
+    given = df.select(*scalars, *(F.col(a).cast("array<double>").alias(a) for a in arrays))
     extra = StructType.fromDDL(made)
     schema = StructType([given.schema[s] for s in scalars] + extra.fields)
     arrow = to_arrow_schema(schema)
@@ -32,8 +28,12 @@ def per_image(df: DataFrame, arrays: list[str], scalars: list[str], width: int,
             out = []
             columns = {name: batch.column(batch.schema.get_field_index(name)) for name in (*scalars, *arrays)}
             for i in range(batch.num_rows):
+                # Told here, as a filter would draw or read an image once more for each condition.
+                pixels = [columns[a][i].values for a in arrays]
+                if any(v is None or not len(v) or v.null_count for v in pixels):
+                    continue
                 values = [columns[s][i].as_py() for s in scalars]
-                pictures = [columns[a][i].values.to_numpy(zero_copy_only=False).reshape(-1, width) for a in arrays]
+                pictures = [v.to_numpy(zero_copy_only=False).reshape(-1, width) for v in pixels]
                 out += [(*values, *row) for row in kernel(*pictures, *values)]
             parts = list(zip(*out)) if out else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array([v.item() if isinstance(v, np.generic) else v for v in part], field.type) for part, field in zip(parts, arrow)], schema=arrow)
