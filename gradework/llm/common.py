@@ -160,11 +160,21 @@ def word_hashes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(counts)
 
 
+def prefix_sums(items: np.ndarray) -> np.ndarray:
+    """Sums before each place of ``items`` times powers of a base, of which ``stretch_hashes`` reads any stretch."""
+    sums = np.zeros(len(items) + 1, dtype=np.uint64)
+    np.cumsum(items * _powers(_BASE, len(items))[: len(items)], out=sums[1:])
+    return sums
+
+
+def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each stretch of items, by value and place within the stretch."""
+    return (sums[ends] - sums[starts]) * _powers(_INVERSE, len(sums))[starts]
+
+
 def polynomials(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One hash for each stretch of ``hashes`` between neighbouring offsets, by value and place of its items."""
-    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * _powers(_BASE, len(hashes))[: len(hashes)], out=sums[1:])
-    return (sums[offsets[1:]] - sums[offsets[:-1]]) * _powers(_INVERSE, len(hashes) + 1)[offsets[:-1]]
+    return stretch_hashes(prefix_sums(hashes), offsets[:-1], offsets[1:])
 
 
 def chain(hashes: np.ndarray, n: int) -> np.ndarray:

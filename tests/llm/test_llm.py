@@ -271,7 +271,7 @@ def test_class_parts_are_majorities_of_a_class():
         assert got[key][1] == sum(1 << b for b in bits if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_lines_are_normalised_and_coded_alike_in_slices(monkeypatch):
+def test_lines_are_normalised_and_sketched_alike_in_slices(monkeypatch):
     import pyarrow as pa
 
     texts = ["A  b\tÉ c\n\n x ", "a b é c\nlonger line of words", "", "😀 日本\nx"] * 3
@@ -283,9 +283,9 @@ def test_lines_are_normalised_and_coded_alike_in_slices(monkeypatch):
             assert r["line"] == " ".join(texts[r["doc_id"]].split("\n")[r["at"]].lower().split())
             first.setdefault(r["node"], (r["doc_id"], r["at"], r["line"]))
         assert sorted(first.values()) == [(0, 0, "a b é c"), (0, 2, "x"), (1, 1, "longer line of words"), (3, 0, "😀 日本")]
-    nodes = pa.record_batch({"node": pa.array([1, 2]), "line": pa.array(["a bb é", "bb"])})
-    one, two = (r for part in line_dedup._coded([nodes]) for r in part.to_pylist())
-    assert len(one["code"]) == 3 and one["code"][1] == two["code"] and (one["longest"], two["longest"]) == (2, 2)
+    nodes = pa.record_batch({"node": pa.array([1, 2]), "line": pa.array(["a bb é", "x" * 80])})
+    one, two = (r for part in line_dedup._traits([nodes]) for r in part.to_pylist())
+    assert (one["line"], one["chars"], two["chars"]) == ("a bb é", 6, 80)
 
 
 def test_blocks_are_pigeonholes():
@@ -348,9 +348,20 @@ def edits(one, other):
     return last[-1]
 
 
-def test_bounds_before_edits_change_no_verdict(spark):
+def test_edits_of_long_texts_are_exact(monkeypatch):
+    rng = np.random.default_rng(2)
+    for strip in (5, 64, 1 << 16):
+        monkeypatch.setattr(line_dedup, "STRIP", strip)
+        for _ in range(150):
+            one, other = ("".join(rng.choice(list("abé日"), rng.integers(0, 90))) for _ in range(2))
+            assert line_dedup.edits(one, other) == edits(one, other)
+
+
+@pytest.mark.parametrize("rest", [0, 40, 1000])
+def test_edit_similarity_decides_every_pair(spark, monkeypatch, rest):
     import pyarrow as pa
 
+    monkeypatch.setattr(line_dedup, "LONG_REST", rest)
     rng = np.random.default_rng(8)
     vocabulary = ["".join(rng.choice(list("aéb日😀cd"), rng.integers(1, 7))) for _ in range(60)] + ["x" * 50]
     pairs = []
@@ -363,27 +374,62 @@ def test_bounds_before_edits_change_no_verdict(spark):
             other[i : i + 1] = [[], [other[i], vocabulary[i]], [vocabulary[k % 60]], [other[i][:-1] + "é"]][what]
             other = other or ["a"]
         pairs.append((" ".join(line), " ".join(other)))
-    coded = []
-    for side in (0, 1):
-        batch = pa.record_batch({"node": pa.array(range(len(pairs))), "line": pa.array([p[side] for p in pairs])})
-        coded.append([r for part in line_dedup._coded([batch]) for r in part.to_pylist()])
-    rows = [(i, i, a["line"], a["code"], a["longest"], b["line"], b["code"], b["longest"]) for i, (a, b) in enumerate(zip(*coded))]
-    df = spark.createDataFrame(rows, "a long, b long, line_a string, code_a string, longest_a int, line_b string, code_b string, longest_b int")
-    got = {r["a"] for r in line_dedup.alike(df).collect()}
-    traits = spark.createDataFrame([{f"{c}_{x}": r[c] for x, r in (("a", a), ("b", b)) for c in ("chars", "words", *line_dedup.SKETCH)} | {"a": i} for i, (a, b) in enumerate(zip(*coded))])
-    can = {r["a"] for r in traits.filter(line_dedup.feasible(lambda n: F.col(f"{n}_a"), lambda n: F.col(f"{n}_b"))).collect()}
-    assert got <= can and len(can) < len(pairs)
-    want = set()
-    for i, (a, b) in enumerate(pairs):
-        longer, words = max(len(a), len(b)), max(len(a.split()), len(b.split()))
-        by_chars = edits(a, b) <= math.floor(longer * 0.2 + 1e-9)
-        changed = edits(a.split(), b.split())
-        even = max(map(len, a.split() + b.split())) <= line_dedup.LONG_WORD
-        sized = abs(len(a) - len(b)) <= math.floor(longer * 0.2 + 1e-9)
-        near = by_chars if longer <= line_dedup.FEW_CHARS else changed <= math.floor(words * 0.3) and (by_chars or changed <= words * 0.15 and even)
-        if sized and near:
-            want.add(i)
+    batch = pa.record_batch({"a": pa.array(range(400)), "b": pa.array(range(400)), "line_a": pa.array([a for a, _ in pairs]), "line_b": pa.array([b for _, b in pairs])})
+    trimmed = [r for part in line_dedup._trimmed([batch]) for r in part.to_pylist()]
+    got = {r["a"] for r in trimmed if r["sure"] or edits(r["line_a"], r["line_b"]) <= r["most"]}
+    want = {i for i, (a, b) in enumerate(pairs) if edits(a, b) <= math.floor(max(len(a), len(b)) * 0.2 + 1e-9)}
     assert got == want and 50 < len(want) < 350
+    if rest == 1000:
+        df = spark.createDataFrame([(i, i, a, b) for i, (a, b) in enumerate(pairs)], "a long, b long, line_a string, line_b string")
+        assert {r["a"] for r in line_dedup.alike(df).collect()} == want
+        sides = [[r for part in line_dedup._traits([pa.record_batch({"node": pa.array(range(400)), "line": pa.array([p[s] for p in pairs])})]) for r in part.to_pylist()] for s in (0, 1)]
+        traits = spark.createDataFrame([{f"{c}_{x}": r[c] for x, r in (("a", a), ("b", b)) for c in ("chars", *line_dedup.SKETCH)} | {"i": i} for i, (a, b) in enumerate(zip(*sides))])
+        can = {r["i"] for r in traits.filter(line_dedup.feasible(lambda n: F.col(f"{n}_a"), lambda n: F.col(f"{n}_b"))).collect()}
+        few = {i for i in want if max(map(len, pairs[i])) <= line_dedup.FEW_CHARS}
+        assert few <= can and len(want & can) >= 0.98 * len(want) and len(can) < len(pairs)
+
+
+def test_equal_bytes_are_counted(spark):
+    rng = np.random.default_rng(6)
+    one, other = (rng.integers(0, 3, (200, 8)).astype(np.uint8) * np.uint8(127) for _ in range(2))
+    rows = [(int(a), int(b), int(n)) for a, b, n in zip(one.view(np.int64)[:, 0], other.view(np.int64)[:, 0], (one == other).sum(axis=1))]
+    df = spark.createDataFrame(rows, "a long, b long, n int")
+    assert df.filter(line_dedup._equal_bytes(F.col("a"), F.col("b")) != F.col("n")).count() == 0
+
+
+def test_lines_that_differ_in_a_long_word_stay_and_scattered_letters_do_not(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    long_a, long_b = f"{base} {'q' * 19}{'z' * 19}", f"{base} {'k' * 38}"
+    assert edits(long_a, long_b) > 0.2 * len(long_a)
+    twelve = "morning garden window silver yellow button marble lantern copper saddle pepper violin"
+    six = "mxrning gardxn window silvxr yellow buxton marble lantxrn copper saddle pxpper violin"
+    words_off = f"{' '.join(f'alpha{k}' for k in range(40))} {'r' * 800}", f"{' '.join(f'alpha{k}' for k in range(40))} {'s' * 800}"
+    stay = {r["doc_id"] for r in line_dedup.dedup_lines(frame(spark, list(enumerate([long_a, long_b, twelve, six, *words_off])))).collect()}
+    assert stay == {0, 1, 2, 4, 5}
+
+
+def test_letter_noise_is_found_and_unlike_lines_stay(spark, sf_dir):
+    rng = np.random.default_rng(9)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").orderBy("doc_id").collect()]
+    real = sorted({" ".join(x.lower().split()) for t in texts for x in t.split("\n")})
+    real = [x for x in real if 8 <= len(x.split()) <= 60 and len(x) < 400]
+    lines, pairs = [], {}
+    for share in (0.02, 0.05, 0.1, 0.15):
+        for i in rng.choice(len(real), 60, replace=False):
+            line = real[i]
+            hit = rng.random(len(line)) < share
+            other = "".join(chr(97 + rng.integers(26)) if h and c.isalpha() else c for h, c in zip(hit, line))
+            if other != line and edits(line, other) <= 0.2 * len(line):
+                pairs.setdefault(share, []).append(len(lines) + 1)
+            lines += [line, other]
+    docs = frame(spark, list(enumerate(lines)))
+    one, two = docs.select("doc_id", "text"), docs.selectExpr("doc_id as other", "text as o")
+    brute = one.join(two, F.expr("other < doc_id and abs(length(text) - length(o)) <= 0.2 * greatest(length(text), length(o))")).repartition(16)
+    near = {r["doc_id"] for r in brute.filter("levenshtein(text, o, int(floor(greatest(length(text), length(o)) * 0.2 + 1e-9))) >= 0").select("doc_id").collect()}
+    gone = set(range(len(lines))) - {r["doc_id"] for r in line_dedup.dedup_lines(docs).select("doc_id").collect()}
+    assert gone <= near and len(gone) >= 0.9 * len(near)
+    for share, due in pairs.items():
+        assert len(gone & set(due)) >= (0.95 if share < 0.1 else 0.8) * len(due) > 40, share
 
 
 def test_near_lines_of_all_lengths_are_found(spark):
