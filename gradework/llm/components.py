@@ -100,15 +100,15 @@ def starred_components(members: DataFrame, prepare: Callable[[DataFrame], tuple[
     sorted or held; all later steps aggregate by group and join.
     """
     dealt = members.select("group", "node").repartition("group")
-    ends = dealt.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
+    ends = dealt.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter("low < high").drop("high")
     shared = stage(dealt.join(ends.hint("shuffle_hash"), "group"), "shared")
     verify, traits = prepare(shared.select("node").distinct())
     lows = traits.withColumnsRenamed({x: f"low_{x}" for x in traits.columns})
     pairs = shared.filter("low < node").select(F.col("low").alias("low_node"), "node").distinct().join(traits, "node").join(lows, "low_node")
     pairs = pairs.filter(feasible(F.col, lambda name: F.col(f"low_{name}"))).select(F.col("low_node").alias("a"), F.col("node").alias("b"))
     labels = connected_components(verify(stage(pairs, "pairs")).select("a", "b"))
-    # Nothing of the least member is open any more: it has been compared with all others.
-    left = shared.filter("low <> node").select("group", "node").distinct()
+    # Nothing of the least member is open any more: it has been compared with all others, and so nothing is in groups of two.
+    left = shared.filter("low <> node and size > 2").select("group", "node").distinct()
     for turn in range(HUB_ROUNDS + 1):
         known = left.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         hub = F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), F.col("node").alias("hub"), F.col("c").alias("hub_c")))
