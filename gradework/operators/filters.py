@@ -96,6 +96,18 @@ def ellipse(size: int) -> np.ndarray:
     return np.abs(np.arange(size)[None] - r) <= reach[:, None]
 
 
+def grown(mask: np.ndarray, radius: int) -> np.ndarray:
+    """``mask`` grown by the disc of a radius: ``extreme`` under ``ellipse``, by runs of the disc's rows."""
+    h, w = mask.shape
+    total = np.pad(mask.cumsum(1), ((radius, radius), (1 + radius, radius)), mode="constant")
+    total[:, 1 + radius + w :] = total[:, [radius + w]]
+    out = np.zeros((h, w), dtype=bool)
+    for dy, reach in enumerate((ellipse(2 * radius + 1).sum(1) // 2).tolist()):
+        rows = total[dy : dy + h]
+        out |= rows[:, radius + reach + 1 : radius + reach + 1 + w] > rows[:, radius - reach : radius - reach + w]
+    return out
+
+
 def rotated_line(length: int, degrees: float) -> np.ndarray:
     """A line of ones through the middle of a square, turned counter-clockwise; bilinear at 32nds of a pixel, as image libraries do."""
     row = np.zeros((length + 2, length + 2))

@@ -99,21 +99,32 @@ def covered(size: tuple[int, int], x: float, y: float, radius: int) -> np.ndarra
     return (rows - round(y)) ** 2 + (columns - round(x)) ** 2 <= radius**2
 
 
-def candidates(
+def searches(
     red: np.ndarray, green: np.ndarray, blue: np.ndarray, shade: np.ndarray, vessels: np.ndarray, view: np.ndarray, disc: tuple[float, float, float], fovea: tuple[float, float]
-) -> list[tuple[str, float, float, int]]:
-    """(lesion, cx, cy, area) of all four kinds in an image of levels 0..255; ``shade`` is the evened green of 0..1."""
+) -> list[tuple[str, np.ndarray, int, tuple[float, float], np.ndarray]]:
+    """(lesion, pixels, how they join, areas allowed, the evened green of 0..255 to measure them on) of all four kinds.
+
+    The image has levels 0..255; ``shade`` is the evened green of 0..1.
+    """
     found = []
     for lesion in ("ma", "haem"):
         dark = small_dark(shade, vessels, view, CLOSING_LENGTH[lesion], SMALL_PERCENTILE[lesion])
-        found += [(lesion, *s) for s in spots(dark, 4, *AREAS[lesion])]
+        found.append((lesion, dark, 4, AREAS[lesion], shade * 255.0))
     free = view & ~covered(view.shape, disc[0], disc[1], max(round(disc[2] * DISC_COVER), 1)) & ~covered(view.shape, *fovea, max(round(2 * disc[2] * FOVEA_COVER), 1))
+    corrected = shade_corrected(green, free)
     free = without_vessels(free, vessels)
     for lesion in ("hard_exudate", "cws"):
-        found += [(lesion, *s) for s in spots(ratio_spots(red, green, blue, free, lesion), 8, LEAST_AREA)]
+        found.append((lesion, ratio_spots(red, green, blue, free, lesion), 8, (LEAST_AREA, math.inf), corrected))
     return found
 
 
+def candidates(
+    red: np.ndarray, green: np.ndarray, blue: np.ndarray, shade: np.ndarray, vessels: np.ndarray, view: np.ndarray, disc: tuple[float, float, float], fovea: tuple[float, float]
+) -> list[tuple[str, float, float, int]]:
+    """(lesion, cx, cy, area) of all four kinds in an image of levels 0..255; ``shade`` is the evened green of 0..1."""
+    return [(lesion, *s) for lesion, mask, joined, areas, _ in searches(red, green, blue, shade, vessels, view, disc, fovea) for s in spots(mask, joined, *areas)]
+
+
 def candidate_rows(images: DataFrame, key: str, size: int, scale: object = None) -> DataFrame:
     """(key, lesion, cand, cx, cy, area), one row a candidate, from (key, red, green, blue, od_x, od_y, od_radius, fovea_x, fovea_y).
 

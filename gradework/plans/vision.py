@@ -14,6 +14,7 @@ from ..operators import landmarks as M
 from ..operators import lesion as L
 from ..operators import spots as S
 from ..operators import summaries as U
+from ..operators import traits as T
 from ..operators import vessels as V
 from ..operators import view as W
 from .inputs import GRID_SQL, grid, rounded, table
@@ -60,6 +61,21 @@ def eyes(s, d):
 _SHARES = [c for c in V.VESSEL_COLUMNS if c not in V._WHOLE]
 QUERIES["vessel_map"] = lambda s, d: rounded(V.vessel_rows(eyes(s, d), "vec_id", SIZE, SMALL), *_SHARES)
 QUERIES["lesion_spots"] = lambda s, d: rounded(S.candidate_rows(eyes(s, d), "vec_id", SIZE, SMALL), "cx", "cy")
+QUERIES["candidate_features"] = lambda s, d: rounded(T.candidate_rows(eyes(s, d), "vec_id", SIZE, SMALL), "cx", "cy", *T.FEATURES)
+
+PART_ABOVE = 0.05
+QUERIES["part_shapes"] = lambda s, d: rounded(T.shape_rows(table(s, d, "embeddings"), "vec_id", 8, "embedding", PART_ABOVE).select("vec_id", "part", "area", "perimeter"), "perimeter")
+ORACLES["part_shapes"] = f"""WITH RECURSIVE {GRID_SQL}, m AS (SELECT vec_id, y, x FROM g WHERE v > {PART_ABOVE}::DOUBLE),
+c AS (SELECT vec_id, y, x, y * 8 + x AS r FROM m UNION SELECT m.vec_id, m.y, m.x, c.r FROM c JOIN m ON m.vec_id = c.vec_id AND abs(m.y - c.y) <= 1 AND abs(m.x - c.x) <= 1),
+k AS (SELECT vec_id, y, x, min(r) AS r FROM c GROUP BY ALL),
+f AS (SELECT p.vec_id, p.r, CAST(a.y AS INTEGER) AS y, CAST(b.x AS INTEGER) AS x, k.r IS NOT NULL AS own FROM (SELECT DISTINCT vec_id, r FROM k) p, range(-1, 9) a(y), range(-1, 9) b(x) LEFT JOIN k ON k.vec_id = p.vec_id AND k.r = p.r AND k.y = a.y AND k.x = b.x),
+o AS (SELECT vec_id, r, -1 AS y, -1 AS x FROM f WHERE y = -1 AND x = -1 UNION SELECT f.vec_id, f.r, f.y, f.x FROM o JOIN f ON f.vec_id = o.vec_id AND f.r = o.r AND abs(f.y - o.y) + abs(f.x - o.x) = 1 AND NOT f.own),
+w AS (SELECT f.vec_id, f.r, f.y, f.x, CASE WHEN o.r IS NULL THEN 1 ELSE 0 END AS i FROM f LEFT JOIN o ON o.vec_id = f.vec_id AND o.r = f.r AND o.y = f.y AND o.x = f.x),
+q AS (SELECT a.vec_id, a.r, a.i + b.i + c.i + d.i AS n, a.i = d.i AS across FROM w a JOIN w b ON b.vec_id = a.vec_id AND b.r = a.r AND b.y = a.y AND b.x = a.x + 1
+  JOIN w c ON c.vec_id = a.vec_id AND c.r = a.r AND c.y = a.y + 1 AND c.x = a.x JOIN w d ON d.vec_id = a.vec_id AND d.r = a.r AND d.y = a.y + 1 AND d.x = a.x + 1),
+b AS (SELECT vec_id, r, count(CASE WHEN n = 2 AND NOT across THEN 1 END) AS straight, count(CASE WHEN n = 3 THEN 1 END) + 2 * count(CASE WHEN n = 2 AND across THEN 1 END) AS slanted FROM q GROUP BY ALL),
+z AS (SELECT vec_id, r, count(*) AS area FROM k GROUP BY ALL)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY r) AS INTEGER) AS part, area, round(CASE WHEN straight + slanted < 3 THEN 0 ELSE straight + slanted * sqrt(2.0::DOUBLE) END, 6) AS perimeter FROM z JOIN b USING (vec_id, r)"""
 
 
 def _lines_sql(name: str, size: tuple[int, int]) -> str:
@@ -135,11 +151,11 @@ ORACLES["black_rows"] = f"WITH {GRID_SQL}, b AS (SELECT vec_id, y, 100.0::DOUBLE
 
 
 def _stage2(s, d):
-    """Rows of the second stage; candidates are kept by their area within the image and lesion, as no classifier is fitted here."""
+    """Rows of the second stage; candidates are kept by the score that stands in for a classifier, over their sixteen traits within image and lesion."""
     eyes_ = eyes(s, d)
     features = M.image_features(eyes_.select("vec_id", "red", "green", "blue"), "vec_id", SIZE, SMALL)
-    found = S.candidate_rows(eyes_.select("vec_id", "red", "green", "blue").join(features.select("vec_id", "od_x", "od_y", "od_radius", "fovea_x", "fovea_y"), "vec_id"), "vec_id", SIZE, SMALL)
-    kept = L.placeholder_score(found, ["vec_id", "lesion"], ["area"]).filter(F.col("score") >= L.FALLBACK_THRESHOLD)
+    found = T.candidate_rows(eyes_.select("vec_id", "red", "green", "blue").join(features.select("vec_id", "od_x", "od_y", "od_radius", "fovea_x", "fovea_y"), "vec_id"), "vec_id", SIZE, SMALL)
+    kept = L.placeholder_score(found, ["vec_id", "lesion"], list(T.FEATURES)).filter(F.col("score") >= L.FALLBACK_THRESHOLD)
     area = float(V.round_view(SIZE, SMALL.measured).sum())
     out = M.stage2_rows(features, kept, "vec_id", area)
     return rounded(out, *(c for c, kind in out.dtypes if kind == "double"))
