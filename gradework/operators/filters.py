@@ -166,3 +166,54 @@ def stretched(image: np.ndarray, height: int, width: int) -> np.ndarray:
     x0, x1, fx = places(image.shape[1], width)
     rows = image[y0] * (1 - fy)[:, None] + image[y1] * fy[:, None]
     return rows[:, x0] * (1 - fx) + rows[:, x1] * fx
+
+
+def shrinking(n: int, out: int) -> np.ndarray:
+    """Weights (out, n) that give each of ``out`` pixels the mean of the stretch of ``n`` pixels it covers."""
+    step = n / out
+    begin, pixel = np.arange(out)[:, None] * step, np.arange(n)[None]
+    return np.clip(np.minimum(begin + step, pixel + 1) - np.maximum(begin, pixel), 0, None) / step
+
+
+def widening(n: int, out: int) -> np.ndarray:
+    """Weights (out, n) of linear interpolation between pixels' middles; outer halves of border pixels stay level."""
+    at = np.clip((np.arange(out) + 0.5) * n / out - 0.5, 0, n - 1)
+    return np.clip(1 - np.abs(at[:, None] - np.arange(n)[None]), 0, None)
+
+
+def median(image: np.ndarray, size: int) -> np.ndarray:
+    """Median of ``size`` x ``size`` pixels, an odd size; the edge goes on beyond the border.  Row by row, so that memory is a row's windows."""
+    ext = np.pad(image, size // 2, mode="edge")
+    windows = np.lib.stride_tricks.sliding_window_view(ext, (size, size))
+    return np.stack([np.median(row.reshape(len(row), -1), axis=1) for row in windows])
+
+
+def equalised(levels: np.ndarray, clip: float, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited equalisation of whole levels 0..255, as image libraries do it.
+
+    The image is mirrored to whole tiles.  Each tile's histogram is cut at ``clip`` times its mean; what is cut is dealt evenly over the levels, the
+    rest one each at even steps.  Mappings are interpolated between the tiles' middles.
+    """
+    h, w = levels.shape
+    more = (tiles - h % tiles, tiles - w % tiles) if h % tiles or w % tiles else (0, 0)
+    whole = np.pad(levels.astype(np.int64), ((0, more[0]), (0, more[1])), mode="reflect")
+    th, tw = whole.shape[0] // tiles, whole.shape[1] // tiles
+    tile = np.arange(whole.shape[0])[:, None] // th * tiles + np.arange(whole.shape[1])[None] // tw
+    counts = np.bincount((tile * 256 + whole).ravel(), minlength=tiles * tiles * 256).reshape(-1, 256)
+    limit = max(int(clip * th * tw / 256), 1)
+    excess = np.maximum(counts - limit, 0).sum(1)
+    counts = np.minimum(counts, limit) + (excess // 256)[:, None]
+    for k, rest in enumerate((excess % 256).tolist()):
+        if rest:
+            counts[k, : rest * max(256 // rest, 1) : max(256 // rest, 1)] += 1
+    maps = np.clip(np.rint(counts.cumsum(1) * (255.0 / (th * tw))), 0, 255).reshape(tiles, tiles, 256)
+
+    def between(n: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.arange(n) / side - 0.5
+        low = np.floor(at).astype(int)
+        return np.maximum(low, 0), np.minimum(low + 1, tiles - 1), at - low
+
+    (y0, y1, fy), (x0, x1, fx) = between(h, th), between(w, tw)
+    of = levels.astype(np.int64)
+    row = lambda y: (1 - fx) * maps[y[:, None], x0[None], of] + fx * maps[y[:, None], x1[None], of]
+    return np.clip(np.rint((1 - fy)[:, None] * row(y0) + fy[:, None] * row(y1)), 0, 255)

@@ -12,11 +12,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def per_image(df: DataFrame, arrays: list[str], scalars: list[str], width: int, kernel: Callable[..., list[tuple]], made: str) -> DataFrame:
+def per_image(df: DataFrame, arrays: list[str], scalars: list[str], width: int | str, kernel: Callable[..., list[tuple]], made: str) -> DataFrame:
     """The rows that ``kernel`` makes of each row, behind the row's ``scalars``.
 
-    ``arrays`` are row-major images of ``width`` columns, given to the kernel as two-dimensional arrays of
-    doubles, then the scalars' values.  Rows with a null or empty image, or one that has null pixels, make no rows.
+    ``arrays`` are row-major images of ``width`` columns (a number, or the name of the scalar that holds each row's), given to the kernel as two-dimensional arrays of
+    doubles, then the scalars' values.  Rows with a null or empty image, one that has null pixels or no width, make no rows.
     """
     given = df.select(*scalars, *(F.col(a).cast("array<double>").alias(a) for a in arrays))
     extra = StructType.fromDDL(made)
@@ -33,7 +33,10 @@ def per_image(df: DataFrame, arrays: list[str], scalars: list[str], width: int,
                 if any(v is None or not len(v) or v.null_count for v in pixels):
                     continue
                 values = [columns[s][i].as_py() for s in scalars]
-                pictures = [v.to_numpy(zero_copy_only=False).reshape(-1, width) for v in pixels]
+                columns_of = width if isinstance(width, int) else values[scalars.index(width)]
+                if columns_of is None:
+                    continue
+                pictures = [v.to_numpy(zero_copy_only=False).reshape(-1, columns_of) for v in pixels]
                 out += [(*values, *row) for row in kernel(*pictures, *values)]
             parts = list(zip(*out)) if out else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array([v.item() if isinstance(v, np.generic) else v for v in part], field.type) for part, field in zip(parts, arrow)], schema=arrow)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters as P
+from ..operators import first_stage as A
 from ..operators import gates as G
 from ..operators import kernels as N
 from ..operators import landmarks as M
@@ -163,3 +164,23 @@ def _stage2(s, d):
 
 QUERIES["image_features"] = lambda s, d: rounded(M.image_features(eyes(s, d).select("vec_id", "red", "green", "blue"), "vec_id", SIZE, SMALL), *_SHARES, "od_contrast", "fovea_x", "fovea_y", "fovea_darkness", "od_fovea_dist_dd")
 QUERIES["stage2_rows"] = _stage2
+
+
+#: Photographs' width and height, wide enough for tiles to be equalised, and gates for such small ones.
+WIDTH = 128
+SMALL_GATES = A.Limits(megapixels=(0.001, 0.01), laplacian=(0.0015, 0.02), tenengrad=(0.02, 30.0), region=(0.001, 0.004))
+
+
+def photographs(s, d):
+    """(vec_id, red, green, blue): textured views on black of levels 0..255; reach, texture, light and exposure lie where values put them."""
+    y, x = f"(p div {WIDTH})", f"(p % {WIDTH})"
+    inside = f"abs({x} - 63.5) < 53 + 48 * greatest(0, embedding[1]) AND abs({y} - 63.5) < 58"
+    light = f"110 + 60 * embedding[({y} div 16) * 8 + {x} div 16] + ({x} - 64) * 8 * embedding[2] + if(abs(embedding[5]) > 0.25, -90 * exp(-pow({x} - 64, 2) / 900), 0)"
+    grain = f"60 * abs(embedding[3]) * sin(({x} + 2 * {y}) * (0.2 + 3 * abs(embedding[4]))) + (p * 7919) % (1 + int(60 * abs(embedding[6])))"
+    grey = F.expr(f"transform(sequence(0, {WIDTH * WIDTH - 1}), p -> if({inside}, {light} + {grain}, 0))")
+    level = lambda k: F.expr(f"transform(grey, v -> floor(greatest(0, least(255, {k} * v))))")
+    return _dealt(s, d).select("vec_id", grey.alias("grey")).select("vec_id", *(level(k).alias(c) for c, k in (("red", 1.25), ("green", 1.0), ("blue", 0.55))))
+
+
+_STAGE1 = [c for c in A.STAGE1_COLUMNS if c not in ("stage1_verdict", "enhancement_applied")]
+QUERIES["stage1_rows"] = lambda s, d: rounded(A.stage1_rows(photographs(s, d), "vec_id", WIDTH, SMALL_GATES), *_STAGE1)
