@@ -107,7 +107,7 @@ def spectral_slope(patch: np.ndarray) -> float:
     """Slope of log power by log whole radius of frequency, from radius 1, under a Hann window; 0 with fewer than two radii."""
     h, w = patch.shape
     power = np.abs(np.fft.fft2((patch - patch.mean()) * np.hanning(h)[:, None] * np.hanning(w)[None])) ** 2
-    radius = np.hypot((np.fft.fftfreq(h) * h)[:, None], (np.fft.fftfreq(w) * w)[None]).astype(int).ravel()
+    radius = np.hypot(np.rint(np.fft.fftfreq(h) * h)[:, None], np.rint(np.fft.fftfreq(w) * w)[None]).astype(int).ravel()
     mean = np.bincount(radius, power.ravel()) / np.maximum(np.bincount(radius), 1)
     r = np.nonzero(mean > 0)[0]
     r = r[r >= 1]

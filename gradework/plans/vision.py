@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as P
 from ..operators import first_stage as A
+from ..operators import focus as O
 from ..operators import gates as G
 from ..operators import kernels as N
 from ..operators import landmarks as M
@@ -184,3 +185,11 @@ def photographs(s, d):
 
 _STAGE1 = [c for c in A.STAGE1_COLUMNS if c not in ("stage1_verdict", "enhancement_applied")]
 QUERIES["stage1_rows"] = lambda s, d: rounded(A.stage1_rows(photographs(s, d), "vec_id", WIDTH, SMALL_GATES), *_STAGE1)
+
+
+def placed(s, d):
+    """``photographs`` with the middle and radius of their views, which reach past the border so that the spectrum's square is large enough."""
+    return photographs(s, d).withColumns({"cy": F.lit(63.5), "cx": F.lit(63.5), "radius": F.lit(72.0)})
+
+
+QUERIES["focus_rows"] = lambda s, d: rounded(O.focus_rows(placed(s, d), "vec_id", WIDTH), *O.COLUMNS)
