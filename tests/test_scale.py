@@ -35,3 +35,22 @@ def test_enhancement_is_tried_once_an_image(spark, sf_dir):
     assert text.count("MapInArrow") == 2 and "FlatMapGroupsInPandas" not in text and "Join" not in text  # drawn, tried
     arrays, pixels = both_forms(spark, scenes())
     same(anatomy.enhancement_attempt_rows(arrays, "k", 32), anatomy.enhancement_attempts(pixels, "k"))
+
+
+def test_landmarks_join_no_pixels(spark, sf_dir):
+    text = plan(catalog.QUERIES["landmarks"](spark, sf_dir))
+    assert "Join" not in text and "Broadcast" not in text and "FlatMapGroupsInPandas" not in text
+    arrays, pixels = both_forms(spark, scenes())
+    discs = anatomy.optic_disc(anatomy.disc_candidates(pixels, "k", 16.0), "k")
+    rows = discs.join(anatomy.fovea(pixels, discs, "k", 4.0, (16.0, 16.0), 2), "k")
+    same(anatomy.landmark_rows(arrays, "k", 32, 16.0, 4.0, (16.0, 16.0), 2), rows)
+
+
+def test_landmarks_without_a_point_of_the_fan(spark):
+    """A fan that begins outside the image takes the expected place and tells of no darkness."""
+    flat = np.zeros((8, 8))
+    flat[0, 0] = 200.0
+    arrays, pixels = both_forms(spark, [flat])
+    discs = anatomy.optic_disc(anatomy.disc_candidates(pixels, "k", 4.0), "k")
+    rows = discs.join(anatomy.fovea(pixels, discs, "k", 20.0, (0.0, 8.0), 2), "k")
+    same(anatomy.landmark_rows(arrays, "k", 8, 4.0, 20.0, (0.0, 8.0), 2), rows)
