@@ -54,3 +54,9 @@ def test_landmarks_without_a_point_of_the_fan(spark):
     discs = anatomy.optic_disc(anatomy.disc_candidates(pixels, "k", 4.0), "k")
     rows = discs.join(anatomy.fovea(pixels, discs, "k", 20.0, (0.0, 8.0), 2), "k")
     same(anatomy.landmark_rows(arrays, "k", 8, 4.0, 20.0, (0.0, 8.0), 2), rows)
+
+
+def test_candidates_stay_with_their_image(spark, sf_dir):
+    assert "FlatMapGroupsInPandas" not in plan(catalog.QUERIES["lesion_candidates"](spark, sf_dir))
+    arrays, pixels = both_forms(spark, scenes())
+    same(anatomy.lesion_candidate_rows(arrays, "k", 32, 15, 96.0, 3, 900), anatomy.lesion_candidates(pixels, "k", 15, 96.0, 3, 900))
