@@ -5,12 +5,16 @@ Images are drawn from embeddings: shades are their values, and lines, spots and
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import filters as P
 from ..operators import first_stage as A
 from ..operators import focus as O
 from ..operators import gates as G
+from ..operators import images as I
 from ..operators import kernels as N
 from ..operators import landmarks as M
 from ..operators import lesion as L
@@ -19,6 +23,7 @@ from ..operators import summaries as U
 from ..operators import traits as T
 from ..operators import vessels as V
 from ..operators import view as W
+from ..sources import tables
 from .inputs import GRID_SQL, grid, rounded, table
 
 QUERIES, ORACLES = {}, {}
@@ -32,14 +37,16 @@ GAP = 3
 GAP_ABOVE = 0.12
 
 
-def _picture(body: str) -> str:
-    """An array of SIZE x SIZE from an expression of x, y and e, the embedding."""
-    return f"transform(sequence(0, {SIZE * SIZE - 1}), p -> {body.replace('{y}', f'(p div {SIZE})').replace('{x}', f'(p % {SIZE})')})"
+@cache
+def _places(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and number of each pixel."""
+    y, x = np.indices((size, size))
+    return y, x, y * size + x
 
 
-_CELL = "embedding[({y} div 8) * 8 + {x} div 8]"
-_LINES = "70 * exp(-pow({x} - 20 - 60 * embedding[{y} div 8], 2) / 3) + 50 * exp(-pow({y} - 44 + 30 * embedding[8 + {x} div 8] - 0.2 * {x}, 2) / 2)"
-_SPOTS = "60 * exp(-(pow({x} - 40 - 40 * embedding[1], 2) + pow({y} - 16 - 40 * embedding[2], 2)) / 5)"
+def _levels(image: np.ndarray) -> np.ndarray:
+    """Whole levels 0..255; what is no number counts as the largest."""
+    return np.floor(np.fmax(0, np.fmin(255, image)))
 
 
 def _dealt(s, d):
@@ -47,17 +54,20 @@ def _dealt(s, d):
     return table(s, d, "embeddings").repartition(s.sparkContext.defaultParallelism, "vec_id")
 
 
+def _eye(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    y, x, p = _places(SIZE)
+    e, grain = e.astype(np.float64), p * 7 % 5
+    at = (y // 8) * 8 + x // 8
+    one = 70 * np.exp(-((x - 20 - 60 * e[y // 8]) ** 2) / 3)
+    other = 50 * np.exp(-((y - 44 + 30 * e[8 + x // 8] - 2 * x / 10) ** 2) / 2)
+    spot = 60 * np.exp(-((x - 40 - 40 * e[1]) ** 2 + (y - 16 - 40 * e[2]) ** 2) / 5)
+    return _levels(170 + 40 * e[at] + grain), _levels(130 + 80 * e[at] - one + other - spot + grain), _levels(90 + 200 * e[63 - at] - 0.5 * (one + other) + grain)
+
+
 def eyes(s, d):
     """(vec_id, red, green, blue, od_x, od_y, od_radius, fovea_x, fovea_y): square images of levels 0..255."""
-    level = lambda body: F.expr(_picture(f"floor(greatest(0, least(255, {body} + (p * 7) % 5)))"))
-    marks = {"od_x": F.lit(14.0), "od_y": F.lit(30.0), "od_radius": F.lit(5.0), "fovea_x": F.lit(36.0), "fovea_y": F.lit(33.0)}
-    return _dealt(s, d).select(
-        "vec_id",
-        level(f"170 + 40 * {_CELL}").alias("red"),
-        level(f"130 + 80 * {_CELL} - {_LINES} - {_SPOTS}").alias("green"),
-        level(f"90 + 200 * embedding[63 - (({{y}} div 8) * 8 + {{x}} div 8)] - 0.5 * ({_LINES})").alias("blue"),
-        *(v.alias(k) for k, v in marks.items()),
-    )
+    marks = {"od_x": 14.0, "od_y": 30.0, "od_radius": 5.0, "fovea_x": 36.0, "fovea_y": 33.0}
+    return I.drawn(_dealt(s, d), ["vec_id"], "embedding", ["red", "green", "blue"], _eye).withColumns({c: F.lit(v) for c, v in marks.items()})
 
 
 _SHARES = [c for c in V.VESSEL_COLUMNS if c not in V._WHOLE]
@@ -129,11 +139,17 @@ SELECT i.vec_id, coalesce(a.n, 0) AS pixels, coalesce(b.n, 0) - coalesce(a.n, 0)
 LEFT JOIN (SELECT vec_id, count(*) AS n, count(DISTINCT r) AS parts FROM pm GROUP BY 1) a USING (vec_id) LEFT JOIN (SELECT vec_id, count(*) AS n, count(DISTINCT r) AS parts FROM po GROUP BY 1) b USING (vec_id)"""
 
 
+def _disc(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    y, x, _ = _places(SIZE)
+    e = e.astype(np.float64)
+    inside = np.hypot(x - 32 - 40 * e[1], y - 32 - 40 * e[2]) < 20 + 40 * e[3] + 12 * np.abs(e[(x * 5 + y * 3) % 64])
+    red = np.where(inside, np.fmax(0.05, np.fmin(1.0, 0.5 + 2 * e[(y // 8) * 8 + x // 8])), 0.01)
+    return red, red
+
+
 def discs(s, d):
     """(vec_id, red, brightest): lit discs of 0..1 on black, some small, some cut by the border, some with a ragged rim."""
-    inside = "hypot({x} - 32 - 40 * embedding[1], {y} - 32 - 40 * embedding[2]) < 20 + 40 * embedding[3] + 12 * abs(embedding[({x} * 5 + {y} * 3) % 64])"
-    shade = f"if({inside}, greatest(0.05, least(1.0, 0.5 + 2 * {_CELL})), 0.01D)"
-    return _dealt(s, d).select("vec_id", F.expr(_picture(shade)).alias("red")).withColumn("brightest", F.col("red"))
+    return I.drawn(_dealt(s, d), ["vec_id"], "embedding", ["red", "brightest"], _disc)
 
 
 QUERIES["view_detection"] = lambda s, d: rounded(W.view_rows(discs(s, d), "vec_id", SIZE), *(m for m in W.MEASURES if m != "mask_px"))
@@ -154,9 +170,12 @@ ORACLES["black_rows"] = f"WITH {GRID_SQL}, b AS (SELECT vec_id, y, 100.0::DOUBLE
 
 def _stage2(s, d):
     """Rows of the second stage; candidates are kept by the score that stands in for a classifier, over their sixteen traits within image and lesion."""
-    eyes_ = eyes(s, d)
-    features = M.image_features(eyes_.select("vec_id", "red", "green", "blue"), "vec_id", SIZE, SMALL)
-    found = T.candidate_rows(eyes_.select("vec_id", "red", "green", "blue").join(features.select("vec_id", "od_x", "od_y", "od_radius", "fovea_x", "fovea_y"), "vec_id"), "vec_id", SIZE, SMALL)
+    images = eyes(s, d).select("vec_id", "red", "green", "blue")
+    measured, found = M.image_features(images, "vec_id", SIZE, SMALL), T.located_candidate_rows(images, "vec_id", SIZE, SMALL)
+    # Counts and rows both need the features of an image; they are measured once.
+    path = tables.scratch(s, "features")
+    measured.write.parquet(path)
+    features = s.read.schema(measured.schema).parquet(path)
     kept = L.placeholder_score(found, ["vec_id", "lesion"], list(T.FEATURES)).filter(F.col("score") >= L.FALLBACK_THRESHOLD)
     area = float(V.round_view(SIZE, SMALL.measured).sum())
     out = M.stage2_rows(features, kept, "vec_id", area)
@@ -172,15 +191,20 @@ WIDTH = 128
 SMALL_GATES = A.Limits(megapixels=(0.001, 0.01), laplacian=(0.0015, 0.02), tenengrad=(0.02, 30.0), region=(0.001, 0.004))
 
 
+def _photograph(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    y, x, p = _places(WIDTH)
+    e = e.astype(np.float64)
+    inside = (np.abs(x - 63.5) < 53 + 48 * max(0.0, e[1])) & (np.abs(y - 63.5) < 58)
+    fall = -90 * np.exp(-((x - 64.0) ** 2) / 900) if abs(e[5]) > 0.25 else 0.0
+    light = 110 + 60 * e[(y // 16) * 8 + x // 16] + (x - 64) * 8 * e[2] + fall
+    wave = 60 * abs(e[3]) * np.sin((x + 2 * y) * (0.2 + 3 * abs(e[4])))
+    grey = np.where(inside, light + wave + p * 7919 % (1 + int(60 * abs(e[6]))), 0.0)
+    return _levels(1.25 * grey), _levels(grey), _levels(0.55 * grey)
+
+
 def photographs(s, d):
     """(vec_id, red, green, blue): textured views on black of levels 0..255; reach, texture, light and exposure lie where values put them."""
-    y, x = f"(p div {WIDTH})", f"(p % {WIDTH})"
-    inside = f"abs({x} - 63.5) < 53 + 48 * greatest(0, embedding[1]) AND abs({y} - 63.5) < 58"
-    light = f"110 + 60 * embedding[({y} div 16) * 8 + {x} div 16] + ({x} - 64) * 8 * embedding[2] + if(abs(embedding[5]) > 0.25, -90 * exp(-pow({x} - 64, 2) / 900), 0)"
-    grain = f"60 * abs(embedding[3]) * sin(({x} + 2 * {y}) * (0.2 + 3 * abs(embedding[4]))) + (p * 7919) % (1 + int(60 * abs(embedding[6])))"
-    grey = F.expr(f"transform(sequence(0, {WIDTH * WIDTH - 1}), p -> if({inside}, {light} + {grain}, 0))")
-    level = lambda k: F.expr(f"transform(grey, v -> floor(greatest(0, least(255, {k} * v))))")
-    return _dealt(s, d).select("vec_id", grey.alias("grey")).select("vec_id", *(level(k).alias(c) for c, k in (("red", 1.25), ("green", 1.0), ("blue", 0.55))))
+    return I.drawn(_dealt(s, d), ["vec_id"], "embedding", ["red", "green", "blue"], _photograph)
 
 
 _STAGE1 = [c for c in A.STAGE1_COLUMNS if c not in ("stage1_verdict", "enhancement_applied")]

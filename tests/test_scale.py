@@ -60,3 +60,40 @@ def test_candidates_stay_with_their_image(spark, sf_dir):
     assert "FlatMapGroupsInPandas" not in plan(catalog.QUERIES["lesion_candidates"](spark, sf_dir))
     arrays, pixels = both_forms(spark, scenes())
     same(anatomy.lesion_candidate_rows(arrays, "k", 32, 15, 96.0, 3, 900), anatomy.lesion_candidates(pixels, "k", 15, 96.0, 3, 900))
+
+
+def test_images_are_drawn_and_measured_without_a_join(spark, sf_dir):
+    for name, kernels in (("focus_rows", 2), ("stage1_rows", 2), ("vessel_map", 2), ("lesion_spots", 2), ("candidate_features", 2), ("image_features", 2), ("view_detection", 2), ("stage2_rows", 2)):
+        text = plan(catalog.QUERIES[name](spark, sf_dir))
+        assert text.count("MapInArrow") == kernels, name  # drawn, measured; no picture by lambdas over pixels
+        assert "transform(sequence" not in text and "lambdafunction" not in text, name
+
+
+def test_candidates_about_found_landmarks(spark, sf_dir):
+    from gradework.operators import landmarks, traits
+    from gradework.plans import vision
+
+    images = vision.eyes(spark, sf_dir).select("vec_id", "red", "green", "blue").filter("vec_id % 50 = 0")
+    features = landmarks.image_features(images, "vec_id", vision.SIZE, vision.SMALL)
+    joined = images.join(features.select("vec_id", "od_x", "od_y", "od_radius", "fovea_x", "fovea_y"), "vec_id")
+    found = traits.located_candidate_rows(images, "vec_id", vision.SIZE, vision.SMALL)
+    assert "Join" not in plan(found)
+    one, other = found.collect(), traits.candidate_rows(joined, "vec_id", vision.SIZE, vision.SMALL).collect()
+    assert sorted(map(str, one)) == sorted(map(str, other)) and one
+
+
+def test_grown_masks():
+    from gradework.operators import filters as P
+
+    made = np.random.default_rng(3)
+    for mask in (made.random((40, 30)) > 0.97, np.pad([[True]], ((2, 30), (25, 1))), np.zeros((9, 9), dtype=bool), made.random((20, 20)) > 0.3):
+        for radius in (1, 4, 12):
+            assert np.array_equal(P.grown(mask, radius), P.extreme(mask, P.ellipse(2 * radius + 1), True))
+
+
+def test_drawing_leaves_out_rows_without_numbers(spark):
+    from gradework.operators import images as I
+
+    rows = [(1, [1.0, 2.0]), (2, None), (3, []), (4, [1.0, None]), (5, [3.0, 4.0])]
+    got = I.drawn(spark.createDataFrame(rows, "k int, v array<float>"), ["k"], "v", ["a", "b"], lambda v: (v, 2 * v)).collect()
+    assert {r["k"]: (r["a"], r["b"]) for r in got} == {1: ([1, 2], [2, 4]), 2: (None, None), 3: (None, None), 4: (None, None), 5: ([3, 4], [6, 8])}
