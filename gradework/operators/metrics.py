@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import average_ranks, percentiles, running_sums
+from ..functions.ordered import percentiles, ranks, running_sums
 
 GRADES = 5
 REFERABLE = 2
@@ -116,8 +116,12 @@ def within_strata(metric: Callable[[DataFrame, list[str]], DataFrame], df: DataF
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str], flag_from: float = 0.3) -> DataFrame:
-    """(by..., n, rho, flagged): Pearson correlation of average ranks."""
-    ranked = df.withColumn("_a", average_ranks(df, a, by)).withColumn("_b", average_ranks(df, b, by))
+    """(by..., n, rho, flagged): Pearson correlation of average ranks, which rows meet by their values."""
+    ranked = df.select(*by, F.col(a).alias("_x"), F.col(b).alias("_y"))
+    for column, old, new in (("_x", a, "_a"), ("_y", b, "_b")):
+        known = ranks(df.select(*by, F.col(old).alias(column)), column, by, new)
+        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*by, column)]
+        ranked = ranked.alias("l").join(known.alias("r"), same).select(*(F.col(f"l.{c}") for c in ranked.columns), new)
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho")).withColumn("flagged", F.abs("rho") > flag_from)
 
 

@@ -1,7 +1,11 @@
 """What queries must not do if they are to grow with their tables: move pixels, make images twice, hold a group in one task."""
 
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from gradework.operators import anatomy
 from gradework.plans import catalog
@@ -97,3 +101,53 @@ def test_drawing_leaves_out_rows_without_numbers(spark):
     rows = [(1, [1.0, 2.0]), (2, None), (3, []), (4, [1.0, None]), (5, [3.0, 4.0])]
     got = I.drawn(spark.createDataFrame(rows, "k int, v array<float>"), ["k"], "v", ["a", "b"], lambda v: (v, 2 * v)).collect()
     assert {r["k"]: (r["a"], r["b"]) for r in got} == {1: ([1, 2], [2, 4]), 2: (None, None), 3: (None, None), 4: (None, None), 5: ([3, 4], [6, 8])}
+
+
+def windows(df) -> list[str]:
+    """The windows of a query, without those over sums of ranges, which are few rows."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return [line for line in lines if "Window [" in line and "sum(_t" not in line]
+
+
+def test_rank_correlation_holds_no_group_in_a_task(spark):
+    from gradework.operators import metrics
+
+    made = np.random.default_rng(2)
+    rows = [(g, float(made.integers(0, 9)), float(made.normal())) for g in ("a", "b", None) for _ in range(70)]
+    rows += [("a", None, 1.0), ("a", None, 2.0), ("b", 3.0, None), ("b", math.nan, 0.5)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = metrics.spearman(df, "x", "y", ["g"])
+    rank = lambda c: F.rank().over(Window.partitionBy("g").orderBy(c)) + (F.count("*").over(Window.partitionBy("g", c)) - 1) / 2
+    want = df.withColumns({"a": rank("x"), "b": rank("y")}).groupBy("g").agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho"))
+    same(got.orderBy("g").select("n", "rho"), want.orderBy("g").select("n", "rho"))
+    assert all("_range" in w for w in windows(got)) and len(windows(got)) > 0
+
+
+def test_bands_hold_no_group_in_a_task(spark):
+    from gradework.operators import sampling
+
+    made = np.random.default_rng(4)
+    rows = [(g, i, float(made.integers(0, 40)) if i % 11 else None) for g, n in (("a", 203), ("b", 7), (None, 25)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    got = sampling.bands(df, ["g"], "v", "k")
+    assert got.columns == ["g", "k", "v", "band"]
+    group = Window.partitionBy("g")
+    i = F.row_number().over(group.orderBy("v", "k")) - 1
+    want = df.withColumn("band", F.least(F.floor(i * 10 / F.count("*").over(group)), F.lit(9)).cast("int"))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    assert all("_range" in w for w in windows(got)) and windows(got)
+    drawn = sampling.banded_draw(df, ["g"], "v", "k", 5)
+    assert "WindowGroupLimit" in plan(drawn) and drawn.filter("g = 'a'").count() == 5
+
+
+def test_matched_filters_shuffle_no_pixels(spark, sf_dir):
+    from gradework.operators import raster
+    from gradework.plans import imaging, inputs
+
+    text = plan(catalog.QUERIES["matched_filter_grid"](spark, sf_dir))
+    assert "Join" not in text and text.count("MapInArrow") == 1
+    some = inputs.table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0")
+    pixels = raster.pixels(some, "vec_id", "embedding", 8)
+    one = raster.strongest_rows(some, "vec_id", 8, "embedding", imaging._FILTERS).select("vec_id", "y", "x", "v")
+    same(one, raster.strongest(pixels, "vec_id", imaging._FILTERS).select("vec_id", "y", "x", "v"))
