@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,17 +98,20 @@ def fit_fold(candidates: DataFrame, images: DataFrame, features: list[str], fold
     candidates: key, lesion, features.  images: key, grade, split, cv_fold.  Weights and threshold come from the training images alone.
     """
     seen = (dev(images) if fold == TEST else not_in_fold(images, fold)).select(key, "grade")
-    labelled = candidates.join(seen, key).withColumn("_label", weak_label(F.col("grade")))
+    labelled = candidates.join(seen, key).withColumn("_label", weak_label(F.col("grade"))).filter("_label is not null").select(key, *features, "grade", "_label", "lesion")
+    # Trees take many passes: candidates meet their grades once a fold, not once a pass.
+    labelled = labelled.persist(StorageLevel.DISK_ONLY)
     out = {}
     for lesion in lesions:
         own = labelled.filter(F.col("lesion") == lesion)
-        model = M.forest(own.filter(F.col("_label").isNotNull()), features, "_label", trees=trees)
+        model = M.forest(own, features, "_label", trees=trees)
         threshold = L.FALLBACK_THRESHOLD
         if model is not None:
             negative = seen.filter(F.col("grade").isin(*NEGATIVE))
             scored = M.forest_score(model, own.filter(F.col("grade").isin(*NEGATIVE)).select(key, *features), features)
             threshold = float(L.select_threshold(scored, negative, key, "score").first()["threshold"])
         out[lesion] = Classifier(model, threshold)
+    labelled.unpersist()
     return out
 
 

@@ -88,7 +88,11 @@ _SIGNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def _out_of_fold(s, d):
     """Image rows recomputed from candidates that models of other folds have scored; the test images' models have seen all others."""
-    candidates, images = _lesions(s, d)
+    candidates, placed = _lesions(s, d)
+    # Folds are dealt once, not in every pass of every model.
+    path = tables.scratch(s, "images")
+    placed.write.parquet(path)
+    images = s.read.schema(placed.schema).parquet(path)
     fitted = {k: V.fit_fold(candidates, images, _SIGNS, k, ("ma", "haem"), trees=8) for k in [*V.folds(images), V.TEST]}
     scored = V.scored_out_of_fold(candidates, images, _SIGNS, fitted)
     return V.recomputed(images, scored, 1000.0).select("id_code", "grade", "split", "cv_fold", "haem_count", "ma_count", "haem_q_max", "severe_npdr_flag")

@@ -151,3 +151,16 @@ def test_matched_filters_shuffle_no_pixels(spark, sf_dir):
     pixels = raster.pixels(some, "vec_id", "embedding", 8)
     one = raster.strongest_rows(some, "vec_id", 8, "embedding", imaging._FILTERS).select("vec_id", "y", "x", "v")
     same(one, raster.strongest(pixels, "vec_id", imaging._FILTERS).select("vec_id", "y", "x", "v"))
+
+
+def test_candidates_meet_grades_once_a_fold(spark, monkeypatch):
+    from gradework.operators import folds, grading
+
+    seen = []
+    fit = grading.forest
+    monkeypatch.setattr(folds.M, "forest", lambda train, *a, **k: seen.append(plan(train)) or fit(train, *a, **k))
+    images = spark.createDataFrame([(i, (0, 3, 2, 4)[i % 4], "dev", str(i // 4 % 2)) for i in range(80)], "id_code int, grade int, split string, cv_fold string")
+    candidates = spark.createDataFrame([(i, ("ma", "haem")[j % 2], float(i % 4 + j / 10)) for i in range(80) for j in range(6)], "id_code int, lesion string, v double")
+    fitted = folds.fit_fold(candidates, images, ["v"], "0", ("ma", "haem"), trees=3)
+    assert all(c.model is not None for c in fitted.values()) and len(seen) == 2
+    assert all("InMemoryTableScan" in text for text in seen)
