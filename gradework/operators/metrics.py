@@ -158,10 +158,11 @@ def with_pooled(df: DataFrame, stratum: str, pooled: str = "pooled") -> DataFram
 
 def stratum_thresholds(df: DataFrame, stratum: str, metrics: dict[str, dict[str, float]], min_rows: int = 20, pooled: str = "pooled") -> DataFrame:
     """(stratum, n, thresholds): for each metric {new column: share} its exact percentiles, of strata with enough rows and of all rows."""
-    wide = with_pooled(df.select(stratum, *metrics), stratum, pooled)
-    sizes = wide.groupBy(stratum).agg(F.count("*").alias("n")).filter((F.col("n") >= min_rows) | (F.col(stratum) == pooled))
+    named = df.select(F.col(stratum).cast("string").alias(stratum), *metrics)
+    each = named.groupBy(stratum).agg(F.count("*").alias("n"))
+    sizes = with_pooled(each, stratum, pooled).groupBy(stratum).agg(F.sum("n").alias("n")).filter((F.col("n") >= min_rows) | (F.col(stratum) == pooled))
     shares = sorted({x for own in metrics.values() for x in own.values()})
-    found = percentiles(wide, list(metrics), shares, [stratum]).drop("n")
+    found = percentiles(named, list(metrics), shares, [stratum], pooled=pooled).drop("n")
     columns = [F.max(F.when((F.col("metric") == metric) & (F.col("share") == F.lit(share)), F.col("value"))).alias(name) for metric, own in metrics.items() for name, share in own.items()]
     return sizes.join(found.groupBy(stratum).agg(*columns), stratum, "left")
 
@@ -173,7 +174,8 @@ def profile(df: DataFrame, group: str, metrics: list[str], rejected: str, whole:
     """
     wide = with_pooled(df.select(group, rejected, *metrics), group, whole)
     names = {0.0: "least", 0.25: "q1", 0.5: "middle", 0.75: "q3", 1.0: "most"}
-    found = percentiles(wide, metrics, list(names), [group])
+    named = df.select(F.col(group).cast("string").alias(group), *metrics)
+    found = percentiles(named, metrics, list(names), [group], pooled=whole)
     rows = found.groupBy(group, "metric", "n").agg(*(F.max(F.when(F.col("share") == F.lit(x), F.col("value"))).alias(name) for x, name in names.items()))
     gate = wide.groupBy(group).agg((100.0 * F.avg(F.coalesce(F.col(rejected), F.lit(False)).cast("double"))).alias("rejected_pct"))
     return rows.join(gate, group)
