@@ -89,14 +89,17 @@ def isotonic_apply(model, df: DataFrame, score: str) -> DataFrame:
 
 def cut_candidates(df: DataFrame, score: str, most: int = 400) -> list[float]:
     """Middles between neighbouring distinct scores; of more than ``most``, so many even quantiles of the middles."""
-    pairs = neighbours(df, score)
-    n = pairs.count()
-    if n < 2:
-        return [r[score] for r in pairs.collect()]
-    middles = pairs.filter("next is not null").select(((F.col(score) + F.col("next")) / 2).alias("middle"))
-    if n - 1 > most:
-        middles = percentiles(middles, ["middle"], [k / (most - 1) for k in range(most)]).select(F.col("value").alias("middle"))
-    return sorted(r["middle"] for r in middles.collect())
+    pairs = neighbours(df, score).persist()
+    try:
+        n = pairs.count()
+        if n < 2:
+            return [r[score] for r in pairs.collect()]
+        middles = pairs.filter("next is not null").select(((F.col(score) + F.col("next")) / 2).alias("middle"))
+        if n - 1 > most:
+            middles = percentiles(middles, ["middle"], [k / (most - 1) for k in range(most)]).select(F.col("value").alias("middle"))
+        return sorted(r["middle"] for r in middles.collect())
+    finally:
+        pairs.unpersist()
 
 
 def fit_cutpoints(df: DataFrame, score: str, grade: str, classes: int = GRADES, candidates: int = 400, passes: int = 50) -> list[float]:
@@ -166,16 +169,26 @@ def cross_validated(df: DataFrame, features: list[str], label: str, fold: str) -
 
 
 def ablation(df: DataFrame, blocks: dict[str, list[str]], label: str, fold: str, stratum: str) -> list[tuple[str, int, float, bool]]:
-    """(block, features, kappa within strata, kept): blocks join one after the other; one is kept if kappa rises."""
+    """(block, features, kappa within strata, kept): blocks join one after the other; one is kept if kappa rises.
+
+    Rows are read once, and scored once a block, as fits and cut points pass over them many times.
+    """
     used: list[str] = []
     best, out = -2.0, []
-    for name, columns in blocks.items():
-        used = used + columns
-        scored = cross_validated(df, used, label, fold)
-        cuts = fit_cutpoints(scored, "grade_score", label)
-        rows = scored.withColumn("predicted", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("grade_score"))))
-        value = within_strata(lambda d, by: kappa(d, label, "predicted", by), rows, stratum, "kappa").first()["mean"]
-        kept = value is not None and value > best
-        best = value if kept else best
-        out.append((name, len(used), value, kept))
+    given = df.select(*dict.fromkeys([label, fold, stratum, *(c for own in blocks.values() for c in own)])).persist()
+    try:
+        for name, columns in blocks.items():
+            used = used + columns
+            scored = cross_validated(given, used, label, fold).select(label, stratum, "grade_score").persist()
+            try:
+                cuts = fit_cutpoints(scored, "grade_score", label)
+                rows = scored.withColumn("predicted", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("grade_score"))))
+                value = within_strata(lambda d, by: kappa(d, label, "predicted", by), rows, stratum, "kappa").first()["mean"]
+            finally:
+                scored.unpersist()
+            kept = value is not None and value > best
+            best = value if kept else best
+            out.append((name, len(used), value, kept))
+    finally:
+        given.unpersist()
     return out

@@ -1,7 +1,9 @@
 """How often queries pass over rows, or look at them one by one."""
 
+from pyspark.sql import functions as F
+
 from gradework.functions import ordered
-from gradework.operators import metrics
+from gradework.operators import grading, metrics
 
 
 def test_pooled_percentiles_come_from_the_counts_of_groups(spark):
@@ -12,3 +14,18 @@ def test_pooled_percentiles_come_from_the_counts_of_groups(spark):
     assert sorted(once.collect()) == sorted(twice.collect()) and once.count() == 3 * 2 * len(shares)
     empty = ordered.percentiles(rows.limit(0), ["v"], shares, ["g"], pooled="all")
     assert empty.collect() == []
+
+
+def test_ablation_reads_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 600, numPartitions=2).mapInArrow(seen, "id long")
+    rows = rows.select((F.col("id") % 5).cast("int").alias("grade"), (F.col("id") % 5 + F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"), (F.col("id") % 4).cast("int").alias("fold"), F.lit("s").alias("stratum"))
+    found = grading.ablation(rows, {"a": ["a"], "b": ["b"]}, "grade", "fold", "stratum")
+    assert [(name, n) for name, n, _, _ in found] == [("a", 1), ("b", 2)] and found[0][3]
+    assert read.value == 600
