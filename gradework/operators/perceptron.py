@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,13 +53,16 @@ def gradient(theta: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray
     layers = _layers(theta, _shapes(x.shape[1], hidden))
     seen = [x]
     for k, (w, b) in enumerate(layers):
-        z = seen[-1] @ w + b
-        seen.append(np.maximum(z, 0) if k < len(hidden) else z)
+        z = seen[-1] @ w
+        z += b
+        seen.append(np.maximum(z, 0, out=z) if k < len(hidden) else z)
     gap = seen[-1][:, 0] - y
     delta, parts = (weight * gap)[:, None], []
     for k in range(len(layers) - 1, -1, -1):
         parts.append(np.concatenate([(seen[k].T @ delta).ravel(), delta.sum(axis=0)]))
-        delta = (delta @ layers[k][0].T) * (seen[k] > 0)
+        if k:  # nothing lies before the features
+            delta = delta @ layers[k][0].T
+            delta *= seen[k] > 0
     return np.concatenate(parts[::-1]), float((weight * gap**2).sum() / 2)
 
 
@@ -83,6 +87,11 @@ def _features(batch: pa.RecordBatch, columns: int) -> np.ndarray:
     return _column(batch, "x").flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
 
 
+def _others(folds: pa.Array, k: str) -> np.ndarray:
+    """Which rows are of other folds."""
+    return pc.not_equal(folds, k).to_numpy(zero_copy_only=False)
+
+
 def trainings(rows: DataFrame, features: int) -> dict[str, Training]:
     """fold -> scale and weights of all other folds' labelled rows; grades weigh the same in sum.  One aggregation, a row for each fold and grade."""
     each = rows.filter("y is not null").groupBy("fold", "y").agg(F.count("*").alias("n"), *(f(F.when(~F.isnan(F.get("x", F.lit(i))), F.get("x", F.lit(i)) ** k)).alias(f"{name}{k}_{i}") for i in range(features) for name, f, k in (("c", F.count, 1), ("s", F.sum, 1), ("s", F.sum, 2)))).collect()
@@ -118,11 +127,12 @@ def fit_folds(rows: DataFrame, features: int, known: dict[str, Training], hidden
             mass = dict.fromkeys(models, 0.0)
             for batch in batches:
                 x, y = _features(batch, features), _column(batch, "y").to_numpy(zero_copy_only=False)
-                own = np.array(_column(batch, "fold").to_pylist(), dtype=object)
+                folds = _column(batch, "fold")
+                grades, grade = np.unique(y, return_inverse=True)  # weights are looked up by grade, not by row
                 for k, model in models.items():
-                    others = own != k
+                    others = _others(folds, k)
                     if others.any():
-                        weight = np.array([known[k].weights[g] for g in y[others]])
+                        weight = np.array([known[k].weights.get(g, 0.0) for g in grades.tolist()])[grade[others]]
                         slopes[k] += gradient(model, known[k].scaled(x[others]), y[others], weight, hidden)[0]
                         mass[k] += weight.sum()
             yield pa.RecordBatch.from_arrays([pa.array(list(slopes)), pa.array([s.tobytes() for s in slopes.values()], pa.binary()), pa.array(list(mass.values()))], names=["fold", "slope", "mass"])
@@ -147,10 +157,10 @@ def scored(rows: DataFrame, features: int, theta: dict[str, np.ndarray], known:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = {k: np.frombuffer(t) for k, t in raw.items()}
         for batch in batches:
-            x, own = _features(batch, features), np.array(_column(batch, "fold").to_pylist(), dtype=object)
+            x, folds = _features(batch, features), _column(batch, "fold")
             out = np.zeros(batch.num_rows)
             for k, model in models.items():
-                mine = own == k
+                mine = ~_others(folds, k)
                 if mine.any():
                     out[mine] = answer(model, known[k].scaled(x[mine]), hidden)
             yield pa.RecordBatch.from_arrays([*(_column(batch, c) for c in carry), pa.array(out)], names=[*carry, "grade_score"])
