@@ -397,6 +397,28 @@ def test_equal_bytes_are_counted(spark):
     assert df.filter(line_dedup._equal_bytes(F.col("a"), F.col("b")) != F.col("n")).count() == 0
 
 
+def test_sketches_tell_lines_of_one_vocabulary_apart(spark):
+    """Unlike lines of a few syllables agree in too few parts to be asked for, near ones in enough; finished queries leave no shuffle files."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    parts = ["".join(x) for x in rng.choice(list("aeioubdfgklmnrst"), (12, 2))]
+    line = lambda: " ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(60))
+    lines = [line() for _ in range(200)]
+    near = ["".join("x" if c != " " and rng.random() < 0.12 else c for c in x) for x in lines]
+    batch = [{"node": i, "line": x} for i, x in enumerate(lines + near)]
+    traits = spark.createDataFrame([r for part in line_dedup._traits([pa.RecordBatch.from_pylist(batch)]) for r in part.to_pylist()]).drop("line")
+    one, other = (traits.withColumnsRenamed({c: f"{c}_{s}" for c in traits.columns}) for s in "ab")
+    can = one.join(other, F.col("node_a") < F.col("node_b")).filter(line_dedup.feasible(lambda n: F.col(f"{n}_a"), lambda n: F.col(f"{n}_b"))).select("node_a", "node_b").collect()
+    due = sum(r["node_b"] - r["node_a"] == 200 for r in can)
+    assert due >= 196 and len(can) - due < 0.002 * 400 * 399 / 2
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with common.shuffles_dropped(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == before
+
+
 def test_lines_that_differ_in_a_long_word_stay_and_scattered_letters_do_not(spark):
     base = "one two three four five six seven eight nine ten eleven twelve thirteen"
     long_a, long_b = f"{base} {'q' * 19}{'z' * 19}", f"{base} {'k' * 38}"
