@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, documents, stage
+from .common import buckets_for, buffers, documents, stage
 from .dealing import SAMPLE_DOCS, Tree
 from .tokens import encoder
 
@@ -33,6 +34,10 @@ END_ID = 1
 SHARD_DOCS = 1024
 SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
+#: Bytes of text that are encoded at once, unless one text has more.  Distinct pieces are looked up once each time.
+SLICE_BYTES = 6 << 20
+#: About so many documents of each range of places are looked at to find where the ranges end.
+RANGE_SAMPLE = 100
 #: So many ids of a sample document count in learning how documents are dealt; all ids of all documents count in dealing.
 _SAMPLE_IDS = 20_000
 
@@ -77,7 +82,7 @@ class Bm25Index:
         at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
         score += np.bincount(self.list_docs[at], self.list_weight[at], self.n)
         found = np.flatnonzero((score > 0) & ~used)
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def arrange(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -115,6 +120,12 @@ def arrange(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int,
     return pieces
 
 
+def _sortable(key: tuple) -> tuple:
+    """(leaf, place, salt, doc_id) with a missing doc_id first."""
+    leaf, place, salt, doc_id = key
+    return leaf, place, salt, doc_id is not None, doc_id or 0
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -130,23 +141,44 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, drops_space=True, width=2).encode_array
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            upto = buffers(batch.column(1))[1]
+            at = 0
+            while at < batch.num_rows:
+                some = batch.slice(at, max(1, int(np.searchsorted(upto, upto[at] + SLICE_BYTES, side="right")) - 1 - at))
+                at += some.num_rows
                 flat, offsets = encode(some.column(1), end_id)
                 ids = pa.Array.from_buffers(pa.binary(), some.num_rows, [None, pa.py_buffer((2 * offsets).astype(np.int32)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), ids], names=["doc_id", "ids"])
 
     encoded = stage(docs.select("doc_id", "text").mapInArrow(tokenize, "doc_id long, ids binary"), "packing")
     number = encoded.count()
-    space = 1 << 20
-    share = math.ceil(space * min(1.0, SAMPLE_DOCS / max(1, number)))
-    sample = encoded.filter(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(space)) < share).select(F.substring("ids", 1, 2 * _SAMPLE_IDS).alias("ids"))
+    parts = max(1, min(number // SHARD_DOCS, max(buckets_for(docs.sparkSession), number // (64 * SHARD_DOCS))))
+    # Copies share leaf and place: the hash cuts a large group of them into several ranges.
+    salted = encoded.withColumn("salt", F.xxhash64("doc_id", "ids"))
+    order = ["leaf", "place", "salt", "doc_id"]
+
+    def some(docs_due: int) -> DataFrame:
+        space = 1 << 20
+        return salted.filter(F.pmod("salt", F.lit(space)) < math.ceil(space * min(1.0, docs_due / max(1, number))))
+
+    sample = some(SAMPLE_DOCS).select(F.substring("ids", 1, 2 * _SAMPLE_IDS).alias("ids"))
     tree = docs.sparkSession.sparkContext.broadcast(Tree([np.frombuffer(r["ids"], "<u2") for r in sample.collect()]))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaf, place = tree.value.places([np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(place)], names=["doc_id", "ids", "leaf", "place"])
+    def dealt(rows: DataFrame, bounds: list[tuple]) -> DataFrame:
+        """``rows`` with leaf, place and the range in which they lie, by the ranges' ends."""
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaf, place = tree.value.places([np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()])
+                keys = zip(leaf.tolist(), place.tolist(), batch.column(2).to_pylist(), batch.column(0).to_pylist())
+                part = [bisect_right(bounds, _sortable(k)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(place), pa.array(part, pa.int32())], names=["doc_id", "ids", "salt", "leaf", "place", "part"])
+
+        return rows.mapInArrow(deal, "doc_id long, ids binary, salt long, leaf long, place double, part int")
+
+    # As Spark's own ranges are found, but without dealing all documents for it.
+    ends = sorted(_sortable(r) for r in dealt(some(RANGE_SAMPLE * parts), []).select(*order).collect()) if parts > 1 else []
+    bounds = [ends[k * len(ends) // parts] for k in range(1, parts)] if ends else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -176,11 +208,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         if ids:
             yield close()
 
-    # Copies share leaf and place: the hash cuts a large group of them into several ranges.
-    order = ["leaf", "place", "salt", "doc_id"]
-    dealt = encoded.mapInArrow(deal, "doc_id long, ids binary, leaf long, place double").withColumn("salt", F.xxhash64("doc_id", "ids"))
-    parts = max(1, min(number // SHARD_DOCS, max(buckets_for(docs.sparkSession), number // (64 * SHARD_DOCS))))
-    ranges = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranges = dealt(salted, bounds).repartitionById(parts, "part").sortWithinPartitions(*order)
     return ranges.select("doc_id", "ids").mapInArrow(run, _SCHEMA)
 
 

@@ -80,7 +80,8 @@ class Encoder:
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: 256 + k for k, b in enumerate(others)}
-        self.space = chr(self.alphabet[32])
+        self.table = "".join(chr(self.alphabet.get(b, b)) for b in range(256))  # translating by it misses no character, which costs
+        self.space = self.table[32]
         self.packed = struct_packers(width)
         self.known = _Ids(self, {})
 
@@ -95,7 +96,7 @@ class Encoder:
         if word.isascii():
             word = word.replace(" ", self.space)
         else:
-            word = word.encode().decode("latin-1").translate(self.alphabet)
+            word = word.encode().decode("latin-1").translate(self.table)
         return self.packed([t.id for t in self.tokenize(word)])
 
     def encode_piece(self, piece: str, known: dict | None = None) -> bytes:
@@ -164,7 +165,7 @@ class Encoder:
         at = parts.offsets.to_numpy().astype(np.int64)
         at, pieces = at - at[0], parts.flatten().dictionary_encode()
         code = pieces.indices.to_numpy().astype(np.int64)
-        ids = [self.known[x] for x in pieces.dictionary.to_pylist()]
+        ids = [self.known[x] for x in pieces.dictionary.to_numpy(zero_copy_only=False).tolist()]  # to_pylist makes a scalar of each
         if not self.drops_space:
             # The first piece of a text has no blank before it; a text with odd white space is one piece.
             first = pieces.dictionary.take(pa.array(code[at[:-1]])).to_pylist()

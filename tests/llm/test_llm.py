@@ -475,6 +475,27 @@ def test_near_lines_of_all_lengths_are_found(spark):
         assert len(gone & of) >= 0.9 * len(of)
 
 
+def test_packing_deals_documents_once(spark, monkeypatch):
+    """No range is sorted by dealing all documents twice; ranges found on a sample are even, and copies lie in several."""
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "SHARD_DOCS", 40)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 300)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdelmnort"), 5)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(300)] + ["the same text again"] * 300 + [None, "", "\u00e9 x"]
+    out = packing.pack(frame(spark, list(enumerate(texts))), public_tokenizers.path("word_bpe_49k.json"), window=64)
+    assert "rangepartitioning" not in out._jdf.queryExecution().toString().lower()
+    rows = sorted((r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["sequence_id"] >> 40) for r in out.collect())
+    whole = collections.Counter()
+    for doc, start, length, total, _ in rows:
+        assert start == whole[doc]
+        whole[doc] += length
+    assert set(whole) == set(range(603)) and all(whole[doc] == total for doc, _, _, total, _ in rows)
+    by_part = collections.Counter(part for doc, start, _, _, part in rows if start == 0)
+    assert len(by_part) > 5 and max(by_part.values()) < 0.4 * 603 and len({p for doc, _, _, _, p in rows if 300 <= doc < 600}) > 1
+
+
 def test_packing(spark, odd):
     import public_tokenizers
 
