@@ -454,6 +454,18 @@ def test_letter_noise_is_found_and_unlike_lines_stay(spark, sf_dir):
         assert len(gone & set(due)) >= (0.95 if share < 0.1 else 0.8) * len(due) > 40, share
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_line_groups_do_not_depend_on_parts_and_what_is_read_no_more_is_deleted(spark, monkeypatch, tmp_path, parts):
+    monkeypatch.setattr(components, "PAIR_PARTS", parts)
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    base = "the quick brown fox jumps over the lazy dog near the river bank"
+    texts = [base, base.replace("fox", "fix"), base.replace("lazy", "lozy"), base + " too", "something else altogether stands here", base.replace("quick", "quack"), "and yet another line of no likeness"]
+    texts += [f"{base} {k}{k + 1}" for k in range(20)]  # more than a small group
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(docs).select("doc_id").collect()} == {0, 4, 6}
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} <= {"line_traits", "places"}
+
+
 def test_near_lines_of_all_lengths_are_found(spark):
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9))) for _ in range(800)]
