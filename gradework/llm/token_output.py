@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, new_path
+from .common import buffers, documents, new_path
 from .tokens import encoder
 
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
 END_ID = 2
+#: Text bytes that are encoded at once, unless one document has more; pieces are told apart once a slice.
+SLICE_BYTES = 6 << 20
 
 _SCHEMA = "doc_id long, n_tokens long, tokens array<int>"
 
@@ -32,8 +34,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, drops_space=False).encode_array
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            ends, at = buffers(batch.column(1))[1], 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1)
+                part, at = batch.slice(at, stop - at), stop
                 ids, offsets = encode(part.column(1), end_id)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(

@@ -36,7 +36,7 @@ def _stays_a_letter(c: str) -> bool:
 def struct_packers(width: int):
     """A function that packs a list of ids as little-endian unsigned integers."""
     code = {2: "H", 4: "I"}[width]
-    made = {n: struct.Struct(f"<{n}{code}").pack for n in range(65)}
+    made = [struct.Struct(f"<{n}{code}").pack for n in range(65)]
 
     def pack(ids: list[int]) -> bytes:
         return made[len(ids)](*ids) if len(ids) < 65 else struct.pack(f"<{len(ids)}{code}", *ids)
@@ -54,7 +54,13 @@ class _Ids(dict):
     def __missing__(self, piece: str) -> bytes:
         known = self.older.get(piece)
         if known is None:
-            known = self.encoder.encode_piece(piece, self)
+            encoder = self.encoder
+            # Most new pieces are plain words of ASCII letters.
+            if piece.isascii() and piece.isalpha():
+                tokens = encoder.tokenize(piece.lower() if encoder.drops_space else encoder.space + piece)
+                known = encoder.packed([t.id for t in tokens])
+            else:
+                known = encoder.encode_piece(piece, self)
         self[piece] = known
         return known
 
@@ -86,8 +92,7 @@ class Encoder:
         self.known = _Ids(self, {})
 
     def _whole(self, text: str) -> bytes:
-        width = self.width
-        return b"".join([i.to_bytes(width, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
         """A plain word goes to the tokenizer's model alone, as its other steps leave it whole."""
@@ -105,7 +110,7 @@ class Encoder:
             return self._word(self.blank + piece)
         if known is None or not piece:
             return self._whole(self.blank + piece)
-        if piece[-1] in ".," and piece[:-1].isalpha() and _stays_a_letter(piece[-2]):
+        if piece[-1] in ".," and piece[:-1].isalpha() and (piece[-2].isascii() or _stays_a_letter(piece[-2])):
             return known[piece[:-1]] + self._part(piece[-1], known)
         if _TWO_SPACES.search(self.blank + piece):
             return self._whole(self.blank + piece)
@@ -173,14 +178,17 @@ class Encoder:
             code = code.copy()
             code[at[:-1]] = len(ids) + np.arange(len(whole))
             ids += whole
-        size = np.array([len(x) for x in ids], dtype=np.int64) // self.width
+        # The end id is a piece of its own behind each text.
+        code = np.insert(code, at[1:], len(ids))
+        ids.append(end_id.to_bytes(self.width, "little"))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
         flat = np.frombuffer(b"".join(ids), dtype=f"<u{self.width}")
-        begin = np.cumsum(size) - size
         n = size[code]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(begin[code] - upto[:-1], n) + np.arange(upto[-1])]
-        ends = upto[at[1:]]
-        return np.insert(out, ends, end_id), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+        upto = np.zeros(len(code) + 1, dtype=np.int64)
+        np.cumsum(n, out=upto[1:])
+        place = np.repeat((np.cumsum(size) - size)[code] - upto[:-1], n)
+        place += np.arange(upto[-1])
+        return flat[place], upto[at + np.arange(len(at))]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -454,6 +454,18 @@ def test_letter_noise_is_found_and_unlike_lines_stay(spark, sf_dir):
         assert len(gone & set(due)) >= (0.95 if share < 0.1 else 0.8) * len(due) > 40, share
 
 
+@pytest.mark.parametrize("name, drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_plain_words_take_the_short_way_and_ends_lie_behind_texts(name, drops):
+    import public_tokenizers
+
+    enc = tokens.Encoder(public_tokenizers.path(name), drops, 4)
+    texts = [" Plain Words of xyzzyqwt", None, "", " end"] if not drops else ["Plain Words of xyzzyqwt", None, "", "end"]
+    enc.encode_piece = None  # not asked for plain words
+    ids, at = enc.encode_array(pa.array(texts), 7)
+    want = [[*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
 @pytest.mark.parametrize("parts", [1, 2, 3])
 def test_line_groups_do_not_depend_on_parts_and_what_is_read_no_more_is_deleted(spark, monkeypatch, tmp_path, parts):
     monkeypatch.setattr(components, "PAIR_PARTS", parts)
