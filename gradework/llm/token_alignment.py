@@ -1,14 +1,12 @@
 """Operator 11: alignment of two tokenizers' tokens by the bytes that they cover.
 
-Python only tokenizes.  A text is cut before every blank that follows another character than white space, where neither
+A text is cut before every blank that follows another character than white space, where neither
 tokenizer ever joins (no entry of B's vocabulary has its blank inside or at its end, which is asserted); so what
-tokens cover is settled piece by piece, and equal pieces of neighbouring documents are aligned once.  A row of
-the tokenized table is a slice of documents: the ids and byte ends of its distinct pieces, and for each
-document the numbers of its pieces.
+tokens cover is settled piece by piece.  The pieces of a slice of documents are told apart by Arrow, new ones are
+aligned at once over arrays of ends, and each worker keeps the groups and links of those that it has met (bounded).
+A document's groups and links are those of its pieces.
 
-All else is Spark: ``array_intersect`` of the end arrays gives the ends where both tokenizers stop,
-``transform`` and ``sequence`` build groups and links between them.  The number of
-documents that hold a linked pair is counted over the corpus: shards of documents send their distinct
+The number of documents that hold a linked pair is counted over the corpus by Spark: shards of documents send their distinct
 pairs once, and get the answers back, so that documents themselves are never shuffled.
 """
 
@@ -16,26 +14,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import chain
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, documents, stage
+from .common import buckets_for, buffers, documents, stage
 from .counting import sharded
-from .tokens import CACHE_ENTRIES, _BEFORE_SPACE, encoder
+from .tokens import _BEFORE_SPACE, encoder
 
 #: Text bytes of a slice, at most, unless one document has more.
 SLICE_BYTES = 1 << 20
 SHARD_DOCS = 2048
+#: Pieces that a worker keeps, and about as many of tokenizer A's.
+KEPT_PIECES = 150_000
 #: Up to so many shared ends a position is looked up; beyond, all are found by one sort.  Both find the same.
 FEW = 64
 
 _MARK = 1 << 31
 _HIGH = 1 << 32
-_TOKENIZED = "doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, codes array<array<int>>, a_ids array<array<int>>, a_ends array<array<int>>, b_ids array<array<int>>, b_ends array<array<int>>"
+_ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<bigint>"
 
 
 class Pair:
@@ -55,93 +56,129 @@ class Pair:
         if any(not self.b.is_control(k) and " " in x.lstrip(" ") for k, x in enumerate(t.decode("utf-8", "replace") for t in self.b_text)):
             raise ValueError("an entry of tokenizer B spans a blank, so texts cannot be cut at blanks")
         self.b_bytes = np.array([len(x) for x in self.b_text], dtype=np.int64)
-        self.known: dict[str, bytes | None] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        """What follows the first blank of each piece of space + text."""
-        if "  " in text or text[0] == " " or text[-1] == " " or "\n " in text or "\t" in text or "\r" in text:
-            return [x[1:] for x in _BEFORE_SPACE.split(" " + text)]
-        return text.split(" ")
+        self.names = [[str(k) for k in range(len(x))] for x in (self.a_bytes, self.b_bytes)]
+        #: piece -> (text of its groups, ids by A, ids by B, groups, links), or None where B's bytes are not those of the text.
+        self.known: dict[str, tuple[str, int, int, int, bytes] | None] = {}
 
     def learn(self, pieces: list[str]) -> None:
-        """Ids by B of new pieces; None where B's bytes are not those of the text."""
-        if len(self.known) > CACHE_ENTRIES:
+        """Align new pieces, each with a blank before it."""
+        if len(self.known) > KEPT_PIECES:
             self.known = {}
+        if len(self.a.known) > KEPT_PIECES:
+            self.a.known = type(self.a.known)(self.a, {})
         new = [p for p in pieces if p not in self.known]
+        kept, by_a, by_b = [], [], []
         for piece, ids in zip(new, self.b.encode(new, num_threads=1)):
             ids = ids or [self.b.piece_to_id("▁")]  # a last blank alone
-            same = b"".join([self.b_text[i] for i in ids]) == b" " + piece.encode()
-            self.known[piece] = np.array(ids, dtype="<u4").tobytes() if same else None
-
-
-def _sums(parts: list[bytes], codes: np.ndarray, at: np.ndarray) -> list[int]:
-    """Ids of each document, from its pieces' codes between neighbouring ``at``."""
-    sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-    total = np.concatenate([[0], np.cumsum(sizes[codes])])
-    return np.diff(total[at]).tolist()
-
-
-def _nested(parts: list[bytes], sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """One row each: the ids of all parts as lists, and where each id's bytes end in its part."""
-    ids = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
-    at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(sizes[ids])])
-    ends = (ends[1:] - np.repeat(ends[at[:-1]], np.diff(at))).astype(np.int32)
-    outer = pa.array([0, len(parts)], pa.int32())
-    return tuple(pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x))) for x in (ids, ends))
-
-
-def tokenize(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Slices of documents (doc_id, text) with both tokenizers' ids and byte ends of their pieces."""
-
-    pairs: list[Pair] = []
-
-    def row(ids: list, texts: list, pair: Pair) -> pa.RecordBatch:
-        if len(pair.a.known) > CACHE_ENTRIES:
-            pair.a.known = type(pair.a.known)(pair.a, dict(pair.a.known))
-        code: dict[str, int] = {}
-        codes = [[code.setdefault(p, len(code)) for p in pair.pieces(t)] if t else [] for t in texts]
-        pieces = list(code)
-        pair.learn(pieces)
-        by_b = [pair.known[p] for p in pieces]
-        wrong = {k for k, x in enumerate(by_b) if x is None}
-        by_b = [x or b"" for x in by_b]
-        if wrong:
-            codes = [[] if wrong.intersection(c) else c for c in codes]
-        by_a = [pair.a.known[p] for p in pieces]
-        a_ids, a_ends = _nested(by_a, pair.a_bytes)
-        b_ids, b_ends = _nested(by_b, pair.b_bytes)
-        at = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
-        flat = np.fromiter(chain.from_iterable(codes), np.int32, at[-1])
-        numbers = [_sums(x, flat, at) for x in (by_a, by_b)]
-        outer = pa.array([0, len(codes)], pa.int32())
-        of_docs = pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(pa.array(at), pa.array(flat)))
-        lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids, *numbers)]
-        return pa.RecordBatch.from_arrays([*lists, of_docs, a_ids, a_ends, b_ids, b_ends], names=["doc_id", "n_a", "n_b", "codes", "a_ids", "a_ends", "b_ids", "b_ends"])
+            if b"".join([self.b_text[i] for i in ids]) == b" " + piece.encode():
+                kept.append(piece)
+                by_a.append(np.frombuffer(self.a.known[piece], "<u4").astype(np.int64))
+                by_b.append(np.array(ids, dtype=np.int64))
+            else:
+                self.known[piece] = None
+        if kept:
+            self.known.update(zip(kept, self.aligned(by_a, by_b)))
+
+    def aligned(self, by_a: list[np.ndarray], by_b: list[np.ndarray]) -> list[tuple[str, int, int, int, bytes]]:
+        """What ``known`` has of pieces with these ids, which cover the same bytes.
+
+        Both sides' ends are counted through all pieces, so one search over all finds where both stop.
+        """
+        (a, ends_a, upto_a), (b, ends_b, upto_b) = ((x := np.concatenate(ids), np.cumsum(size[x]), np.cumsum([len(y) for y in ids])) for ids, size in ((by_a, self.a_bytes), (by_b, self.b_bytes)))
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        of_a, of_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        first_a, first_b = (np.searchsorted(of, np.arange(len(shared) + 1)) for of in (of_a, of_b))
+        partners = np.diff(first_b)[of_a]  # each id of A has all ids of B in its group
+        upto = np.concatenate([[0], np.cumsum(partners)])
+        other = np.repeat(first_b[of_a] - upto[:-1], partners) + np.arange(upto[-1])
+        links = ((np.repeat(a, partners) << 32) | b[other]).astype("<i8").tobytes()
+        name_a, name_b = ([names[k] for k in x.tolist()] for names, x in zip(self.names, (a, b)))
+        at_a, at_b = first_a.tolist(), first_b.tolist()
+        groups = [f"{','.join(name_a[i:j])}|{','.join(name_b[k:m])}" for i, j, k, m in zip(at_a[:-1], at_a[1:], at_b[:-1], at_b[1:])]
+        upto_group = np.searchsorted(shared, ends_a[upto_a - 1], side="right").tolist()
+        link_ends = (8 * upto[upto_a]).tolist()
+        out, group, link = [], 0, 0
+        for x, y, group_end, link_end in zip(by_a, by_b, upto_group, link_ends):
+            out.append((";".join(groups[group:group_end]), len(x), len(y), group_end - group, links[link:link_end]))
+            group, link = group_end, link_end
+        return out
+
+    def pieces_of(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct pieces, the number of each piece of each text, and the texts' offsets in those numbers."""
+        odd = pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))
+        for space in ("  ", "\n ", "\t", "\r"):
+            odd = pc.or_(odd, pc.match_substring(texts, space))
+        parts = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        at = parts.offsets.to_numpy().astype(np.int64)
+        begin, size = at[:-1] - at[0], np.diff(at)
+        size[np.asarray(pc.binary_length(texts)) == 0] = 0
+        own, strange = [], np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        for i in strange.tolist():
+            split = [x[1:] for x in _BEFORE_SPACE.split(" " + texts[i].as_py())]
+            begin[i], size[i] = at[-1] - at[0] + len(own), len(split)
+            own += split
+        pieces = pa.concat_arrays([parts.flatten(), pa.array(own, parts.type.value_type)]).dictionary_encode()
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        chosen = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
+        return pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy().astype(np.int64)[chosen], offsets
+
+    def documents(self, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        """Rows of ``align`` for a slice of documents."""
+        pieces, code, at = self.pieces_of(texts)
+        self.learn(pieces)
+        nothing = ("", 0, 0, 0, b"")
+        found = [self.known.get(p) or nothing for p in pieces]
+        names, *numbers, links = zip(*found) if found else ((), (), (), (), ())
+        wrong = np.array([not n for n in numbers[0]], dtype=bool)
+        # A document with a piece whose bytes B does not keep has no tokens; its pieces are left out.
+        bad = np.diff(np.concatenate([[0], np.cumsum(wrong[code])])[at]) > 0
+        size = np.where(bad, 0, np.diff(at))
+        code = code[np.repeat(~bad, np.diff(at))]
+        at = np.concatenate([[0], np.cumsum(size)])
+        n_a, n_b, n_groups = (np.diff(np.concatenate([[0], np.cumsum(np.array(n, dtype=np.int64)[code])])[at]) for n in numbers)
+        flat = np.frombuffer(b"".join(links), "<i8")
+        many = np.array([len(x) // 8 for x in links], dtype=np.int64)
+        begin, n = np.cumsum(many) - many, many[code]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(begin[code] - upto[:-1], n) + np.arange(upto[-1])]
+        ends = upto[at]
+        told, hashes = list(map(names.__getitem__, code.tolist())), []
+        for i, j, k, m in zip(at[:-1].tolist(), at[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            hashes.append(sha256(";".join(told[i:j]).encode()).hexdigest() if j > i else "")
+            out[k:m].sort()
+        linked = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
+        return pa.RecordBatch.from_arrays([ids, pa.array(n_a), pa.array(n_b), pa.array(n_groups), pa.array(hashes, pa.string()), linked], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+
+
+_PAIRS: dict[tuple[str, str], Pair] = {}
+
+
+def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, groups_sha256, links) of each row of (doc_id, text, ...).
+
+    links is the ascending array of a * 2**32 + b of all linked token occurrences.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not pairs:
-            pairs.append(Pair(path_a, path_b))
-        ids: list = []
-        texts: list = []
-        size = 0
+        if (path_a, path_b) not in _PAIRS:
+            _PAIRS[path_a, path_b] = Pair(path_a, path_b)
+        pair = _PAIRS[path_a, path_b]
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                if texts and size + len(text or "") > SLICE_BYTES:
-                    yield row(ids, texts, pairs[0])
-                    ids, texts, size = [], [], 0
-                ids.append(doc_id.as_py())
-                texts.append(text)
-                size += len(text or "")
-        if texts:
-            yield row(ids, texts, pairs[0])
+            ends, at = buffers(batch.column(1))[1], 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1)
+                part = batch.slice(at, stop - at)
+                yield pair.documents(part.column(0), pc.fill_null(part.column(1), ""))
+                at = stop
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENIZED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ALIGNED)
 
 
 def cuts(ends: Column, shared: Column) -> Column:
-    """For each of ``shared``, ascending values of the ascending array ``ends``, its place there from 1."""
+    """For each of ``shared``, ascending values of the ascending array ``ends``, its place there from 1.
+
+    For arrays that are Spark columns; ``align`` finds groups over numpy arrays.
+    """
     looked_up = F.transform(shared, lambda e: F.array_position(ends, e).cast("int"))
     # Sorted together, the end that a mark follows is a shared one.
     marked = F.transform(shared, lambda e: e.cast("long") * F.lit(_HIGH) + F.lit(_MARK))
@@ -156,58 +193,6 @@ def cuts(ends: Column, shared: Column) -> Column:
     return F.when(F.size(shared) <= FEW, looked_up).when(shared.isNotNull(), by_sort)
 
 
-def _begin(cut: Column, k: Column) -> Column:
-    """The place from 0 at which the k-th group begins."""
-    return F.when(k == 0, F.lit(0)).otherwise(F.get(cut, k - 1))
-
-
-def align(tokenized: DataFrame) -> DataFrame:
-    """(doc_id, n_a, n_b, groups, links, n_groups) of each document of ``tokenize``'s slices.
-
-    groups is the text of all groups, links an array of a * 2**32 + b of all linked token occurrences.
-    """
-    shared = tokenized.withColumn("shared", F.zip_with("a_ends", "b_ends", F.array_intersect))
-    # Where all ends are shared, groups need no cuts: each is one token of either side.
-    several = F.transform("shared", lambda own, p: F.when(F.get("a_ends", p) != F.get("b_ends", p), own))
-    cut = shared.withColumn("shared", several).withColumns({"cut_a": F.zip_with("a_ends", "shared", cuts), "cut_b": F.zip_with("b_ends", "shared", cuts)})
-
-    def listed(names: Column, begin: Column, end: Column) -> Column:
-        several = F.array_join(F.transform(F.sequence(begin, end - 1), lambda j: F.get(names, j)), ",")
-        return F.when(end - begin == 1, F.get(names, begin)).otherwise(several)
-
-    def texts(cut_a: Column, p: Column) -> Column:
-        a, b, cut_b = F.get("a_names", p), F.get("b_names", p), F.get("cut_b", p)
-        one_to_one = F.zip_with(a, b, lambda x, y: F.concat(x, F.lit("|"), y))
-        groups = F.transform(cut_a, lambda i, k: F.concat(listed(a, _begin(cut_a, k), i), F.lit("|"), listed(b, _begin(cut_b, k), F.get(cut_b, k))))
-        return F.array_join(F.when(cut_a.isNull(), one_to_one).otherwise(groups), ";")
-
-    def pairs(cut_a: Column, p: Column) -> Column:
-        a, b, cut_b = F.get("a_ids", p), F.get("b_ids", p), F.get("cut_b", p)
-        link = lambda x, y: x.cast("long") * F.lit(_HIGH) + y
-
-        def of_group(i: Column, k: Column) -> Column:
-            own_a, own_b = F.sequence(_begin(cut_a, k), i - 1), F.sequence(_begin(cut_b, k), F.get(cut_b, k) - 1)
-            return F.flatten(F.transform(own_a, lambda x: F.transform(own_b, lambda y: link(F.get(a, x), F.get(b, y)))))
-
-        groups = F.flatten(F.transform(cut_a, of_group))
-        return F.when(cut_a.isNull(), F.zip_with(a, b, link)).otherwise(groups)
-
-    named = cut.withColumns({"a_names": F.col("a_ids").cast("array<array<string>>"), "b_names": F.col("b_ids").cast("array<array<string>>")})
-    built = named.withColumns({"text_of": F.transform("cut_a", texts), "links_of": F.transform("cut_a", pairs)})
-
-    each = F.transform(
-        "codes",
-        lambda codes, d: F.struct(
-            *(F.get(c, d).alias(c) for c in ("doc_id", "n_a", "n_b")),
-            F.array_join(F.transform(codes, lambda c: F.get("text_of", c)), ";").alias("groups"),
-            F.flatten(F.transform(codes, lambda c: F.get("links_of", c))).alias("links"),
-        ),
-    )
-    # Of each group there is one bar; the sum of groups by ``aggregate`` over pieces takes a tenth of the time more.
-    bars = F.length("groups") - F.length(F.replace("groups", F.lit("|"), F.lit("")))
-    return built.select(F.inline(each)).withColumn("n_groups", bars.cast("long"))
-
-
 @contextmanager
 def co_located(spark: SparkSession) -> Iterator[None]:
     """Joins planned inside meet where both sides lie by a part of their keys; otherwise Spark deals all links out by shard and pair."""
@@ -237,11 +222,7 @@ def align_corpus(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     all the highest of their A id; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    aligned = align(tokenize(docs, path_a, path_b)).select(
-        "doc_id", "n_a", "n_b", "n_groups",
-        F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256"),
-        F.sort_array("links").alias("links"),
-    )
+    aligned = align(docs, path_a, path_b)
     held = sharded(aligned, "alignment", size=SHARD_DOCS)
     sent = stage(held.select("shard", F.explode(F.array_distinct("links")).alias("pair")).groupBy("shard", "pair").agg(F.count("*").alias("n")), "alignment-sent")
     # A shard meets its answers where it lies: the table is bucketed by shard, and so the answers are dealt.
