@@ -357,6 +357,29 @@ def test_edits_of_long_texts_are_exact(monkeypatch):
             assert line_dedup.edits(one, other) == edits(one, other)
 
 
+@pytest.mark.parametrize("blocks, places", [(1 << 14, 1 << 21), (7, 1 << 21), (300, 900)])
+def test_few_edits_are_told_for_many_pairs_at_once(monkeypatch, blocks, places):
+    import pyarrow as pa
+
+    from gradework.llm import edit_distance
+
+    monkeypatch.setattr(edit_distance, "BLOCKS", blocks)
+    monkeypatch.setattr(edit_distance, "PLACES", places)
+    rng = np.random.default_rng(12)
+    pairs = []
+    for _ in range(250):
+        one = list(rng.choice(list("abcé日😀 "), rng.choice([0, 1, 5, 63, 64, 65, 128, 130, 300])))
+        other = list(one) if rng.integers(5) else list(rng.choice(list("abcx"), rng.integers(0, 200)))
+        for _ in range(rng.integers(0, 1 + len(other) // 2)):
+            i = rng.integers(len(other) + 1)
+            other[i : i + rng.integers(2)] = [str(x) for x in rng.choice(list("abdf"), rng.integers(2))]
+        pairs.append(("".join(one), "".join(other)))
+    apart = np.array([line_dedup.edits(a, b) for a, b in pairs])
+    one, other = (pa.array([p[k] for p in pairs]) for k in (0, 1))
+    for most in (apart, np.maximum(apart - 1, 0), np.array([max(map(len, p)) // 5 for p in pairs])):
+        assert (edit_distance.within(one, other, most) == (apart <= most)).all()
+
+
 @pytest.mark.parametrize("rest", [0, 40, 1000])
 def test_edit_similarity_decides_every_pair(spark, monkeypatch, rest):
     import pyarrow as pa
