@@ -43,29 +43,31 @@ def shade_corrected(green: np.ndarray, valid: np.ndarray) -> np.ndarray:
 
 def without_vessels(mask: np.ndarray, vessels: np.ndarray, growth: int = VESSEL_GROWTH) -> np.ndarray:
     """``mask`` less the vessels, grown by a disc so that their edges go as well."""
-    return mask & ~P.extreme(vessels, P.ellipse(2 * growth + 1), True)
+    return mask & ~P.grown(vessels, growth)
 
 
 def least_closing(levels: np.ndarray, length: int) -> np.ndarray:
-    """The least of the closings along lines: only what some single line bridges is filled."""
+    """The least of the closings along lines: only what some single line bridges is filled.  Levels are whole, 0..255."""
+    if np.isfinite(levels).all():
+        levels = levels.astype(np.uint8)
     return np.minimum.reduce([P.closed(levels, P.line_support(length, 180.0 * k / ORIENTATIONS)) for k in range(ORIENTATIONS)])
 
 
 def small_dark(shade: np.ndarray, vessels: np.ndarray, view: np.ndarray, length: int, percentile: float) -> np.ndarray:
     """Pixels of an image of 0..1 that a closing lifts more than the percentile of the view, away from vessels."""
     levels = np.floor(np.clip(shade, 0, 1) * 255)
-    gap = (least_closing(levels, length) - levels) / 255.0
+    gap = (least_closing(levels, length).astype(np.float64) - levels) / 255.0
     grown = P.extreme(vessels, np.ones((2 * SMALL_VESSEL_GROWTH + 1,) * 2, dtype=bool), True)
     gap = np.where(grown | ~view, 0.0, gap)
     if not (gap > 0).any() or not view.any():
         return np.zeros(gap.shape, dtype=bool)
-    return gap > max(float(np.percentile(gap[view], percentile)), LEAST_GAP)
+    return gap > max(P.percentile(gap[view], percentile), LEAST_GAP)
 
 
 def top_hat(corrected: np.ndarray, mask: np.ndarray, length: int, percentile: float = TOP_HAT_PERCENTILE) -> np.ndarray:
     """Pixels that a closing by a disc lifts more than the percentile of the mask."""
     gap = P.closed(corrected, P.ellipse(length)) - corrected
-    return (gap > np.percentile(gap[mask], percentile)) & mask if mask.any() else np.zeros(gap.shape, dtype=bool)
+    return (gap > P.percentile(gap[mask], percentile)) & mask if mask.any() else np.zeros(gap.shape, dtype=bool)
 
 
 def saturation(red: np.ndarray, green: np.ndarray, blue: np.ndarray) -> np.ndarray:

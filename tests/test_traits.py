@@ -197,3 +197,34 @@ def test_rows_are_those_of_the_candidates(spark, sf_dir):
 def test_a_black_image_has_no_candidates(spark):
     black = spark.range(1).selectExpr("id as vec_id", *(f"array_repeat(0, {vision.SIZE**2}) as {c}" for c in ("red", "green", "blue")), "14D as od_x", "30D as od_y", "5D as od_radius", "36D as fovea_x", "33D as fovea_y")
     assert T.candidate_rows(black, "vec_id", vision.SIZE, vision.SMALL).count() == 0
+
+
+def test_candidates_measured_together_are_those_measured_alone():
+    rng = np.random.default_rng(21)
+    red, green, blue = (np.floor(rng.uniform(0, 256, (64, 64))) for _ in range(3))
+    mask = rng.random((64, 64)) < 0.35
+    mask[20:30, 20:30] = True
+    mask[24:26, 23:27] = False
+    p = T.picture(red, green, blue, rng.random((64, 64)) < 0.05, (30.0, 20.0, 5.0), (50.0, 33.0))
+    grounds = green / 255.0, blue
+    held = [(grounds[k % 2], *found) for k, found in enumerate(T.regions(mask, 8, *ALL))]
+    assert len(held) > 20
+    T._KEPT.clear()
+    together = T.all_traits(p, held)
+    T._KEPT.clear()
+    alone = [T.traits(p, *one) for one in held]
+    assert np.allclose(together, alone, rtol=1e-9, atol=1e-9) and T.all_traits(p, []) == []
+    for region, row in zip((h[3] for h in held), together):
+        steps = T.border(T.filled(region))[1]
+        want = T.eccentricity(steps) if steps.sum() >= T.LEAST_FITTED else 0.0
+        assert row[T.FEATURES.index("eccentricity")] == pytest.approx(want, abs=1e-7)
+
+
+def test_features_and_candidates_come_from_one_look(spark, sf_dir):
+    from gradework.operators import landmarks as M
+    from gradework.plans import vision
+
+    images = vision.eyes(spark, sf_dir).select("vec_id", "red", "green", "blue").limit(20)
+    features, found = T.parted(T.features_and_candidates(images, "vec_id", vision.SIZE, vision.SMALL), "vec_id")
+    for got, want in ((features, M.image_features(images, "vec_id", vision.SIZE, vision.SMALL)), (found, T.located_candidate_rows(images, "vec_id", vision.SIZE, vision.SMALL))):
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -431,3 +431,33 @@ def test_rows_of_the_second_stage(spark):
     got = out.first()
     assert (got["haem_count"], got["hard_exudate_count"], got["dme_flag"], got["ma_count"], got["exudate_fovea_min_dist_dd"]) == (1, 1, 1, 0, 0.0)
     assert M.stage2_rows(features, kept.limit(0), "k", 2000.0).first()["haem_count"] == 0
+
+
+@pytest.mark.parametrize("length", [3, 9, 15, 41])
+def test_bytes_and_masks_have_the_extremes_of_numbers(length):
+    levels = RNG.integers(0, 256, (20, 31))
+    for support in (*(P.line_support(length, 15.0 * k) for k in range(12)), P.ellipse(length), np.ones((length, 3), dtype=bool)):
+        for highest in (True, False):
+            want = P.extreme(levels.astype(float), support, highest)
+            got = P.extreme(levels.astype(np.uint8), support, highest)
+            assert got.dtype == np.uint8 and (got == want).all()
+            assert (P.extreme(levels > 200, support, highest) == P.extreme((levels > 200).astype(float), support, highest)).all()
+
+
+def test_small_images_are_filtered_as_large_ones(monkeypatch):
+    image = np.floor(RNG.uniform(0, 256, (30, 41)))
+    kernels = [RNG.normal(size=(3, 3)), RNG.normal(size=(9, 9)), RNG.normal(size=(5, 5))]
+    mask = RNG.random((30, 41)) < 0.9
+
+    def all_of():
+        bank = [x for mode in ("mirror", "symmetric", "edge") for x in (*P.correlated(image, kernels, mode), *P.correlated(image, kernels[:1], mode))]
+        blurred = [P.gaussian(image, 2.0), P.gaussian(image, 1.5, 4, "mirror"), *(x for part in P.curvature(image, np.array([1.0, 3.0])) for x in part)]
+        return [*bank, *blurred, P.box_mean(image, 9), P.box_mean(image, 18, "symmetric"), P.distance(mask), P.distance(np.ones_like(mask))]
+
+    small = all_of()
+    for name in ("KEPT_PIXELS", "DIRECT_STEPS"):
+        monkeypatch.setattr(P, name, 0)
+    for one, other in zip(small, all_of()):
+        assert np.allclose(one, other, atol=2e-9)
+    for share in (0.0, 37.5, 90.0, 100.0):
+        assert P.percentile(image[mask], share) == np.percentile(image[mask], share)
