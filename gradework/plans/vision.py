@@ -171,11 +171,11 @@ ORACLES["black_rows"] = f"WITH {GRID_SQL}, b AS (SELECT vec_id, y, 100.0::DOUBLE
 def _stage2(s, d):
     """Rows of the second stage; candidates are kept by the score that stands in for a classifier, over their sixteen traits within image and lesion."""
     images = eyes(s, d).select("vec_id", "red", "green", "blue")
-    measured, found = M.image_features(images, "vec_id", SIZE, SMALL), T.located_candidate_rows(images, "vec_id", SIZE, SMALL)
-    # Counts and rows both need the features of an image; they are measured once.
+    # Each image is drawn and looked at once; counts, rows and scores read what was measured.
+    measured = T.features_and_candidates(images, "vec_id", SIZE, SMALL)
     path = tables.scratch(s, "features")
     measured.write.parquet(path)
-    features = s.read.schema(measured.schema).parquet(path)
+    features, found = T.parted(s.read.schema(measured.schema).parquet(path), "vec_id")
     kept = L.placeholder_score(found, ["vec_id", "lesion"], list(T.FEATURES)).filter(F.col("score") >= L.FALLBACK_THRESHOLD)
     area = float(V.round_view(SIZE, SMALL.measured).sum())
     out = M.stage2_rows(features, kept, "vec_id", area)
