@@ -461,3 +461,10 @@ def test_small_images_are_filtered_as_large_ones(monkeypatch):
         assert np.allclose(one, other, atol=2e-9)
     for share in (0.0, 37.5, 90.0, 100.0):
         assert P.percentile(image[mask], share) == np.percentile(image[mask], share)
+
+
+def test_long_narrow_images_make_no_square_matrices():
+    strip = RNG.random((1, 20_000))
+    for small, out in ((strip[:, :200], lambda x: P.gaussian(x, 2.0)), (strip[:, :200], lambda x: P.box_mean(x, 5, "symmetric"))):
+        assert np.allclose(out(strip)[:, :150], out(small)[:, :150], atol=2e-9)
+    assert not P._small(strip) and P._small(strip[:, :200])
